@@ -10,6 +10,8 @@ _QUERIES = {
     "p1_changed": ("common_form", "p1_changed", "p1_changed_sql"),
     "p3_found": ("near_duplicates", "p3_found"),
     "p3_classes": ("near_duplicates", "p3_classes"),
+    "p8_found": ("leaks", "p8_found"),
+    "p8_report": ("leaks", "p8_report"),
 }
 
 
