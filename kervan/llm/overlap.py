@@ -1,11 +1,15 @@
 """Similarity join of texts by their sets of word sequences: the engine of problems 3 and 5.
 
-Method: token-group matrix. Texts become sets of hashed word sequences; equal sets are one class. Tokens are ordered
-rare first, by a sketch of counts over all texts, and a class needs only the front of its set (its prefix) to meet
-every class that is alike enough. Similar classes of a task form groups; the matrix has, by token, the groups in whose
-prefix union the token is, with the bounds of the group. Token buckets of the matrix are joined in numpy: two groups
-whose possible overlap stays under the need are never opened; the members of the others become candidates, and
-candidates are verified exactly on their whole sets.
+Method: token-group matrix. Texts become sets of hashed k-word sequences; equal sets are one class. Similar classes of
+a task form groups. The matrix has, by token, the groups in whose token union the token is, with the bounds of the
+group and its members. Its tokens are longer word sequences, of three tiers by the size of the smaller set: all
+sequences of LONG_K words that a hash picks (one in SAMPLE) for large sets, all of SHORT_K words for small ones, the k-word
+sequences themselves for the smallest. A text without a common stretch of that many words with another has an
+edit in every such stretch, which lowers its likeness below the threshold (see README for the bounds). Of a group's tokens
+the most frequent fifth, by a sketch of counts over all texts, is not needed to meet the groups that are alike enough.
+Token buckets of the matrix are joined in numpy: groups whose sizes rule out the threshold are not opened, nor are
+members whose parity bitmaps differ in more places than the threshold allows. What remains is verified exactly on
+the whole sets.
 
 Nothing grows on the driver but the sketch, whose size is fixed. Copies are folded into classes before any shuffle
 of tokens. A token that many groups share is handed on as pairs of blocks, spread over tasks.
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kervan.llm.util import cut_lineage, written
-from kervan.llm.words import TOKEN, each, mix
+from kervan.llm.words import TOKEN, Words, each, mix
 
 #: log2 of the counters of the token sketch; its ranks are one byte each, so 1 MB goes to every task, at any scale.
 SKETCH_BITS = 20
@@ -30,7 +34,15 @@ BLOCK = 4_096
 #: Members of one group at most; further similar texts form the next group.
 GROUP = 32
 
-SETS = "key string, side byte, cls bigint, n int, toks binary"
+#: Set sizes below which pairs are of the smallest and of the small tier.
+TINY, SHORT = 8, 64
+SHORT_K, LONG_K, SAMPLE = 6, 10, 4
+#: Share of a text's matrix tokens of each tier, rarest first, that is entered.
+FRONT = 0.8
+#: Bits of the parity bitmap of a set.
+BITS = 128
+
+SETS = "key string, side byte, cls bigint, n int, toks binary, feats binary, bits binary"
 _P = "a bigint, b bigint"
 
 
@@ -46,11 +58,32 @@ def unpack40(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return low | (high << np.uint64(32)), n
 
 
-def token_sets(df: DataFrame, k: int) -> DataFrame:
-    """(key, side, cls, n, toks) of rows (key, side, field, text): the set of k-word sequences of each text, and its class.
+def matrix_tokens(w: Words, k: int, t: float, n: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, first) of each text for the matrix, in rising order; a token's upper two bits are its tier. n: sizes of the texts' sets."""
+    found = []
+    for tier, (size, on, one_in) in enumerate(((k, (n > 0) & (t * n < TINY), 1), (max(k, SHORT_K), (n >= TINY) & (t * n < SHORT), 1), (max(k, LONG_K), n >= SHORT, SAMPLE)), 1):
+        doc, _, h = w.sequences(size)
+        h = mix(h ^ np.uint64(salt * 8 + tier))
+        use = on[doc] & (h % np.uint64(one_in) == 0)
+        found.append((doc[use].astype(np.uint64) << np.uint64(40)) | np.uint64(tier << 38) | (h[use] >> np.uint64(26)))
+    packed = np.unique(np.concatenate(found))
+    return packed & TOKEN, np.searchsorted(packed >> np.uint64(40), np.arange(w.n + 1, dtype=np.uint64))
+
+
+def parity(toks: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bitmap rows: bit x of a text is 1 if an odd number of its tokens fall on x. Bitmaps differ in no more places than the sets."""
+    n = len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    place = (mix(toks ^ np.uint64(0x5555)) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits(np.bincount(doc * BITS + place, minlength=n * BITS).reshape(n, BITS) & 1, axis=1)
+
+
+def token_sets(df: DataFrame, k: int, t: float) -> DataFrame:
+    """(key, side, cls, n, toks, feats, bits) of rows (key, side, field, text): the set of k-word sequences of each text, its class
+    and its matrix tokens.
 
     Texts of fewer than k words (null and empty ones too) have no sequences and are left out. A task keeps the
-    tokens of a class once; further copies have null toks.
+    tokens of a class once; further copies have nulls there.
     """
 
     def apply(batches):
@@ -62,18 +95,23 @@ def token_sets(df: DataFrame, k: int) -> DataFrame:
                 for field in np.unique(fields[lo : lo + w.n]):
                     toks, first = w.sets(k, int(field))
                     n = np.diff(first)
+                    feats, at = matrix_tokens(w, k, t, n, int(field))
+                    bits = parity(toks, first)
                     total = np.zeros(len(toks) + 1, dtype=np.uint64)
                     np.cumsum(mix(toks + np.uint64(1)), out=total[1:])
                     cls = mix((total[first[1:]] - total[first[:-1]]) ^ np.uint64(int(field))).view(np.int64)
                     rows = np.flatnonzero((n > 0) & (fields[lo : lo + w.n] == field))
-                    blobs = []
+                    blobs, more, maps = [], [], []
                     for d in rows:
                         mark = (int(cls[d]), int(sides[lo + d]))
-                        blobs.append(None if mark in seen else pack40(toks[first[d] : first[d + 1]]))
+                        new = mark not in seen
+                        blobs.append(pack40(toks[first[d] : first[d + 1]]) if new else None)
+                        more.append(pack40(feats[at[d] : at[d + 1]]) if new else None)
+                        maps.append(bits[d].tobytes() if new else None)
                         seen.add(mark)
                     yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(lo + rows)), pa.array(sides[lo + rows], pa.int8()), pa.array(cls[rows]), pa.array(n[rows].astype(np.int32)), pa.array(blobs, pa.binary())],
-                        names=["key", "side", "cls", "n", "toks"],
+                        [keys.take(pa.array(lo + rows)), pa.array(sides[lo + rows], pa.int8()), pa.array(cls[rows]), pa.array(n[rows].astype(np.int32))] + [pa.array(x, pa.binary()) for x in (blobs, more, maps)],
+                        names=["key", "side", "cls", "n", "toks", "feats", "bits"],
                     )
 
     return df.select("key", "side", "field", "text").where("text IS NOT NULL AND key IS NOT NULL").mapInArrow(apply, SETS)
@@ -98,7 +136,7 @@ def token_ranks(sets: DataFrame) -> tuple[np.ndarray, int]:
         rank = np.minimum(255, 4 * np.log2(total + 1.0)).astype(np.uint8)
         return pa.table({"part": table.column("part")[:1], "ranks": pa.array([rank.tobytes()], pa.binary()), "n": pa.array([int(total.sum())])})
 
-    counted = sets.where("toks IS NOT NULL").select("toks").mapInArrow(count, "part int, counts binary")
+    counted = sets.where("feats IS NOT NULL").select("feats").mapInArrow(count, "part int, counts binary")
     rows = counted.groupBy("part").applyInArrow(add, "part int, ranks binary, n bigint").collect()  # 16 rows, 1 MB
     ranks = np.zeros(cells, dtype=np.uint8)
     for r in rows:
@@ -107,10 +145,10 @@ def token_ranks(sets: DataFrame) -> tuple[np.ndarray, int]:
 
 
 class Matrix:
-    """Entries (token, group, place of the token in the set's order) of one bucket with the bounds and members of its groups."""
+    """Entries (token, group) of one bucket, with the sizes, the side and the members (class, size, bitmap) of its groups."""
 
-    NAMES = ("token", "group", "place", "low", "high", "side", "first", "cls", "n")
-    TYPES = ("<u8", "<u4", "<u4", "<u4", "<u4", "u1", "<u4", "<i8", "<u4")
+    NAMES = ("token", "group", "low", "high", "side", "first", "cls", "n", "bits")
+    TYPES = ("<u8", "<u4", "<u4", "<u4", "u1", "<u4", "<i8", "<u4", "V16")
 
     def __init__(self, **arrays: np.ndarray):
         self.__dict__.update(arrays)
@@ -130,8 +168,8 @@ class Matrix:
                 a = np.frombuffer(b, dtype=t, count=int(m), offset=at)
                 at += a.nbytes
                 parts[k].append(a.astype(np.int64) + groups if k == "group" else a.astype(np.int64) + members if k == "first" else a)
-            groups += int(sizes[3])
-            members += int(sizes[7])
+            groups += int(sizes[2])
+            members += int(sizes[6])
         m = cls(**{k: np.concatenate(v) for k, v in parts.items()})
         m.first = np.append(m.first, members)
         return m
@@ -142,19 +180,13 @@ class Matrix:
         count = self.first[used + 1] - self.first[used]
         start = np.concatenate([[0], np.cumsum(count)])
         member = np.repeat(self.first[used] - start[:-1], count) + np.arange(start[-1])
-        return Matrix(token=self.token[entries], group=group, place=self.place[entries], low=self.low[used], high=self.high[used], side=self.side[used], first=start[:-1], cls=self.cls[member], n=self.n[member])
-
-
-def needed(n_a: np.ndarray, n_b: np.ndarray, t: float) -> np.ndarray:
-    """Common tokens that sets of these sizes need for a likeness of t."""
-    return np.ceil(t / (1 + t) * (n_a + n_b) - 1e-9)
+        return Matrix(token=self.token[entries], group=group, low=self.low[used], high=self.high[used], side=self.side[used], first=start[:-1], cls=self.cls[member], n=self.n[member], bits=self.bits[member])
 
 
 def open_groups(m: Matrix, i: np.ndarray, j: np.ndarray, t: float, two_sided: bool) -> np.ndarray:
     """Candidate member pairs of the entries i and j of one token each, as an array of shape (pairs, 2)."""
     g, h = m.group[i], m.group[j]
-    room = 1 + np.minimum(m.high[g].astype(np.int64) - m.place[i], m.high[h].astype(np.int64) - m.place[j]) - 1
-    ok = (room >= needed(m.low[g].astype(np.int64), m.low[h].astype(np.int64), t)) & (m.high[g] >= t * m.low[h] - 1e-9) & (m.high[h] >= t * m.low[g] - 1e-9) & (g != h)
+    ok = (m.high[g] >= t * m.low[h] - 1e-9) & (m.high[h] >= t * m.low[g] - 1e-9) & (g != h)
     if two_sided:
         ok &= m.side[g] != m.side[h]
     g, h = g[ok], h[ok]
@@ -169,7 +201,11 @@ def open_groups(m: Matrix, i: np.ndarray, j: np.ndarray, t: float, two_sided: bo
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     wide = np.repeat(ch, size)
     x, y = np.repeat(m.first[g], size) + at // wide, np.repeat(m.first[h], size) + at % wide
-    fits = (np.minimum(m.n[x], m.n[y]) >= t * np.maximum(m.n[x], m.n[y]) - 1e-9) & ((m.cls[x] != m.cls[y]) | two_sided)
+    fits = (np.minimum(m.n[x], m.n[y]) >= t * np.maximum(m.n[x], m.n[y]) - 1e-9) & (m.cls[x] != m.cls[y])
+    x, y = x[fits], y[fits]
+    words = m.bits.view("<u8").reshape(-1, BITS // 64)
+    differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
+    fits = differ <= (1 - t) / (1 + t) * (m.n[x].astype(np.int64) + m.n[y]) + 1e-9
     return np.stack([m.cls[x[fits]], m.cls[y[fits]]], axis=1)
 
 
@@ -195,21 +231,22 @@ def matrix_blobs(sets: DataFrame, ranks: np.ndarray, t: float, buckets: int) ->
     def apply(batches):
         seen: set[tuple[int, int]] = set()
         for b in batches:
-            cls_all, side_all = b.column("cls").to_numpy(), b.column("side").to_numpy()
-            toks_all, n_all = unpack40(b.column("toks").to_pylist())
-            new = np.array([(m := (int(c), int(s))) not in seen and not seen.add(m) for c, s in zip(cls_all, side_all)], dtype=bool)
+            cls_all, side_all, size_all = (b.column(c).to_numpy() for c in ("cls", "side", "n"))
+            toks_all, count_all = unpack40(b.column("feats").to_pylist())
+            new = np.array([c > 0 and (m := (int(x), int(y))) not in seen and not seen.add(m) for c, x, y in zip(count_all, cls_all, side_all)], dtype=bool)
             if not new.any():
                 continue
-            toks, n = toks_all[np.repeat(new, n_all)], n_all[new]
-            cls, side = cls_all[new], side_all[new]
-            docs = np.repeat(np.arange(len(n)), n)
+            toks, has = toks_all[np.repeat(new, count_all)], count_all[new]
+            cls, side, n = cls_all[new], side_all[new], size_all[new].astype(np.int64)
+            bits = np.frombuffer(b"".join(x for x, y in zip(b.column("bits").to_pylist(), new) if y), dtype="V16")
+            docs = np.repeat(np.arange(len(n)), has)
             # groups: classes with the same least token by hash, of similar size and one side, GROUP at most
-            first = np.concatenate([[0], np.cumsum(n)])
+            first = np.concatenate([[0], np.cumsum(has)])
             least = np.minimum.reduceat(mix(toks), first[:-1])
-            tier = np.floor(np.log(n) / -np.log(t) + 1e-9).astype(np.int64)
-            order = np.lexsort((n, tier, side, least))
+            near = np.floor(np.log(n) / -np.log(t) + 1e-9).astype(np.int64)
+            order = np.lexsort((n, near, side, least))
             same = np.zeros(len(order), dtype=bool)
-            same[1:] = (least[order][1:] == least[order][:-1]) & (tier[order][1:] == tier[order][:-1]) & (side[order][1:] == side[order][:-1])
+            same[1:] = (least[order][1:] == least[order][:-1]) & (near[order][1:] == near[order][:-1]) & (side[order][1:] == side[order][:-1])
             run = np.arange(len(order)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
             begins = ~same | (run % GROUP == 0)
             group = np.empty(len(order), dtype=np.int64)
@@ -217,18 +254,17 @@ def matrix_blobs(sets: DataFrame, ranks: np.ndarray, t: float, buckets: int) ->
             at = np.flatnonzero(begins)
             count = np.diff(np.append(at, len(order)))
             low, high = n[order][at], n[order][np.append(at[1:], len(order)) - 1]
-            # prefixes: the rarest tokens of each class
+            # the rarest tokens of each class
             rank = ranks[(toks & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-            packed = np.sort((docs.astype(np.uint64) << np.uint64(48)) | (rank.astype(np.uint64) << np.uint64(40)) | toks)
-            place = np.arange(len(packed)) - np.repeat(first[:-1], n)
-            front = place < np.repeat(n - np.ceil(t * n - 1e-9).astype(np.int64) + 1, n)
-            token, place, g = packed[front] & TOKEN, place[front], group[docs[front]]
-            # union of a group's prefixes: a token once, at its foremost place
-            o = np.lexsort((place, token, g))
-            token, place, g = token[o], place[o], g[o]
-            once = np.ones(len(g), dtype=bool)
-            once[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
-            m = Matrix(token=token[once], group=g[once], place=place[once], low=low, high=high, side=side[order][at], first=np.append(at, len(order)), cls=cls[order], n=n[order])
+            tier = docs * 4 + (toks >> np.uint64(38)).astype(np.int64)  # docs and tokens are in rising order, so the tiers are too
+            packed = np.sort((tier.astype(np.uint64) << np.uint64(46)) | (rank.astype(np.uint64) << np.uint64(38)) | (toks & np.uint64((1 << 38) - 1)))
+            begins = np.flatnonzero(np.append(True, tier[1:] != tier[:-1]))
+            count_tier = np.diff(np.append(begins, len(tier)))
+            front = np.arange(len(packed)) - np.repeat(begins, count_tier) < np.repeat(np.ceil(FRONT * count_tier).astype(np.int64), count_tier)
+            # the union of each group's tokens
+            g, token = group[docs[front]], (packed[front] & np.uint64((1 << 38) - 1)) | ((tier[front] & 3).astype(np.uint64) << np.uint64(38))
+            once = np.unique((g.astype(np.uint64) << np.uint64(40)) | token)
+            m = Matrix(token=once & TOKEN, group=(once >> np.uint64(40)).astype(np.int64), low=low, high=high, side=side[order][at], first=np.append(at, len(order)), cls=cls[order], n=n[order], bits=bits[order])
             bucket = (m.token % np.uint64(buckets)).astype(np.int64)
             o = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[o], np.arange(buckets + 1))
@@ -238,7 +274,7 @@ def matrix_blobs(sets: DataFrame, ranks: np.ndarray, t: float, buckets: int) ->
                 rows.append((-1, np.concatenate(inner).astype("<i8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
 
-    return sets.where("toks IS NOT NULL").select("cls", "side", "toks").mapInArrow(apply, "bucket int, blob binary")
+    return sets.where("feats IS NOT NULL").select("cls", "side", "n", "feats", "bits").mapInArrow(apply, "bucket int, blob binary")
 
 
 def join_bucket(m: Matrix, t: float, two_sided: bool):
@@ -365,8 +401,8 @@ def similar(df: DataFrame, k: int, t: float, two_sided: bool = False) -> tuple[D
     between side 0 (a) and side 1 (b), and equal sets on both sides are members of one class. Rows repeated under one
     key count once. Empty inputs give empty results.
     """
-    sets = written(token_sets(df, k), "sets")
+    sets = written(token_sets(df, k, t), "sets")
     ranks, tokens = token_ranks(sets)
-    buckets = max(12, int(tokens * (1 - t) * 1.1) // BUCKET_ENTRIES)
+    buckets = max(12, int(tokens * FRONT) // BUCKET_ENTRIES)
     cands = cut_lineage(candidates(matrix_blobs(sets, ranks, t, buckets), t, two_sided))
     return sets.select("key", "side", "cls", "n").distinct(), verified(cands, sets, t)

@@ -8,8 +8,12 @@ import importlib
 _QUERIES = {
     "p1_found": ("common_form", "p1_found"),
     "p1_changed": ("common_form", "p1_changed", "p1_changed_sql"),
+    "p2_found": ("splitting", "p2_found"),
+    "p2_pieces": ("splitting", "p2_pieces"),
     "p3_found": ("near_duplicates", "p3_found"),
     "p3_classes": ("near_duplicates", "p3_classes"),
+    "p5_found": ("split_overlap", "p5_found"),
+    "p5_report": ("split_overlap", "p5_report"),
     "p8_found": ("leaks", "p8_found"),
     "p8_report": ("leaks", "p8_report"),
 }
