@@ -14,6 +14,8 @@ _QUERIES = {
     "p3_classes": ("near_duplicates", "p3_classes"),
     "p5_found": ("split_overlap", "p5_found"),
     "p5_report": ("split_overlap", "p5_report"),
+    "p6_found": ("encoding", "p6_found"),
+    "p6_restored": ("encoding", "p6_restored"),
     "p8_found": ("leaks", "p8_found"),
     "p8_report": ("leaks", "p8_report"),
 }
