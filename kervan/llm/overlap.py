@@ -78,7 +78,7 @@ def parity(toks: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(doc * BITS + place, minlength=n * BITS).reshape(n, BITS) & 1, axis=1)
 
 
-def token_sets(df: DataFrame, k: int, t: float) -> DataFrame:
+def token_sets(df: DataFrame, k: int, t: float, bitmaps: bool) -> DataFrame:
     """(key, side, cls, n, toks, feats, bits) of rows (key, side, field, text): the set of k-word sequences of each text, its class
     and its matrix tokens.
 
@@ -96,7 +96,7 @@ def token_sets(df: DataFrame, k: int, t: float) -> DataFrame:
                     toks, first = w.sets(k, int(field))
                     n = np.diff(first)
                     feats, at = matrix_tokens(w, k, t, n, int(field))
-                    bits = parity(toks, first)
+                    bits = parity(toks, first) if bitmaps else None
                     total = np.zeros(len(toks) + 1, dtype=np.uint64)
                     np.cumsum(mix(toks + np.uint64(1)), out=total[1:])
                     cls = mix((total[first[1:]] - total[first[:-1]]) ^ np.uint64(int(field))).view(np.int64)
@@ -107,7 +107,7 @@ def token_sets(df: DataFrame, k: int, t: float) -> DataFrame:
                         new = mark not in seen
                         blobs.append(pack40(toks[first[d] : first[d + 1]]) if new else None)
                         more.append(pack40(feats[at[d] : at[d + 1]]) if new else None)
-                        maps.append(bits[d].tobytes() if new else None)
+                        maps.append(bits[d].tobytes() if new and bitmaps else None)
                         seen.add(mark)
                     yield pa.RecordBatch.from_arrays(
                         [keys.take(pa.array(lo + rows)), pa.array(sides[lo + rows], pa.int8()), pa.array(cls[rows]), pa.array(n[rows].astype(np.int32))] + [pa.array(x, pa.binary()) for x in (blobs, more, maps)],
@@ -145,13 +145,18 @@ def token_ranks(sets: DataFrame) -> tuple[np.ndarray, int]:
 
 
 class Matrix:
-    """Entries (token, group) of one bucket, with the sizes, the side and the members (class, size, bitmap) of its groups."""
+    """Entries (token, group) of one bucket, with the sides and the members (class, size, bitmap if kept) of its groups.
 
-    NAMES = ("token", "group", "low", "high", "side", "first", "cls", "n", "bits")
-    TYPES = ("<u8", "<u4", "<u4", "<u4", "u1", "<u4", "<i8", "<u4", "V16")
+    Members of a group are in order of size, so the first and the last have its bounds.
+    """
+
+    NAMES = ("token", "group", "count", "side", "cls", "n", "bits")
+    TYPES = ("<u8", "<u4", "u1", "u1", "<i8", "<u4", "V16")
 
-    def __init__(self, **arrays: np.ndarray):
-        self.__dict__.update(arrays)
+    def __init__(self, token, group, count, side, cls, n, bits):
+        self.token, self.group, self.count, self.side, self.cls, self.n, self.bits = token, group, count, side, cls, n, bits
+        self.first = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        self.low, self.high = n[self.first[:-1]], n[self.first[1:] - 1]
 
     def to_bytes(self) -> bytes:
         arrays = [getattr(self, k).astype(t) for k, t in zip(self.NAMES, self.TYPES)]
@@ -160,27 +165,23 @@ class Matrix:
     @classmethod
     def from_bytes(cls, blobs: list[bytes]) -> "Matrix":
         parts: dict[str, list] = {k: [] for k in cls.NAMES}
-        groups = members = 0
+        groups = 0
         for b in blobs:
             sizes = np.frombuffer(b, dtype="<u4", count=len(cls.NAMES))
             at = 4 * len(cls.NAMES)
             for k, t, m in zip(cls.NAMES, cls.TYPES, sizes):
                 a = np.frombuffer(b, dtype=t, count=int(m), offset=at)
                 at += a.nbytes
-                parts[k].append(a.astype(np.int64) + groups if k == "group" else a.astype(np.int64) + members if k == "first" else a)
+                parts[k].append(a.astype(np.int64) + groups if k == "group" else a)
             groups += int(sizes[2])
-            members += int(sizes[6])
-        m = cls(**{k: np.concatenate(v) for k, v in parts.items()})
-        m.first = np.append(m.first, members)
-        return m
+        return cls(**{k: np.concatenate(v) for k, v in parts.items()})
 
     def take(self, entries: np.ndarray) -> "Matrix":
-        """Only these entries, with only their groups; for blobs, so `first` has no last entry."""
+        """Only these entries, with only their groups."""
         used, group = np.unique(self.group[entries], return_inverse=True)
-        count = self.first[used + 1] - self.first[used]
-        start = np.concatenate([[0], np.cumsum(count)])
-        member = np.repeat(self.first[used] - start[:-1], count) + np.arange(start[-1])
-        return Matrix(token=self.token[entries], group=group, low=self.low[used], high=self.high[used], side=self.side[used], first=start[:-1], cls=self.cls[member], n=self.n[member], bits=self.bits[member])
+        count = self.count[used].astype(np.int64)
+        member = np.repeat(self.first[used] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return Matrix(self.token[entries], group, self.count[used], self.side[used], self.cls[member], self.n[member], self.bits[member] if len(self.bits) else self.bits)
 
 
 def open_groups(m: Matrix, i: np.ndarray, j: np.ndarray, t: float, two_sided: bool) -> np.ndarray:
@@ -203,9 +204,11 @@ def open_groups(m: Matrix, i: np.ndarray, j: np.ndarray, t: float, two_sided: bo
     x, y = np.repeat(m.first[g], size) + at // wide, np.repeat(m.first[h], size) + at % wide
     fits = (np.minimum(m.n[x], m.n[y]) >= t * np.maximum(m.n[x], m.n[y]) - 1e-9) & (m.cls[x] != m.cls[y])
     x, y = x[fits], y[fits]
-    words = m.bits.view("<u8").reshape(-1, BITS // 64)
-    differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
-    fits = differ <= (1 - t) / (1 + t) * (m.n[x].astype(np.int64) + m.n[y]) + 1e-9
+    fits = np.ones(len(x), dtype=bool)
+    if len(m.bits):
+        words = m.bits.view("<u8").reshape(-1, BITS // 64)
+        differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
+        fits = differ <= (1 - t) / (1 + t) * (m.n[x].astype(np.int64) + m.n[y]) + 1e-9
     return np.stack([m.cls[x[fits]], m.cls[y[fits]]], axis=1)
 
 
@@ -238,7 +241,7 @@ def matrix_blobs(sets: DataFrame, ranks: np.ndarray, t: float, buckets: int) ->
                 continue
             toks, has = toks_all[np.repeat(new, count_all)], count_all[new]
             cls, side, n = cls_all[new], side_all[new], size_all[new].astype(np.int64)
-            bits = np.frombuffer(b"".join(x for x, y in zip(b.column("bits").to_pylist(), new) if y), dtype="V16")
+            bits = np.frombuffer(b"".join(x for x, y in zip(b.column("bits").to_pylist(), new) if y and x), dtype="V16")
             docs = np.repeat(np.arange(len(n)), has)
             # groups: classes with the same least token by hash, of similar size and one side, GROUP at most
             first = np.concatenate([[0], np.cumsum(has)])
@@ -253,7 +256,6 @@ def matrix_blobs(sets: DataFrame, ranks: np.ndarray, t: float, buckets: int) ->
             group[order] = np.cumsum(begins) - 1
             at = np.flatnonzero(begins)
             count = np.diff(np.append(at, len(order)))
-            low, high = n[order][at], n[order][np.append(at[1:], len(order)) - 1]
             # the rarest tokens of each class
             rank = ranks[(toks & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
             tier = docs * 4 + (toks >> np.uint64(38)).astype(np.int64)  # docs and tokens are in rising order, so the tiers are too
@@ -264,7 +266,7 @@ def matrix_blobs(sets: DataFrame, ranks: np.ndarray, t: float, buckets: int) ->
             # the union of each group's tokens
             g, token = group[docs[front]], (packed[front] & np.uint64((1 << 38) - 1)) | ((tier[front] & 3).astype(np.uint64) << np.uint64(38))
             once = np.unique((g.astype(np.uint64) << np.uint64(40)) | token)
-            m = Matrix(token=once & TOKEN, group=(once >> np.uint64(40)).astype(np.int64), low=low, high=high, side=side[order][at], first=np.append(at, len(order)), cls=cls[order], n=n[order], bits=bits[order])
+            m = Matrix(once & TOKEN, (once >> np.uint64(40)).astype(np.int64), count, side[order][at], cls[order], n[order], bits[order] if len(bits) else bits)
             bucket = (m.token % np.uint64(buckets)).astype(np.int64)
             o = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[o], np.arange(buckets + 1))
@@ -394,14 +396,14 @@ def verified(cands: DataFrame, sets: DataFrame, t: float, bits: int = 25) -> Dat
     return both.select("a", "b", "x", "y").mapInArrow(count, "a bigint, b bigint, n_a int, n_b int, hits int, likeness double")
 
 
-def similar(df: DataFrame, k: int, t: float, two_sided: bool = False) -> tuple[DataFrame, DataFrame]:
+def similar(df: DataFrame, k: int, t: float, two_sided: bool = False, bitmaps: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links) of rows (key, side, field, text): members (key, side, cls, n) and links (a, b, …) between classes.
 
     Every pair of different classes of a likeness of at least t, 0 < t <= 1, is one link; with two_sided, only those
     between side 0 (a) and side 1 (b), and equal sets on both sides are members of one class. Rows repeated under one
-    key count once. Empty inputs give empty results.
+    key count once. Empty inputs give empty results. bitmaps: pays where sets are small against BITS.
     """
-    sets = written(token_sets(df, k, t), "sets")
+    sets = written(token_sets(df, k, t, bitmaps), "sets")
     ranks, tokens = token_ranks(sets)
     buckets = max(12, int(tokens * FRONT) // BUCKET_ENTRIES)
     cands = cut_lineage(candidates(matrix_blobs(sets, ranks, t, buckets), t, two_sided))
