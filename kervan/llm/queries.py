@@ -12,6 +12,8 @@ _QUERIES = {
     "p2_pieces": ("splitting", "p2_pieces"),
     "p3_found": ("near_duplicates", "p3_found"),
     "p3_classes": ("near_duplicates", "p3_classes"),
+    "p4_found": ("answer_defects", "p4_found"),
+    "p4_report": ("answer_defects", "p4_report"),
     "p5_found": ("split_overlap", "p5_found"),
     "p5_report": ("split_overlap", "p5_report"),
     "p6_found": ("encoding", "p6_found"),

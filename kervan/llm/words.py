@@ -37,6 +37,15 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return word, fold
 
 
+@functools.cache
+def bare_letters() -> np.ndarray:
+    """The fold of tables() that also takes the accents off the Turkish letters."""
+    fold = tables()[1].copy()
+    for a, b in zip("ışğçöüâîû", "isgcouaiu"):
+        fold[fold == ord(a)] = ord(b)
+    return fold
+
+
 @functools.cache
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """(BASE ** i, BASE ** -i) modulo 2 ** 64."""
@@ -57,7 +66,7 @@ class Words:
     """The words of texts: word w of text d has hash[w], starts at start[w] and ends before end[w] within the flat code points;
     those of text d are first[d] to first[d + 1]."""
 
-    def __init__(self, texts: pa.Array, formed: bool = False):
+    def __init__(self, texts: pa.Array, formed: bool = False, bare: bool = False):
         texts = texts.fill_null("")
         self.texts = texts if formed else to_form(texts)
         self.n = len(self.texts)
@@ -78,7 +87,7 @@ class Words:
             last_char = first_char
         self.start = np.flatnonzero(first_char)
         self.end = np.flatnonzero(last_char) + 1
-        self.folded = fold[codes]
+        self.folded = (bare_letters() if bare else fold)[codes]
         up, down = powers(1 << max(10, int(np.ceil(np.log2(len(codes) + 2)))))
         total = np.zeros(len(codes) + 1, dtype=np.uint64)
         np.cumsum((self.folded.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
@@ -137,7 +146,7 @@ def to_form(texts: pa.Array) -> pa.Array:
     return pc.replace_with_mask(texts.cast(pa.string()), pa.array(mask), form_array(texts.take(pa.array(which))))
 
 
-def each(texts: pa.Array):
+def each(texts: pa.Array, bare: bool = False):
     """(number of the first text, Words) for runs of texts of about FLAT bytes; a longer text goes alone."""
     texts = to_form(texts)
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -145,5 +154,5 @@ def each(texts: pa.Array):
     lo = 0
     while lo < len(size):
         hi = max(lo + 1, int(np.searchsorted(total, total[lo] + FLAT, side="right")) - 1)
-        yield lo, Words(texts.slice(lo, hi - lo), formed=True)
+        yield lo, Words(texts.slice(lo, hi - lo), formed=True, bare=bare)
         lo = hi
