@@ -18,8 +18,12 @@ _QUERIES = {
     "p5_report": ("split_overlap", "p5_report"),
     "p6_found": ("encoding", "p6_found"),
     "p6_restored": ("encoding", "p6_restored"),
+    "p7_packed": ("packing", "p7_packed"),
+    "p7_fill": ("packing", "p7_fill"),
     "p8_found": ("leaks", "p8_found"),
     "p8_report": ("leaks", "p8_report"),
+    "p9_found": ("subjects", "p9_found"),
+    "p9_makeup": ("subjects", "p9_makeup"),
 }
 
 

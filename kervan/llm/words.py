@@ -92,9 +92,15 @@ class Words:
         total = np.zeros(len(codes) + 1, dtype=np.uint64)
         np.cumsum((self.folded.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self._total, self._down = total, down
         self.first = np.searchsorted(self.start, self.offset).astype(np.int64)
         self.doc = np.repeat(np.arange(self.n, dtype=np.int64), np.diff(self.first))
 
+    def stems(self, letters: int) -> np.ndarray:
+        """Hash of the first so many letters of every word."""
+        end = np.minimum(self.end, self.start + letters)
+        return mix((self._total[end] - self._total[self.start]) * self._down[self.start] + (end - self.start).astype(np.uint64))
+
     def sequences(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, number of the first word, hash) of every sequence of k consecutive words."""
         m = len(self.hash) - k + 1
