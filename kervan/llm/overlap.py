@@ -78,7 +78,7 @@ def parity(toks: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(doc * BITS + place, minlength=n * BITS).reshape(n, BITS) & 1, axis=1)
 
 
-def token_sets(df: DataFrame, k: int, t: float, bitmaps: bool) -> DataFrame:
+def token_sets(df: DataFrame, k: int, t: float) -> DataFrame:
     """(key, side, cls, n, toks, feats, bits) of rows (key, side, field, text): the set of k-word sequences of each text, its class
     and its matrix tokens.
 
@@ -96,7 +96,7 @@ def token_sets(df: DataFrame, k: int, t: float, bitmaps: bool) -> DataFrame:
                     toks, first = w.sets(k, int(field))
                     n = np.diff(first)
                     feats, at = matrix_tokens(w, k, t, n, int(field))
-                    bits = parity(toks, first) if bitmaps else None
+                    bits = parity(toks, first)
                     total = np.zeros(len(toks) + 1, dtype=np.uint64)
                     np.cumsum(mix(toks + np.uint64(1)), out=total[1:])
                     cls = mix((total[first[1:]] - total[first[:-1]]) ^ np.uint64(int(field))).view(np.int64)
@@ -105,9 +105,9 @@ def token_sets(df: DataFrame, k: int, t: float, bitmaps: bool) -> DataFrame:
                     for d in rows:
                         mark = (int(cls[d]), int(sides[lo + d]))
                         new = mark not in seen
-                        blobs.append(pack40(toks[first[d] : first[d + 1]]) if new else None)
+                        blobs.append(pack32(toks[first[d] : first[d + 1]]) if new else None)
                         more.append(pack40(feats[at[d] : at[d + 1]]) if new else None)
-                        maps.append(bits[d].tobytes() if new and bitmaps else None)
+                        maps.append(bits[d].tobytes() if new else None)
                         seen.add(mark)
                     yield pa.RecordBatch.from_arrays(
                         [keys.take(pa.array(lo + rows)), pa.array(sides[lo + rows], pa.int8()), pa.array(cls[rows]), pa.array(n[rows].astype(np.int32))] + [pa.array(x, pa.binary()) for x in (blobs, more, maps)],
@@ -144,8 +144,17 @@ def token_ranks(sets: DataFrame) -> tuple[np.ndarray, int]:
     return ranks, sum(r.n for r in rows)
 
 
+def pack32(t: np.ndarray) -> bytes:
+    """The lower halves of tokens: enough to compare two sets, which differ by chance in less than one of 10,000 pairs by one token."""
+    return (t & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+
+def unpack32(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(blobs), dtype="<u4").astype(np.uint64), np.array([len(b) // 4 for b in blobs], dtype=np.int64)
+
+
 class Matrix:
-    """Entries (token, group) of one bucket, with the sides and the members (class, size, bitmap if kept) of its groups.
+    """Entries (token, group) of one bucket, with the sides and the members (class, size, bitmap) of its groups.
 
     Members of a group are in order of size, so the first and the last have its bounds.
     """
@@ -181,7 +190,7 @@ class Matrix:
         used, group = np.unique(self.group[entries], return_inverse=True)
         count = self.count[used].astype(np.int64)
         member = np.repeat(self.first[used] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return Matrix(self.token[entries], group, self.count[used], self.side[used], self.cls[member], self.n[member], self.bits[member] if len(self.bits) else self.bits)
+        return Matrix(self.token[entries], group, self.count[used], self.side[used], self.cls[member], self.n[member], self.bits[member])
 
 
 def open_groups(m: Matrix, i: np.ndarray, j: np.ndarray, t: float, two_sided: bool) -> np.ndarray:
@@ -204,11 +213,9 @@ def open_groups(m: Matrix, i: np.ndarray, j: np.ndarray, t: float, two_sided: bo
     x, y = np.repeat(m.first[g], size) + at // wide, np.repeat(m.first[h], size) + at % wide
     fits = (np.minimum(m.n[x], m.n[y]) >= t * np.maximum(m.n[x], m.n[y]) - 1e-9) & (m.cls[x] != m.cls[y])
     x, y = x[fits], y[fits]
-    fits = np.ones(len(x), dtype=bool)
-    if len(m.bits):
-        words = m.bits.view("<u8").reshape(-1, BITS // 64)
-        differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
-        fits = differ <= (1 - t) / (1 + t) * (m.n[x].astype(np.int64) + m.n[y]) + 1e-9
+    words = m.bits.view("<u8").reshape(-1, BITS // 64)
+    differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
+    fits = differ <= (1 - t) / (1 + t) * (m.n[x].astype(np.int64) + m.n[y]) + 1e-9
     return np.stack([m.cls[x[fits]], m.cls[y[fits]]], axis=1)
 
 
@@ -241,7 +248,7 @@ def matrix_blobs(sets: DataFrame, ranks: np.ndarray, t: float, buckets: int) ->
                 continue
             toks, has = toks_all[np.repeat(new, count_all)], count_all[new]
             cls, side, n = cls_all[new], side_all[new], size_all[new].astype(np.int64)
-            bits = np.frombuffer(b"".join(x for x, y in zip(b.column("bits").to_pylist(), new) if y and x), dtype="V16")
+            bits = np.frombuffer(b"".join(x for x, y in zip(b.column("bits").to_pylist(), new) if y), dtype="V16")
             docs = np.repeat(np.arange(len(n)), has)
             # groups: classes with the same least token by hash, of similar size and one side, GROUP at most
             first = np.concatenate([[0], np.cumsum(has)])
@@ -266,7 +273,7 @@ def matrix_blobs(sets: DataFrame, ranks: np.ndarray, t: float, buckets: int) ->
             # the union of each group's tokens
             g, token = group[docs[front]], (packed[front] & np.uint64((1 << 38) - 1)) | ((tier[front] & 3).astype(np.uint64) << np.uint64(38))
             once = np.unique((g.astype(np.uint64) << np.uint64(40)) | token)
-            m = Matrix(once & TOKEN, (once >> np.uint64(40)).astype(np.int64), count, side[order][at], cls[order], n[order], bits[order] if len(bits) else bits)
+            m = Matrix(once & TOKEN, (once >> np.uint64(40)).astype(np.int64), count, side[order][at], cls[order], n[order], bits[order])
             bucket = (m.token % np.uint64(buckets)).astype(np.int64)
             o = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[o], np.arange(buckets + 1))
@@ -384,8 +391,8 @@ def verified(cands: DataFrame, sets: DataFrame, t: float, bits: int = 25) -> Dat
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 s = b.slice(lo, 4096)
-                x, nx = unpack40(s.column("x").to_pylist())
-                y, ny = unpack40(s.column("y").to_pylist())
+                x, nx = unpack32(s.column("x").to_pylist())
+                y, ny = unpack32(s.column("y").to_pylist())
                 p = np.arange(s.num_rows, dtype=np.uint64)
                 z = np.sort(np.concatenate([(np.repeat(p, nx) << np.uint64(40)) | x, (np.repeat(p, ny) << np.uint64(40)) | y]))
                 hits = np.bincount((z[1:][z[1:] == z[:-1]] >> np.uint64(40)).astype(np.int64), minlength=s.num_rows)
@@ -396,14 +403,14 @@ def verified(cands: DataFrame, sets: DataFrame, t: float, bits: int = 25) -> Dat
     return both.select("a", "b", "x", "y").mapInArrow(count, "a bigint, b bigint, n_a int, n_b int, hits int, likeness double")
 
 
-def similar(df: DataFrame, k: int, t: float, two_sided: bool = False, bitmaps: bool = False) -> tuple[DataFrame, DataFrame]:
+def similar(df: DataFrame, k: int, t: float, two_sided: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links) of rows (key, side, field, text): members (key, side, cls, n) and links (a, b, …) between classes.
 
     Every pair of different classes of a likeness of at least t, 0 < t <= 1, is one link; with two_sided, only those
     between side 0 (a) and side 1 (b), and equal sets on both sides are members of one class. Rows repeated under one
-    key count once. Empty inputs give empty results. bitmaps: pays where sets are small against BITS.
+    key count once. Empty inputs give empty results.
     """
-    sets = written(token_sets(df, k, t, bitmaps), "sets")
+    sets = written(token_sets(df, k, t), "sets")
     ranks, tokens = token_ranks(sets)
     buckets = max(12, int(tokens * FRONT) // BUCKET_ENTRIES)
     cands = cut_lineage(candidates(matrix_blobs(sets, ranks, t, buckets), t, two_sided))
