@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Decomposed letters and what composition makes of them.
-COMPOSED = [
-    ("ç", "ç"), ("ğ", "ğ"), ("ö", "ö"), ("ş", "ş"), ("ü", "ü"), ("â", "â"), ("î", "î"), ("û", "û"),
-    ("Ç", "Ç"), ("Ğ", "Ğ"), ("Ö", "Ö"), ("Ş", "Ş"), ("Ü", "Ü"), ("İ", "İ"), ("Â", "Â"), ("Î", "Î"), ("Û", "Û"),
-    ("é", "é"), ("è", "è"), ("ä", "ä"), ("ñ", "ñ"), ("á", "á"), ("í", "í"), ("ó", "ó"), ("ú", "ú"),
-    ("ӧ", "ӧ"), ("ё", "ё"), ("ї", "ї"), ("ў", "ў"),
-]
+#: Letters whose decomposed form is composed.
+LETTERS = "çğöşüâîûÇĞÖŞÜİÂÎÛéèêëäñáàíóòôúÉÄÑӧёїў"
+COMPOSED = [(unicodedata.normalize("NFD", c), c) for c in unicodedata.normalize("NFC", LETTERS)]
 
 
 def _c(c) -> Column:
@@ -23,7 +21,7 @@ def nfc(c) -> Column:
     c = out = _c(c)
     for a, b in COMPOSED:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.when(c.rlike("[̀-ͯ]"), out).otherwise(c)
+    return F.when(c.rlike(r"[\u0300-\u036F]"), out).otherwise(c)
 
 
 def turkish_lower(c) -> Column:

@@ -55,9 +55,9 @@ def inject_citations(rows: DataFrame, least: float = 0.15) -> DataFrame:
     cited, and an answer without any citation comes back unchanged. All within the row: no join, no shuffle.
     """
     sents = F.split(F.coalesce("predicted", F.lit("")), r"(?<=[.!?])\s+")
-    chunks = F.coalesce("retrieved_chunks", F.array().cast("array<struct<text:string>>"))
+    chunks = F.coalesce(F.transform("retrieved_chunks", lambda c: c["text"]), F.array().cast("array<string>"))
     words = lambda c: T.qa_tokens(F.coalesce(c, F.lit("")))
-    base = rows.select("query_id", "predicted", sents.alias("sents"), F.transform(sents, lambda s: words(s)).alias("sw"), F.transform(chunks, lambda c: words(c["text"])).alias("cw"))
+    base = rows.select("query_id", "predicted", sents.alias("sents"), F.transform(sents, lambda s: words(s)).alias("sw"), F.transform(chunks, lambda c: words(c)).alias("cw"))
     scored = base.withColumn("best", F.transform("cw", lambda c: F.array_max(F.transform(F.col("sw"), lambda s, i: F.struct(T.overlap_coefficient(s, c).alias("score"), (-i).alias("neg"))))))
     place = F.transform("best", lambda b, i: F.struct((-b["neg"]).alias("s"), (i + 1).alias("n"), b["score"].alias("score")))
     ok = scored.withColumn("cites", F.filter(place, lambda p: p["score"] >= least))
