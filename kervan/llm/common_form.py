@@ -13,6 +13,7 @@ import functools
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def plain_table() -> np.ndarray:
 @functools.cache
 def connection() -> duckdb.DuckDBPyConnection:
     """One single-threaded DuckDB per Python worker."""
-    return duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "1GB"})
 
 
 def run_sql(sql: str, **tables: pa.Table) -> pa.Table:
@@ -102,11 +103,24 @@ def run_sql(sql: str, **tables: pa.Table) -> pa.Table:
             con.unregister(name)
 
 
+def byte_slices(texts: pa.Array, most: int = 8_000_000):
+    """(from, to) of runs of texts of at most so many bytes; a longer text goes alone."""
+    size = pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(size)])
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def form_array(texts: pa.Array) -> pa.Array:
     """Common form of a string array, in its order."""
-    t = pa.table({"i": pa.array(np.arange(len(texts), dtype=np.int32)), "t": texts})
-    out = run_sql(f"SELECT {sql_form('t')} AS t FROM x ORDER BY i", x=t)
-    return out.column("t").combine_chunks() if len(out) else pa.array([], pa.string())
+    parts = []
+    for lo, hi in byte_slices(texts):
+        t = pa.table({"i": pa.array(np.arange(hi - lo, dtype=np.int32)), "t": texts.slice(lo, hi - lo)})
+        parts += run_sql(f"SELECT {sql_form('t')} AS t FROM x ORDER BY i", x=t).column("t").cast(pa.string()).chunks
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def common_form(df: DataFrame, column: str, out: str = "common_form") -> DataFrame:
@@ -119,7 +133,8 @@ def common_form(df: DataFrame, column: str, out: str = "common_form") -> DataFra
     schema = df.select(*[F.col(f"`{c}`") for c in kept], F.lit("").cast("string").alias(out)).schema
     schema[out].nullable = True
     at = kept.index(column) if column in kept else None
-    src = df.select(*[F.col(f"`{c}`") for c in kept], *([] if at is not None else [F.col(f"`{column}`").alias("__text")]))
+    spare = "text_" + "_" * max(map(len, df.columns))
+    src = df.select(*[F.col(f"`{c}`") for c in kept], *([] if at is not None else [F.col(f"`{column}`").alias(spare)]))
 
     def apply(batches):
         for b in batches:
@@ -143,7 +158,8 @@ def form_hashes(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
     def apply(batches):
         for b in batches:
             t = pa.table({"k": b.column(0), "t": b.column(1)})
-            yield from run_sql(sql, x=t).to_batches()
+            for lo, hi in byte_slices(b.column(1)):
+                yield from run_sql(sql, x=t.slice(lo, hi - lo)).to_batches()
 
     src = df.where(F.col(f"`{column}`").isNotNull() & F.col(f"`{key}`").isNotNull())
     return src.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{column}`").alias("t")).mapInArrow(apply, HASHED)

@@ -32,6 +32,7 @@ CLEAN = LETTERS + HATS + MARKS
 #: Cost of entering and leaving a garbled span, and of going on in another one.
 ENTER, LEAVE, CHANGE = 5.0, 1.0, 8.0
 LOST = "�"
+STRETCH = 20_000
 #: What the first bytes of two-byte sequences look like in cp1252.
 LEADS = "ÂÃÄÅ"
 _CLASS = "[^\\x00-\\x7F" + "".join(CLEAN) + "\\u200B-\\u200F\\u2060-\\u2064\\uFEFF\\u00AD\\uFE0F\\u2000-\\u200A\\u202F\\u00A0\\u0300-\\u036F\\uFF01-\\uFF5E\\uFB01\\uFB02\\u2011]"
@@ -122,7 +123,21 @@ def clean_cost(t: str, i: int) -> float:
 
 
 def label(t: str) -> list[tuple[int, int, int, str]]:
-    """(start, end, number of the pair or -1 for lost, what stood there) of every character that is not clean on the best path."""
+    """(start, end, number of the pair or -1 for lost, what stood there) of every character that is not clean on the best path.
+
+    Longer texts are labelled in stretches of about STRETCH characters, cut at white space.
+    """
+    found, lo = [], 0
+    while len(t) - lo > 2 * STRETCH:
+        hi = lo + STRETCH
+        while hi < lo + 2 * STRETCH and not t[hi].isspace():
+            hi += 1
+        found += [(a + lo, b + lo, s, ch) for a, b, s, ch in _label(t[lo:hi])]
+        lo = hi
+    return found + [(a + lo, b + lo, s, ch) for a, b, s, ch in _label(t[lo:])]
+
+
+def _label(t: str) -> list[tuple[int, int, int, str]]:
     at = [i for i, ch in enumerate(t) if ord(ch) > 127]
     if not at:
         return []

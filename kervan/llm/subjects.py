@@ -26,6 +26,8 @@ from kervan.llm.words import each
 TERMS, STEM, RANK, SPARE, ROUNDS = 8192, 5, 48, 16, 3
 #: A sentence belongs to an area if the next area's cosine is lower by this much.
 CLEAR = 0.1
+#: … and its own cosine is at least this.
+NEAR = 0.3
 #: Sentences and share of sentences that give a document an area.
 LEAST, SHARE = 2, 0.1
 #: Labelled documents the seeds are taken from, at most; those of the least hash.
@@ -174,7 +176,7 @@ def assigned(b: pa.RecordBatch, vectors: np.ndarray, centroids: np.ndarray) -> t
     cos = u @ centroids.T
     best = cos.argmax(axis=1)
     top2 = np.partition(cos, -2, axis=1) if cos.shape[1] > 1 else np.hstack([np.zeros_like(cos), cos])
-    return doc, u, np.where(top2[:, -1] - top2[:, -2] >= CLEAR, best, -1), n
+    return doc, u, np.where((top2[:, -1] - top2[:, -2] >= CLEAR) & (top2[:, -1] >= NEAR), best, -1), n
 
 
 def seed_centroids(table: DataFrame, vectors: np.ndarray, areas: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
