@@ -123,7 +123,7 @@ def bar(share, width: int = 24) -> Column:
 
 
 def percent(x) -> Column:
-    return F.coalesce(F.format_string("%.2f%%", F.bround(_c(x) * 100, 2)), F.lit("N/A"))
+    return F.when(_c(x).isNull(), "N/A").otherwise(F.format_string("%.2f%%", F.bround(_c(x) * 100, 2)))
 
 
 def truncate_answer(c, markers: tuple[str, ...] = ("Soru:", "Bağlam:", "Question:", "\nQ:"), least: int = 10) -> Column:

@@ -49,9 +49,9 @@ def r6(c) -> F.Column:
 
 # Parts of SQL ------------------------------------------------------------------------------------------------------
 LOW = "nfc_normalize(lower(translate({0}, 'İI', 'iı')))".format
-TOK = lambda x: r"list_filter(string_split_regex(trim(regexp_replace(" + LOW(x) + r", '[^\p{L}\p{N}_\s]', ' ', 'g')), '\s+'), lambda t: length(t) >= 2)"
-WORDS = lambda x: r"list_filter(string_split_regex(trim(" + LOW(x) + r"), '\s+'), lambda t: t <> '')"
-UNCITED = lambda x: rf"trim(regexp_replace({x}, '\[\s*[Kk][Aa][Yy][Nn][Aa][Kk]\s+\d+\s*\]', '', 'g'))"
+TOK = lambda x: r"list_filter(string_split_regex(trim(regexp_replace(" + LOW(x) + r", '[^\p{L}\p{N}_\s]', ' ', 'g'), ' '), '\s+'), lambda t: length(t) >= 2)"
+WORDS = lambda x: r"list_filter(string_split_regex(trim(" + LOW(x) + r", ' '), '\s+'), lambda t: t <> '')"
+UNCITED = lambda x: rf"trim(regexp_replace({x}, '\[\s*[Kk][Aa][Yy][Nn][Aa][Kk]\s+\d+\s*\]', '', 'g'), ' ')"
 CH = "ch AS (SELECT chunk_id, doc_id, coalesce(text, '') AS text, source, ord FROM corpus_chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ord) = 1)"
 BM = f"""{CH},
     tok AS (SELECT chunk_id AS doc, {TOK("text")} AS w FROM ch),
@@ -90,11 +90,11 @@ def _qa(spark, d):
     return dedup.first_rows(q, ["query_id"], F.coalesce("added_at", F.lit("1900-01-01").cast("timestamp")), F.col("split")).withColumn("split", F.lower(F.trim("split")))
 
 
-QA = "qa AS (SELECT * REPLACE (lower(trim(split)) AS split) FROM qa_examples QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce(added_at, TIMESTAMP '1900-01-01'), qa_examples.split) = 1)"
+QA = "qa AS (SELECT * REPLACE (lower(trim(split, ' ')) AS split) FROM qa_examples QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce(added_at, TIMESTAMP '1900-01-01'), qa_examples.split) = 1)"
 
 
 # Sources, filters, de-duplication -----------------------------------------------------------------------------------
-@query("""SELECT lower(trim(split)) AS split, count(*) AS n_rows, count(CASE WHEN context IS NULL THEN 1 END) AS n_null_context, count(CASE WHEN coalesce(answer, '') = '' THEN 1 END) AS n_empty_answer
+@query("""SELECT lower(trim(split, ' ')) AS split, count(*) AS n_rows, count(CASE WHEN context IS NULL THEN 1 END) AS n_null_context, count(CASE WHEN coalesce(answer, '') = '' THEN 1 END) AS n_empty_answer
           FROM qa_examples GROUP BY 1""")
 def q_validate_summary(spark, d):
     return readers.validate(_t(spark, d, "qa_examples").withColumn("split", F.lower(F.trim("split"))))
@@ -120,7 +120,7 @@ def q_corpus_normalize(spark, d):
            m AS (SELECT source, min(kaynak) AS kaynak FROM source_map WHERE source IS NOT NULL GROUP BY source),
            k AS (SELECT kaynak, min(source) AS source FROM source_map WHERE source IS NOT NULL GROUP BY kaynak)
            SELECT printf('hmgs_%04d', i) AS query_id, question, answer, k.source FROM (SELECT n.i, n.question, n.answer, m.kaynak FROM n LEFT JOIN m USING (source)) x JOIN k USING (kaynak)
-           WHERE NOT regexp_matches(trim(answer), '^((Yalnız|Sadece)\\s+(III|II|IV|I|V)\\b|(III|II|IV|I|V)(\\s*,\\s*(III|II|IV|I|V))+|(III|II|IV|I|V)\\s+ve\\s+(III|II|IV|I|V))')""")
+           WHERE NOT regexp_matches(trim(answer, ' '), '^((Yalnız|Sadece)\\s+(III|II|IV|I|V)\\b|(III|II|IV|I|V)(\\s*,\\s*(III|II|IV|I|V))+|(III|II|IV|I|V)\\s+ve\\s+(III|II|IV|I|V))')""")
 def q_source_map_filter(spark, d):
     """Test examples as exam rows: numbered first, then without option answers and without rows of no source."""
     m = _t(spark, d, "source_map")
@@ -141,7 +141,7 @@ def q_text_dedup(spark, d):
     return dedup.text_dedup(_chunks(spark, d)).select("chunk_id", F.md5("text").alias("text_md5"))
 
 
-@query(f"""WITH {QA}, b AS (SELECT *, CASE WHEN split = 'train' THEN 0 ELSE 1 END AS src, trim(regexp_replace(lower(nfc_normalize(question)), '\\s+', ' ', 'g')) AS key FROM qa
+@query(f"""WITH {QA}, b AS (SELECT *, CASE WHEN split = 'train' THEN 0 ELSE 1 END AS src, trim(regexp_replace(lower(nfc_normalize(question)), '\\s+', ' ', 'g'), ' ') AS key FROM qa
              WHERE coalesce(question, '') <> '' AND coalesce(answer, '') <> ''),
            k AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY src, query_id) = 1)
            SELECT (SELECT count(*) FROM b WHERE src = 0) AS n_first, (SELECT count(*) FROM b WHERE src = 1) AS n_more, count(CASE WHEN src = 1 THEN 1 END) AS n_added, (SELECT count(*) FROM b) - count(*) AS n_duplicates, count(*) AS n_final FROM k""")
@@ -193,10 +193,10 @@ def q_bm25_stats(spark, d):
     return lexical.token_idf(lexical.postings(tokens), lexical.corpus_stats(tokens)).select("token", "df", r6("idf").alias("idf"))
 
 
-@query(f"WITH {BM} SELECT query AS query_id, doc AS chunk_id, round(score, 6) AS score, rank FROM bmtop WHERE rank <= 10")
+@query(f"WITH {BM} SELECT query AS query_id, doc AS chunk_id, score, rank FROM bmtop WHERE rank <= 10")
 def q_bm25_topk(spark, d):
     got = lexical.bm25_top(_chunks(spark, d), _questions(spark, d), doc="chunk_id")
-    return got.select(F.col("query").alias("query_id"), F.col("doc").alias("chunk_id"), r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return got.select(F.col("query").alias("query_id"), F.col("doc").alias("chunk_id"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"""WITH {BM}, x AS (SELECT query, doc, score, CASE WHEN count(*) OVER p < n_docs THEN 0 END AS z, min(score) OVER p AS lo, max(score) OVER p AS hi FROM bm, st WINDOW p AS (PARTITION BY query)),
@@ -207,10 +207,10 @@ def q_bm25_minmax(spark, d):
     return _lexical(spark, d).select(F.col("query").alias("query_id"), F.col("doc").alias("chunk_id"), r6("norm").alias("norm"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"WITH {DENSE} SELECT query, doc, round(score, 6) AS score, rank FROM dntop WHERE rank <= 10")
+@query(f"WITH {DENSE} SELECT query, doc, score, rank FROM dntop WHERE rank <= 10")
 def q_dense_topk(spark, d):
     got = dense.dense_top(*_vectors(spark, d))
-    return got.select("query", "doc", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return got.select("query", "doc", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def _joined(spark, d):
@@ -241,16 +241,16 @@ HYBRID = "(SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER
 
 
 def _run(df: DataFrame) -> DataFrame:
-    return df.select(F.col("query").alias("query_id"), "doc", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return df.select(F.col("query").alias("query_id"), "doc", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"WITH {JOINED} SELECT query AS query_id, doc, round(score, 6) AS score, rank FROM {HYBRID(a='0.5::DOUBLE', b='0.5::DOUBLE', k=10)}")
+@query(f"WITH {JOINED} SELECT query AS query_id, doc, score, rank FROM {HYBRID(a='0.5::DOUBLE', b='0.5::DOUBLE', k=10)}")
 def q_hybrid_topk(spark, d):
     _, _, lex, den = _joined(spark, d)
     return _run(fusion.linear(den, lex))
 
 
-@query(f"WITH {JOINED} SELECT query AS query_id, doc, round(score, 6) AS score, rank FROM rrf WHERE rank <= 10")
+@query(f"WITH {JOINED} SELECT query AS query_id, doc, score, rank FROM rrf WHERE rank <= 10")
 def q_rrf_topk(spark, d):
     _, _, lex, den = _joined(spark, d)
     return _run(fusion.reciprocal_rank([den, lex]))
@@ -260,14 +260,14 @@ def q_rrf_topk(spark, d):
              FROM dntop t JOIN {DQ} q ON q.query = t.query JOIN embeddings e ON e.vec_id = t.doc),
            n AS (SELECT query, doc, {", ".join(f"CASE WHEN max({x}) OVER p - min({x}) OVER p < 1e-9 THEN 1 ELSE ({x} - min({x}) OVER p) / (max({x}) OVER p - min({x}) OVER p) END AS {x}" for x in "abc")} FROM c WINDOW p AS (PARTITION BY query)),
            s AS (SELECT query, doc, round((a + b + c) / 3, 9) AS score FROM n)
-           SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s QUALIFY rank <= 10""")
+           SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s QUALIFY rank <= 10""")
 def q_multivector_minmax(spark, d):
     """Three parts of the vectors as three kinds of score, each moved to [0, 1] within the 50 dense candidates."""
     qs, vs = _vectors(spark, d)
     c = dense.dense_top(qs, vs, 50).select("query", "doc").join(qs, "query").join(vs, "doc")
     part = lambda a, n: T.dot(F.slice("qv", a, n), F.slice("dv", a, n))
     got = fusion.weighted_min_max(c.select("query", "doc", part(1, 32).alias("a"), part(33, 16).alias("b"), part(49, 16).alias("c")), {"a": 1, "b": 1, "c": 1})
-    return got.select("query", "doc", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return got.select("query", "doc", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 OVERLAP = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE len(list_intersect(list_distinct({a}), list_distinct({b})))::DOUBLE / least(len(list_distinct({a})), len(list_distinct({b}))) END"
@@ -275,7 +275,7 @@ OVERLAP = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE len(
 
 @query(f"""WITH {BM}, c AS (SELECT b.query, b.doc, {TOK("r.query")} AS qw, t.w FROM bmtop b JOIN rag_eval r ON r.query_id = b.query JOIN tok t ON t.doc = b.doc),
            s AS (SELECT query, doc, round({OVERLAP("qw", "w")}, 9) AS score FROM c)
-           SELECT query AS query_id, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s QUALIFY rank <= 10""")
+           SELECT query AS query_id, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s QUALIFY rank <= 10""")
 def q_rerank_overlap(spark, d):
     c = _lexical(spark, d).select("query", "doc").join(_chunks(spark, d).select(F.col("chunk_id").alias("doc"), F.col("text").alias("doc_text")), "doc")
     return _run(fusion.rerank(c.join(_questions(spark, d).select(F.col("query_id").alias("query"), F.col("query").alias("query_text")), "query"), providers.pair_score))
@@ -291,7 +291,7 @@ RERANKED = lambda src: f"(SELECT query, doc, score, row_number() OVER (PARTITION
            UNION ALL SELECT 'dense_rerank', * FROM {RERANKED("den")}
            UNION ALL SELECT 'hybrid_rerank', * FROM {RERANKED(HYBRID(a='0.5::DOUBLE', b='0.5::DOUBLE', k=50))}
            UNION ALL SELECT 'rrf_rerank', * FROM {RERANKED("rrf")})
-           SELECT mode, query AS query_id, doc, round(score, 6) AS score, rank FROM m""")
+           SELECT mode, query AS query_id, doc, score, rank FROM m""")
 def q_modes_long(spark, d):
     docs, qs, lex, den = _joined(spark, d)
     lex, den = lex.persist(), den.persist()  # six modes read them
@@ -314,7 +314,7 @@ def _relevance_inputs(spark, d):
 REL = f"""{CH}, q AS (SELECT query_id, gold_answer_extract AS answer, source, coalesce(gold_chunk_ids, []) AS gold FROM rag_eval),
     g0 AS (SELECT query_id, chunk_id, 0 AS strategy FROM (SELECT DISTINCT query_id, unnest(gold) AS chunk_id FROM q) JOIN ch USING (chunk_id)),
     ex AS (SELECT query_id, context FROM (SELECT DISTINCT query_id, context FROM qa_examples WHERE context IS NOT NULL)),
-    g3 AS (SELECT query_id, chunk_id, 3 AS strategy FROM q JOIN ch ON contains(lower(ch.text), left(trim(lower(q.answer)), 80)) AND (q.source = ch.source OR coalesce(q.source, '') NOT IN (SELECT source FROM ch WHERE source IS NOT NULL)) WHERE length(q.answer) >= 40),
+    g3 AS (SELECT query_id, chunk_id, 3 AS strategy FROM q JOIN ch ON contains(lower(ch.text), left(trim(lower(q.answer), ' '), 80)) AND (q.source = ch.source OR coalesce(q.source, '') NOT IN (SELECT source FROM ch WHERE source IS NOT NULL)) WHERE length(q.answer) >= 40),
     g4 AS (SELECT query_id, chunk_id, 4 AS strategy FROM q JOIN (SELECT chunk_id, source FROM ch WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY ord) <= 20) c ON c.source = q.source)"""
 
 
@@ -399,7 +399,7 @@ def _scored(spark, d):
     return metrics.answer_scores(_t(spark, d, "predictions").select("query_id", "predicted", "expected"))
 
 
-@query(f"WITH {PAIRS} SELECT query_id, CASE WHEN trim({LOW('e')}) = '' THEN 0 WHEN contains(trim({LOW('p')}), trim({LOW('e')})) THEN 1 ELSE 0 END::DOUBLE AS em FROM w")
+@query(f"WITH {PAIRS} SELECT query_id, CASE WHEN trim({LOW('e')}, ' ') = '' THEN 0 WHEN contains(trim({LOW('p')}, ' '), trim({LOW('e')}, ' ')) THEN 1 ELSE 0 END::DOUBLE AS em FROM w")
 def q_exact_match(spark, d):
     return _scored(spark, d).select("query_id", "em")
 
@@ -459,8 +459,8 @@ def q_bleu_13a(spark, d):
     return pooled.select(r6(metrics.bleu_of(F.col("np"), F.col("ne"), floor=0)).alias("bleu_13a"))
 
 
-@query(f"""WITH x AS (SELECT query_id, list_distinct(list_transform(regexp_extract_all(coalesce(predicted, ''), '\\[\\s*[Kk][Aa][Yy][Nn][Aa][Kk]\\s+(\\d+)\\s*\\]', 1), lambda s: s::INT)) AS n, coalesce(retrieved_sources, []) AS s, trim(coalesce(expected_source, '')) AS e FROM predictions),
-           y AS (SELECT query_id, e, n, list_transform(s, lambda v: trim({LOW("coalesce(v, '')")})) AS s, {LOW("e")} AS el FROM x)
+@query(f"""WITH x AS (SELECT query_id, list_distinct(list_transform(regexp_extract_all(coalesce(predicted, ''), '\\[\\s*[Kk][Aa][Yy][Nn][Aa][Kk]\\s+(\\d+)\\s*\\]', 1), lambda s: s::INT)) AS n, coalesce(retrieved_sources, []) AS s, trim(coalesce(expected_source, ''), ' ') AS e FROM predictions),
+           y AS (SELECT query_id, e, n, list_transform(s, lambda v: trim({LOW("coalesce(v, '')")}, ' ')) AS s, {LOW("e")} AS el FROM x)
            SELECT query_id, CASE WHEN e = '' THEN 0 ELSE list_contains(list_transform(list_filter(n, lambda i: i BETWEEN 1 AND len(s)), lambda i: s[i]), el)::INT END AS citation_accuracy, CASE WHEN e = '' THEN 0 ELSE list_contains(s, el)::INT END AS source_in_context, (len(n) > 0)::INT AS citation_presence FROM y""")
 def q_citation_metrics(spark, d):
     return metrics.citation_flags(_t(spark, d, "predictions"))
@@ -495,7 +495,7 @@ def q_context_strict(spark, d):
 
 @query(f"""WITH {QA}, a AS (SELECT query_id, coalesce(answer, '') || CASE WHEN length(question) % 2 = 0 THEN ' Soru: ' || question ELSE '' END AS t FROM qa),
            b AS (SELECT query_id, t, list_min(list_filter([instr(t, 'Soru:'), instr(t, 'Bağlam:'), instr(t, 'Question:'), instr(t, chr(10) || 'Q:')], lambda i: i > 10)) AS cut FROM a)
-           SELECT query_id, md5(trim(CASE WHEN cut IS NULL THEN t ELSE left(t, cut - 1) END)) AS answer_md5 FROM b""")
+           SELECT query_id, md5(trim(CASE WHEN cut IS NULL THEN t ELSE left(t, cut - 1) END, ' ')) AS answer_md5 FROM b""")
 def q_answer_truncate(spark, d):
     qa = _qa(spark, d)
     text = F.concat(F.coalesce("answer", F.lit("")), F.when(F.length("question") % 2 == 0, F.concat(F.lit(" Soru: "), "question")).otherwise(""))
@@ -558,13 +558,13 @@ def q_graph_edges(spark, d):
 @query(f"""WITH {ADJ}, s AS (SELECT o AS query, id AS doc, p AS rank, (1.0 / a)::DOUBLE AS score FROM i WHERE p = 1 AND a = 1),
            c AS (SELECT s.query, e.dst AS doc, s.score * 0.85::DOUBLE AS score, s.rank AS seed FROM s JOIN e ON e.src = s.doc WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.query = s.query AND t.doc = e.dst)),
            k AS (SELECT *, 1 + row_number() OVER (PARTITION BY query ORDER BY seed, doc) AS rank FROM c)
-           SELECT query, doc, round(score, 6) AS score, rank FROM s UNION ALL SELECT query, doc, round(score, 6), rank FROM k WHERE rank <= 4""")
+           SELECT query, doc, score, rank FROM s UNION ALL SELECT query, doc, score, rank FROM k WHERE rank <= 4""")
 def q_graph_expand(spark, d):
     """The first part of each order's first line as the only result of the order, expanded along adjacency."""
     n = _nodes(spark, d)
     seeds = n.where(F.col("id").rlike("_m1_1$")).select(F.col("doc_id").cast("bigint").alias("query"), F.col("id").alias("doc"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
     got = graph.expand(seeds, _adjacency(spark, d), n.select(F.col("id").alias("doc")))
-    return got.select("query", "doc", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return got.select("query", "doc", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 # Faithfulness, judges, scores ----------------------------------------------------------------------------------------------
@@ -668,10 +668,10 @@ def q_triplets(spark, d):
 @query(f"""WITH {CH}, c AS (SELECT query_id, list_distinct(list_filter(string_split_regex(gold_answer_extract, '\\s+'), lambda t: t <> '')) AS w FROM rag_eval),
            k AS (SELECT chunk_id, ord, list_distinct(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS w FROM ch),
            s AS (SELECT query_id, chunk_id, ord, round(len(list_intersect(c.w, k.w))::DOUBLE / (len(c.w) + len(k.w) - len(list_intersect(c.w, k.w))), 9) AS score FROM c, k)
-           SELECT query_id, chunk_id, round(score, 6) AS score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) = 1""")
+           SELECT query_id, chunk_id, score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) = 1""")
 def q_jaccard_positives(spark, d):
     got = training.best_by_jaccard(_questions(spark, d).select(F.col("query_id").alias("query"), F.col("gold_answer_extract").alias("text")), _chunks(spark, d).select(F.col("chunk_id").alias("doc"), "ord", "text"))
-    return got.select(F.col("query").alias("query_id"), F.col("doc").alias("chunk_id"), r6("score").alias("score"))
+    return got.select(F.col("query").alias("query_id"), F.col("doc").alias("chunk_id"), "score")
 
 
 @query(f"""WITH {BM}, rel AS (SELECT DISTINCT query_id AS query, g AS doc FROM (SELECT query_id, unnest(gold_chunk_ids) AS g FROM rag_eval) WHERE g IN (SELECT chunk_id FROM ch)),
