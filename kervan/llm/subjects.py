@@ -2,8 +2,9 @@
 
 Method: term weighting and truncated singular value decomposition. Words become stems (their first letters, hashed to a fixed
 number of terms), terms are weighted by rarity over all documents, and a randomized decomposition of the document-term
-matrix gives each term a short vector. Documents and sentences are sums of their terms' vectors. Seed centroids of the areas come
-from the areas' descriptions and from labelled documents, and are refined by turns: every sentence of the collection goes
+matrix gives each term a short vector. The matrix is scaled by its row and column sums first, so that the words of a language with few
+documents get dimensions of their own. Documents and sentences are sums of their terms' vectors. Seed centroids of the areas, one for each
+language, come from labelled documents and the areas' descriptions, and are refined by turns: every sentence of the collection goes
 to the centroid of the highest cosine, if that is clear enough, and a centroid becomes the mean of its sentences.
 A document has the areas to which enough of its sentences belong.
 
@@ -23,9 +24,11 @@ from kervan.llm.util import written
 from kervan.llm.words import each
 
 #: Terms, letters of a stem, dimensions kept, further ones that the decomposition works with, refinements of the centroids.
-TERMS, STEM, RANK, SPARE, ROUNDS = 8192, 5, 48, 16, 3
+TERMS, STEM, RANK, SPARE, ROUNDS = 8192, 5, 64, 16, 3
+#: Power of a term's weight over all documents by which its column is scaled.
+SCALE = 0.35
 #: A sentence belongs to an area if the next area's cosine is lower by this much.
-CLEAR = 0.1
+CLEAR = 0.2
 #: … and its own cosine is at least this.
 NEAR = 0.3
 #: Sentences and share of sentences that give a document an area.
@@ -52,7 +55,7 @@ def terms_of(texts: pa.Array):
 
 
 def term_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, terms, lengths): the term numbers of a document's words and the numbers of words of its sentences, both as 16-bit
+    """(doc_id, lang, terms, lengths): the term numbers of a document's words and the numbers of words of its sentences, both as 16-bit
     numbers; sentences of more words are cut there."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
@@ -68,11 +71,12 @@ def term_table(docs: DataFrame) -> DataFrame:
                 length = np.diff(np.append(at, len(term))).astype(np.uint16)
                 cut = np.searchsorted(w.doc[at], np.arange(w.n + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, w.n), pa.array([term[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:])], pa.binary()), pa.array([length[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
-                    names=["doc_id", "terms", "lengths"],
+                    [ids.slice(lo, w.n), b.column(2).slice(lo, w.n), pa.array([term[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:])], pa.binary()), pa.array([length[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
+                    names=["doc_id", "lang", "terms", "lengths"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {key}, terms binary, lengths binary")
+    lang = F.lower(F.trim(F.coalesce(F.col("lang").cast("string"), F.lit("")))) if "lang" in docs.columns else F.lit("")
+    return docs.select("doc_id", "text", lang.alias("lang")).mapInArrow(apply, f"doc_id {key}, lang string, terms binary, lengths binary")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +115,7 @@ def summed(df: DataFrame, columns: list[str], shape: tuple[int, int], of) -> np.
 
 
 def term_vectors(table: DataFrame) -> np.ndarray:
-    """TERMS x RANK: rarity x the leading right singular vectors of the weighted document-term matrix."""
+    """TERMS x RANK: the vectors of the terms, times their rarity."""
 
     def counted(b):
         term, n = _flat(b.column(0))
@@ -125,8 +129,16 @@ def term_vectors(table: DataFrame) -> np.ndarray:
     df = summed(table, ["terms"], (TERMS + _PARTS, 1), counted)[:, 0]
     idf = np.where(df[:TERMS] > 0, np.log((df[TERMS] + 1) / (df[:TERMS] + 1)), 0.0)
 
+    def weighed(b):
+        out = np.zeros((TERMS, 1))
+        _, term, value = _weights(b.column(0), idf)
+        out[:, 0] = np.bincount(term, weights=value, minlength=TERMS)
+        return out
+
+    scale = np.maximum(summed(table, ["terms"], (TERMS, 1), weighed)[:, 0], 1e-9) ** -SCALE
+
     def times(q: np.ndarray) -> np.ndarray:
-        """A'A q for the document-term matrix A."""
+        """A'A q for the scaled document-term matrix A."""
         wide = q.astype(np.float32)
 
         def of(b):
@@ -135,7 +147,8 @@ def term_vectors(table: DataFrame) -> np.ndarray:
                 s = b.slice(lo, 250)
                 doc, term, value = _weights(s.column(0), idf)
                 a = np.zeros((s.num_rows, TERMS), dtype=np.float32)
-                a[doc, term] = value
+                row = np.bincount(doc, weights=value, minlength=s.num_rows)
+                a[doc, term] = value * scale[term] / np.sqrt(np.maximum(row, 1e-9))[doc]
                 out += a.T @ (a @ wide)
             return out
 
@@ -146,7 +159,7 @@ def term_vectors(table: DataFrame) -> np.ndarray:
     z = times(q)
     small = q.T @ z
     _, u = np.linalg.eigh((small + small.T) / 2)
-    return (q @ u[:, ::-1][:, :RANK]) * idf[:, None]
+    return (q @ u[:, ::-1][:, :RANK]) * (scale * idf * (df[:TERMS] > 1))[:, None]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -165,67 +178,85 @@ def run_sums(vectors: np.ndarray, term: np.ndarray, length: np.ndarray) -> np.nd
     return out
 
 
-def assigned(b: pa.RecordBatch, vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, unit vector, area or -1, of every sentence; sentences of every document) of a batch (…, terms, lengths)."""
-    term, _ = _flat(b.column("terms"))
-    length, n = _flat(b.column("lengths"))
-    doc = np.repeat(np.arange(len(n)), n)
-    if not len(length):
-        return doc, np.zeros((0, vectors.shape[1])), doc, n
-    u = unit(run_sums(vectors, term, length.astype(np.int64)))
-    cos = u @ centroids.T
-    best = cos.argmax(axis=1)
-    top2 = np.partition(cos, -2, axis=1) if cos.shape[1] > 1 else np.hstack([np.zeros_like(cos), cos])
-    return doc, u, np.where((top2[:, -1] - top2[:, -2] >= CLEAR) & (top2[:, -1] >= NEAR), best, -1), n
+class Model:
+    """Term vectors, areas, and centroids with the number of the area of each, in rising order."""
 
+    def __init__(self, vectors: np.ndarray, names: list[str], area: np.ndarray, centroids: np.ndarray):
+        self.vectors, self.names, self.area, self.centroids = vectors.astype(np.float32), names, area, centroids.astype(np.float32)
+        self.first = np.flatnonzero(np.append(True, area[1:] != area[:-1])) if len(area) else area
 
-def seed_centroids(table: DataFrame, vectors: np.ndarray, areas: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
+    def assign(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, unit vector, area or -1, centroid of every sentence; sentences of every document) of a batch (…, terms, lengths)."""
+        term, _ = _flat(b.column("terms"))
+        length, n = _flat(b.column("lengths"))
+        doc = np.repeat(np.arange(len(n)), n)
+        if not len(length) or not len(self.area):
+            none = np.full(len(doc), -1)
+            return doc, np.zeros((len(doc), RANK)), none, none, n
+        u = unit(run_sums(self.vectors, term, length.astype(np.int64)))
+        cos = u @ self.centroids.T
+        by_area = np.maximum.reduceat(cos, self.first, axis=1)
+        best = by_area.argmax(axis=1)
+        top = by_area[np.arange(len(best)), best]
+        next_one = np.partition(by_area, -2, axis=1)[:, -2] if by_area.shape[1] > 1 else np.zeros(len(best))
+        return doc, u, np.where((top - next_one >= CLEAR) & (top >= NEAR), self.area[self.first][best], -1), cos.argmax(axis=1), n
+
+
+def seeds(table: DataFrame, vectors: np.ndarray, areas: DataFrame, labels: DataFrame) -> Model:
     rows = sorted((r.subject, f"{r.title or ''} {r.description or ''}") for r in areas.where("subject IS NOT NULL").select("subject", "title", "description").distinct().collect())
     names = sorted({s for s, _ in rows})
-    place = {s: i for i, s in enumerate(names)}
-    seed = np.zeros((len(names), RANK))
+    number = {s: i for i, s in enumerate(names)}
+    described = np.zeros((len(names), RANK))
     for lo, w, term, _ in terms_of(pa.array([t for _, t in rows], pa.string())):
         for d in range(w.n):
             own = term[w.first[d] : w.first[d + 1]]
-            seed[place[rows[lo + d][0]]] += DESCRIBED * vectors[own[own != NO_TERM]].sum(axis=0)
+            described[number[rows[lo + d][0]]] += vectors[own[own != NO_TERM]].sum(axis=0)
     known = labels.where(F.col("subject").isin(names)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("areas"))
     sample = known.orderBy(F.xxhash64("doc_id")).limit(LABELLED)
+    labelled = table.join(F.broadcast(sample), "doc_id")  # at most LABELLED rows
+    pairs = {(r.area, r.lang) for r in labelled.select(F.explode("areas").alias("area"), "lang").distinct().collect()}
+    if any(lang for _, lang in pairs):
+        pairs = {(a, lang) for a, lang in pairs if lang}  # documents of unknown language are no seeds where others are
+    pairs |= {(a, "") for a in names if not any(a == x for x, _ in pairs)}
+    groups = sorted((number[a], lang) for a, lang in pairs)
+    place = {g: i for i, g in enumerate(groups)}
 
     def of(b):
         term, n = _flat(b.column("terms"))
         on = np.flatnonzero(n > 0)
-        out = np.zeros((len(names), RANK))
+        out = np.zeros((len(groups), RANK))
         if len(on):
             u = unit(run_sums(vectors, term, n[on]))
-            for row, areas in zip(u, b.column("areas").take(pa.array(on)).to_pylist()):
+            take = pa.array(on)
+            for row, areas, lang in zip(u, b.column("areas").take(take).to_pylist(), b.column("lang").take(take).to_pylist()):
                 for a in areas:
-                    out[place[a]] += row / len(areas)
+                    if (i := place.get((number[a], lang))) is not None:
+                        out[i] += row / len(areas)
         return out
 
-    seed += summed(table.join(F.broadcast(sample), "doc_id"), ["terms", "areas"], seed.shape, of)  # at most LABELLED rows
-    return names, unit(seed)
+    area = np.array([a for a, _ in groups], dtype=np.int64)
+    total = summed(labelled, ["terms", "areas", "lang"], (len(groups), RANK), of) if groups else np.zeros((0, RANK))
+    return Model(vectors, names, area, unit(total + DESCRIBED * described[area]))
 
 
-def subject_model(table: DataFrame, areas: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray]:
-    vectors = term_vectors(table)
-    names, centroids = seed_centroids(table, vectors, areas, labels)
-    vectors = vectors.astype(np.float32)
-    for _ in range(ROUNDS if len(names) else 0):
+def subject_model(table: DataFrame, areas: DataFrame, labels: DataFrame) -> Model:
+    model = seeds(table, term_vectors(table), areas, labels)
+    for _ in range(ROUNDS if len(model.area) else 0):
 
-        def of(b, c=centroids.astype(np.float32)):
-            _, u, area, _ = assigned(b, vectors, c)
-            out = np.zeros((len(names), RANK))
-            for a in range(len(names)):
-                out[a] = u[area == a].sum(axis=0)
+        def of(b, model=model):
+            _, u, area, at, _ = model.assign(b)
+            out = np.zeros(model.centroids.shape)
+            for c in np.unique(at[area >= 0]):
+                out[c] = u[(at == c) & (area >= 0)].sum(axis=0)
             return out
 
-        got = summed(table, ["terms", "lengths"], centroids.shape, of)
-        centroids = np.where(np.linalg.norm(got, axis=1)[:, None] > 0, unit(got), centroids)
-    return vectors, names, centroids.astype(np.float32)
+        got = summed(table, ["terms", "lengths"], model.centroids.shape, of)
+        model = Model(model.vectors, model.names, model.area, np.where(np.linalg.norm(got, axis=1)[:, None] > 0, unit(got), model.centroids))
+    return model
 
 
 def document_subjects(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, subject, n_sentences, n_all) of every area of every document (doc_id, text); a document without an area has one row
+    """(doc_id, subject, n_sentences, n_all) of every area of every document (doc_id, text and, if known, lang); a document without an area has one row
     with null subject.
 
     Null, empty and blank texts have no sentences and no area; texts are taken whole. Labels of unknown areas or
@@ -233,24 +264,20 @@ def document_subjects(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> D
     is given. Repeated document ids give repeated rows.
     """
     table = written(term_table(docs.where("doc_id IS NOT NULL")), "terms")
-    vectors, names, centroids = subject_model(table, areas, labels)
+    model = subject_model(table, areas, labels)
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 s = b.slice(lo, 1000)
-                if len(names):
-                    doc, _, area, n = assigned(s, vectors, centroids)
-                else:
-                    n = _flat(s.column("lengths"))[1]
-                    doc = area = np.zeros(0, dtype=np.int64)
-                count = np.zeros((s.num_rows, max(1, len(names))), dtype=np.int64)
+                doc, _, area, _, n = model.assign(s)
+                count = np.zeros((s.num_rows, max(1, len(model.names))), dtype=np.int64)
                 np.add.at(count, (doc[area >= 0], area[area >= 0]), 1)
                 d, a = np.nonzero((count >= LEAST) & (count >= SHARE * n[:, None]))
                 none = np.setdiff1d(np.arange(s.num_rows), d)
                 at = np.concatenate([d, none])
-                subject = [names[x] for x in a] + [None] * len(none)
+                subject = [model.names[x] for x in a] + [None] * len(none)
                 yield pa.RecordBatch.from_arrays(
                     [s.column("doc_id").take(pa.array(at)), pa.array(subject, pa.string()), pa.array(np.concatenate([count[d, a], np.zeros(len(none), dtype=np.int64)])), pa.array(n[at])],
                     names=["doc_id", "subject", "n_sentences", "n_all"],
