@@ -31,14 +31,13 @@ def turkish_lower(c) -> Column:
 
 def split_words(c) -> Column:
     """Words between white space; empty text has none."""
-    return F.filter(F.split(_c(c), r"\s+"), lambda x: x != "")
+    return F.regexp_extract_all(_c(c), F.lit(r"\S+"), F.lit(0))
 
 
 def index_tokens(c, stopwords: tuple[str, ...] = (), min_length: int = 2) -> Column:
-    """Tokens for the lexical index: folded letters, digits and underscores of at least min_length, without stopwords."""
-    words = split_words(F.regexp_replace(turkish_lower(c), r"[^\p{L}\p{N}_\s]", " "))
-    keep = lambda x: (F.length(x) >= min_length) & (~x.isin(*stopwords) if stopwords else F.lit(True))
-    return F.filter(words, keep)
+    """Tokens for the lexical index: folded runs of letters, digits and underscores of at least min_length, without stopwords."""
+    words = F.regexp_extract_all(turkish_lower(c), F.lit(rf"[\p{{L}}\p{{N}}_]{{{min_length},}}"), F.lit(0))
+    return F.filter(words, lambda x: ~x.isin(*stopwords)) if stopwords else words
 
 
 def qa_tokens(c) -> Column:

@@ -17,20 +17,24 @@ def tokenized(docs: DataFrame, doc: str, text: str, stopwords: tuple[str, ...] =
     return docs.select(F.col(doc).alias("doc"), index_tokens(F.coalesce(F.col(text), F.lit("")), stopwords).alias("tokens"))
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """(doc, token, tf, dl): the partial aggregate of a document's tokens is complete before the shuffle."""
+def postings(tokens: DataFrame, wanted: DataFrame | None = None, small: bool = False) -> DataFrame:
+    """(doc, token, tf, dl), of the wanted tokens only if given: others are dropped before the shuffle."""
     each = tokens.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+    if wanted is not None:
+        each = each.join(F.broadcast(wanted) if small else wanted, "token", "left_semi")
     return each.groupBy("doc", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_stats(tokens: DataFrame) -> DataFrame:
-    """One row: number of documents (those without tokens too) and mean length."""
-    return tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
+def token_idf(tokens: DataFrame) -> DataFrame:
+    """(token, df, idf, n_docs, avgdl): negative values are replaced by a share of the mean over all tokens.
 
-
-def token_idf(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """(token, df, idf): negative values are replaced by a share of the mean over all tokens."""
-    df = posts.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
+    One aggregation gives all: each document adds its different tokens and the empty token, which no document has, so that the empty
+    token's row holds the number of documents (those without tokens too) and their length. Counts are combined before the shuffle.
+    """
+    each = tokens.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("length"))
+    stats = counts.where("token = ''").select(F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avgdl"))
+    df = counts.where("token <> ''").select("token", "df").crossJoin(F.broadcast(stats))  # one row
     raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "n_docs", "avgdl")
@@ -48,12 +52,10 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text:
     Null and empty texts have no words but count as documents. Scores are rounded to nine digits, so that ties are ties.
     """
     tokens = tokenized(docs, doc, text, stopwords)
-    stats = corpus_stats(tokens)
-    posts = postings(tokens)
-    idf = token_idf(posts, stats)
     terms = query_terms(queries, query, query_text, stopwords)
-    weighted = terms.join(idf, "token")
     small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    weighted = token_idf(tokens).join(F.broadcast(terms) if small else terms, "token")
+    posts = postings(tokens, terms.select("token").distinct(), small)
     hits = posts.join(F.broadcast(weighted) if small else weighted, "token")
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))

@@ -190,7 +190,7 @@ def q_resume_anti(spark, d):
 @query(f"WITH {BM} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def q_bm25_stats(spark, d):
     tokens = lexical.tokenized(_chunks(spark, d), "chunk_id", "text")
-    return lexical.token_idf(lexical.postings(tokens), lexical.corpus_stats(tokens)).select("token", "df", r6("idf").alias("idf"))
+    return lexical.token_idf(tokens).select("token", "df", r6("idf").alias("idf"))
 
 
 @query(f"WITH {BM} SELECT query AS query_id, doc AS chunk_id, score, rank FROM bmtop WHERE rank <= 10")
