@@ -195,15 +195,16 @@ def defect(question: str | None, answer: str | None) -> tuple[str | None, str |
     if len(rest) <= REFUSAL_WORDS and next(refusal_automaton().iter(f" {' '.join(rest)} "), None):
         return "refusal", None
     asking = fold(question)
-    q = _WORD.findall(asking)
+    q = _WORD.findall(asking.translate(_FOLDED))  # bare letters, so that wrong letter case and typing do not hide a copy
     asked = set(q)
-    if len(q) >= MIN_RUN and len(a) >= MIN_RUN and sum([w in asked for w in a]) >= COPIED * len(a):
-        copied, covered = SuffixAutomaton(q).walk(a, MIN_RUN)
-        if copied >= COPIED * len(a) and len(covered) >= COVERED * len(q):
+    bare = _WORD.findall(folded.translate(_FOLDED))
+    if len(q) >= MIN_RUN and len(bare) >= MIN_RUN and sum([w in asked for w in bare]) >= COPIED * len(bare):
+        copied, covered = SuffixAutomaton(q).walk(bare, MIN_RUN)
+        if copied >= COPIED * len(bare) and len(covered) >= COVERED * len(q):
             return "copy", None
     mine = language(plain, rest) if len(rest) >= 4 else None
     if mine:
-        other = language(asking, q)
+        other = language(asking, _WORD.findall(asking))
         if other is None and any(c in "ığş" for c in asking):
             other = "tr"
         if other and mine != other:

@@ -59,16 +59,16 @@ def _one_to_one() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def sql_form(column: str, nfc: bool = True) -> str:
+def sql_form(column: str) -> str:
     """The common form of a column as a DuckDB expression; null stays null, and text of plain characters is not touched."""
     a, b = _one_to_one()
     x = f"regexp_replace(replace({column}, chr(13) || chr(10), chr(10)), '[{INVISIBLE}]', '', 'g')"
     x = f"translate(replace({x}, chr(13), chr(10)), {_q(a)}, {_q(b)})"
     for lig, letters in LIGATURES.items():
         x = f"replace({x}, {_q(lig)}, {_q(letters)})"
-    x = f"nfc_normalize({x})" if nfc else x
-    for c in "iıj":  # these letters' own dot hides a further one
-        x = f"replace({x}, {_q(c + chr(0x307))}, {_q('i' if c == 'ı' else c)})"
+    # the letters' own dot hides further ones; what is left may compose with the next mark
+    x = f"regexp_replace(regexp_replace(nfc_normalize({x}), 'ı\\x{{307}}+', 'i', 'g'), '([ij])\\x{{307}}+', '\\1', 'g')"
+    x = f"nfc_normalize({x})"
     return f"CASE WHEN regexp_full_match({column}, '[{PLAIN}]*') THEN {column} ELSE {x} END"
 
 
@@ -132,14 +132,13 @@ def common_form(df: DataFrame, column: str, out: str = "common_form") -> DataFra
     kept = [c for c in df.columns if c != out]
     schema = df.select(*[F.col(f"`{c}`") for c in kept], F.lit("").cast("string").alias(out)).schema
     schema[out].nullable = True
-    at = kept.index(column) if column in kept else None
-    spare = "text_" + "_" * max(map(len, df.columns))
-    src = df.select(*[F.col(f"`{c}`") for c in kept], *([] if at is not None else [F.col(f"`{column}`").alias(spare)]))
+    at = kept.index(column) if column in kept else len(kept)
+    src = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept if at < len(kept) else [*kept, column])])
 
     def apply(batches):
         for b in batches:
             arrays = b.columns
-            form = form_array(arrays[at if at is not None else len(kept)])
+            form = form_array(arrays[at])
             yield pa.RecordBatch.from_arrays([*arrays[: len(kept)], form], names=[*kept, out])
 
     return src.mapInArrow(apply, schema)

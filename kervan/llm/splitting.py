@@ -69,9 +69,11 @@ def kinds(runs: np.ndarray) -> np.ndarray:
 
 def sufficient(runs: np.ndarray, kind: np.ndarray, length: int, limit: int = LIMIT) -> str:
     """The first kind of boundary at which (with the earlier kinds) no stretch is longer than the limit, or 'none'."""
+    lead = runs[0, 1] if len(runs) and runs[0, 0] == 0 else 0  # blanks around the text count for no stretch
+    tail = runs[-1, 0] if len(runs) and runs[-1, 1] == length else length
     for level in (PARAGRAPH, LINE, SENTENCE, WORD):
-        r = runs[kind >= level]
-        stretch = np.concatenate([r[:, 0], [length]]) - np.concatenate([[0], r[:, 1]])
+        r = runs[(kind >= level) & (runs[:, 0] > 0) & (runs[:, 1] < length)]
+        stretch = np.concatenate([r[:, 0], [tail]]) - np.concatenate([[lead], r[:, 1]])
         if stretch.max() <= limit:
             return NAMES[level]
     return "none"

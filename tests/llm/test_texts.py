@@ -115,7 +115,7 @@ Q = "9627 sayılı Kanun kapsamında kiracının bağışı 138 gün geciktirmes
     "answer, want",
     [
         (None, "empty"), ("", "empty"), (" ​\n", "empty"), ("N/A", "empty"), ("<p></p>", "empty"), ("Cevap:", "empty"), ("...", "empty"), ("Bilmiyorum.", "refusal"), ("Üzgünüm, bu soruya yardımcı olamıyorum.", "refusal"),
-        ("I'm sorry, but I can't help with that request.", "refusal"), ("Vekil yardımcı olamayacağını bildirirse dosya başkasına verilir.", None), (Q, "copy"), ("Soru: " + Q.upper().replace("I", "I"), "copy"),
+        ("I'm sorry, but I can't help with that request.", "refusal"), ("Vekil yardımcı olamayacağını bildirirse dosya başkasına verilir.", None), (Q, "copy"), ("Soru: " + Q.upper(), "copy"),
         ("“" + Q + "” sorusuna gelince; kiracının itirazı süresinde yapılmış sayılır ve bu karar ilgili kurumca yazıyla bildirilir, ayrıca masraflar paylaşılır, dosya da üst makama gönderilir.", None),
         ("Der Anspruch erlischt nach 61 Tagen, wenn die Stelle den Antrag nicht geprüft hat.", "language"), ("Çeviri metninde “The court weighs the objection of the party” denilmektedir; itiraz süresinde yapılmış sayılır.", None),
         ("Bu itirazın ispatı kiracıya düşer; belge sunulmamışsa 10 günlük kesin sürenin (", "truncated"), ("Yönetim kurulu", None), ("346 gün", None), ("27 yıl; kısmi lisans bedeli varsa 33 yıl", None), ("Kira bedeli ve teminat iade edilir [Kaynak 2].", None),
