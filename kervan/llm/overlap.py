@@ -1,15 +1,13 @@
 """Similarity join of texts by their sets of word sequences: the engine of problems 3 and 5.
 
 Method: token-group matrix. Texts become sets of hashed k-word sequences; equal sets are one class. Similar classes of
-a task form groups. The matrix has, by token, the groups in whose token union the token is, with the bounds of the
-group and its members. Its tokens are longer word sequences, of three tiers by the size of the smaller set: all
-sequences of LONG_K words that a hash picks (one in SAMPLE) for large sets, all of SHORT_K words for small ones, the k-word
-sequences themselves for the smallest. A text without a common stretch of that many words with another has an
-edit in every such stretch, which lowers its likeness below the threshold (see README for the bounds). Of a group's tokens
-the most frequent fifth, by a sketch of counts over all texts, is not needed to meet the groups that are alike enough.
-Token buckets of the matrix are joined in numpy: groups whose sizes rule out the threshold are not opened, nor are
-members whose parity bitmaps differ in more places than the threshold allows. What remains is verified exactly on
-the whole sets.
+a task form groups. The matrix has, by token, the groups in whose prefix union the token is, with its place there, the
+bounds of the group and its members. The prefix of a set of n tokens is its n - ceil(t n) + 1 rarest, in an order by a
+sketch of counts over all texts that is the same for all sets: two sets of a likeness of t have ceil(t n) common tokens
+or more, so the first of them in that order is in both prefixes, and no pair is lost, whatever the texts hold.
+Token buckets of the matrix are joined in numpy: groups whose sizes rule out the threshold are not opened, nor those that
+have too few tokens from the shared one on, nor members whose parity bitmaps differ in more places than the threshold
+allows. What remains is verified exactly on the whole sets.
 
 Nothing grows on the driver but the sketch, whose size is fixed. Copies are folded into classes before any shuffle
 of tokens. A token that many groups share is handed on as pairs of blocks, spread over tasks.
@@ -23,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kervan.llm.util import cut_lineage, written
-from kervan.llm.words import TOKEN, Words, each, mix
+from kervan.llm.words import each, mix
 
-#: log2 of the counters of the token sketch; its ranks are one byte each, so 1 MB goes to every task, at any scale.
-SKETCH_BITS = 20
+#: log2 of the counters of the token sketch; its ranks are one byte each, so 4 MB go to every task, at any scale.
+SKETCH_BITS = 22
 #: Matrix entries in a bucket, about; a bucket is joined in one task's memory (some 50 bytes an entry).
 BUCKET_ENTRIES = 2_000_000
 #: Groups that may share a token before its row is handed on in blocks of this many.
@@ -34,42 +32,13 @@ BLOCK = 4_096
 #: Members of one group at most; further similar texts form the next group.
 GROUP = 32
 
-#: Set sizes below which pairs are of the smallest and of the small tier.
-TINY, SHORT = 8, 64
-SHORT_K, LONG_K, SAMPLE = 6, 10, 4
-#: Share of a text's matrix tokens of each tier, rarest first, that is entered.
-FRONT = 0.8
 #: Bits of the parity bitmap of a set.
-BITS = 128
+BITS = 256
 
-SETS = "key string, side byte, cls bigint, n int, toks binary, feats binary, bits binary"
+SETS = "key string, side byte, cls bigint, n int, toks binary, bits binary"
 _P = "a bigint, b bigint"
 
 
-def pack40(t: np.ndarray) -> bytes:
-    return (t & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (t >> np.uint64(32)).astype("u1").tobytes()
-
-
-def unpack40(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens of all blobs, number of tokens of each)."""
-    n = np.array([len(b) // 5 for b in blobs], dtype=np.int64)
-    low = np.frombuffer(b"".join(b[: 4 * (len(b) // 5)] for b in blobs), dtype="<u4").astype(np.uint64)
-    high = np.frombuffer(b"".join(b[4 * (len(b) // 5) :] for b in blobs), dtype="u1").astype(np.uint64)
-    return low | (high << np.uint64(32)), n
-
-
-def matrix_tokens(w: Words, k: int, t: float, n: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, first) of each text for the matrix, in rising order; a token's upper two bits are its tier. n: sizes of the texts' sets."""
-    found = []
-    for tier, (size, on, one_in) in enumerate(((k, (n > 0) & (t * n < TINY), 1), (max(k, SHORT_K), (n >= TINY) & (t * n < SHORT), 1), (max(k, LONG_K), n >= SHORT, SAMPLE)), 1):
-        doc, _, h = w.sequences(size)
-        h = mix(h ^ np.uint64(salt * 8 + tier))
-        use = on[doc] & (h % np.uint64(one_in) == 0)
-        found.append((doc[use].astype(np.uint64) << np.uint64(40)) | np.uint64(tier << 38) | (h[use] >> np.uint64(26)))
-    packed = np.unique(np.concatenate(found))
-    return packed & TOKEN, np.searchsorted(packed >> np.uint64(40), np.arange(w.n + 1, dtype=np.uint64))
-
-
 def parity(toks: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Bitmap rows: bit x of a text is 1 if an odd number of its tokens fall on x. Bitmaps differ in no more places than the sets."""
     n = len(first) - 1
@@ -78,9 +47,8 @@ def parity(toks: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(doc * BITS + place, minlength=n * BITS).reshape(n, BITS) & 1, axis=1)
 
 
-def token_sets(df: DataFrame, k: int, t: float) -> DataFrame:
-    """(key, side, cls, n, toks, feats, bits) of rows (key, side, field, text): the set of k-word sequences of each text, its class
-    and its matrix tokens.
+def token_sets(df: DataFrame, k: int) -> DataFrame:
+    """(key, side, cls, n, toks, bits) of rows (key, side, field, text): the set of k-word sequences of each text, its class and its bitmap.
 
     Texts of fewer than k words (null and empty ones too) have no sequences and are left out. A task keeps the
     tokens of a class once; further copies have nulls there.
@@ -95,23 +63,21 @@ def token_sets(df: DataFrame, k: int, t: float) -> DataFrame:
                 for field in np.unique(fields[lo : lo + w.n]):
                     toks, first = w.sets(k, int(field))
                     n = np.diff(first)
-                    feats, at = matrix_tokens(w, k, t, n, int(field))
                     bits = parity(toks, first)
                     total = np.zeros(len(toks) + 1, dtype=np.uint64)
                     np.cumsum(mix(toks + np.uint64(1)), out=total[1:])
                     cls = mix((total[first[1:]] - total[first[:-1]]) ^ np.uint64(int(field))).view(np.int64)
                     rows = np.flatnonzero((n > 0) & (fields[lo : lo + w.n] == field))
-                    blobs, more, maps = [], [], []
+                    blobs, maps = [], []
                     for d in rows:
                         mark = (int(cls[d]), int(sides[lo + d]))
                         new = mark not in seen
                         blobs.append(pack32(toks[first[d] : first[d + 1]]) if new else None)
-                        more.append(pack40(feats[at[d] : at[d + 1]]) if new else None)
                         maps.append(bits[d].tobytes() if new else None)
                         seen.add(mark)
                     yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(lo + rows)), pa.array(sides[lo + rows], pa.int8()), pa.array(cls[rows]), pa.array(n[rows].astype(np.int32))] + [pa.array(x, pa.binary()) for x in (blobs, more, maps)],
-                        names=["key", "side", "cls", "n", "toks", "feats", "bits"],
+                        [keys.take(pa.array(lo + rows)), pa.array(sides[lo + rows], pa.int8()), pa.array(cls[rows]), pa.array(n[rows].astype(np.int32))] + [pa.array(x, pa.binary()) for x in (blobs, maps)],
+                        names=["key", "side", "cls", "n", "toks", "bits"],
                     )
 
     return df.select("key", "side", "field", "text").where("text IS NOT NULL AND key IS NOT NULL").mapInArrow(apply, SETS)
@@ -122,22 +88,24 @@ def token_ranks(sets: DataFrame) -> tuple[np.ndarray, int]:
     cells, parts = 1 << SKETCH_BITS, 16
 
     def count(batches):
-        total = np.zeros(cells, dtype=np.uint32)
+        total, tokens = np.zeros(cells, dtype=np.uint32), np.zeros(parts, dtype=np.int64)
         for b in batches:
-            toks, _ = unpack40(b.column(0).to_pylist())
+            toks, _ = unpack32(b.column(0).to_pylist())
             total += np.bincount((toks & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(total, parts)], pa.binary())], names=["part", "counts"])
+            tokens[0] += len(toks)
+        if tokens[0]:  # beyond 255 in one task a token is common anyway
+            counts = [x.tobytes() for x in np.split(np.minimum(total, 255).astype(np.uint8), parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(counts, pa.binary()), pa.array(tokens)], names=["part", "counts", "n"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(cells // parts, dtype=np.uint64)
         for x in table.column("counts"):
-            total += np.frombuffer(x.as_buffer(), dtype=np.uint32)
+            total += np.frombuffer(x.as_buffer(), dtype=np.uint8)
         rank = np.minimum(255, 4 * np.log2(total + 1.0)).astype(np.uint8)
-        return pa.table({"part": table.column("part")[:1], "ranks": pa.array([rank.tobytes()], pa.binary()), "n": pa.array([int(total.sum())])})
+        return pa.table({"part": table.column("part")[:1], "ranks": pa.array([rank.tobytes()], pa.binary()), "n": pa.array([int(np.sum(table.column("n").to_numpy()))])})
 
-    counted = sets.where("feats IS NOT NULL").select("feats").mapInArrow(count, "part int, counts binary")
-    rows = counted.groupBy("part").applyInArrow(add, "part int, ranks binary, n bigint").collect()  # 16 rows, 1 MB
+    counted = sets.where("toks IS NOT NULL").select("toks").mapInArrow(count, "part int, counts binary, n bigint")
+    rows = counted.groupBy("part").applyInArrow(add, "part int, ranks binary, n bigint").collect()  # 16 rows, 4 MB
     ranks = np.zeros(cells, dtype=np.uint8)
     for r in rows:
         ranks[r.part * (cells // parts) : (r.part + 1) * (cells // parts)] = np.frombuffer(r.ranks, dtype=np.uint8)
@@ -154,16 +122,19 @@ def unpack32(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Matrix:
-    """Entries (token, group) of one bucket, with the sides and the members (class, size, bitmap) of its groups.
+    """Entries (token, group, rest) of one bucket, with the sides and the members (class, size, bitmap) of its groups.
 
+    rest: the tokens of a member from this one on in the order of ranks, as 255ths of the group's largest size, rounded
+    up; the most of any member.
     Members of a group are in order of size, so the first and the last have its bounds.
     """
 
-    NAMES = ("token", "group", "count", "side", "cls", "n", "bits")
-    TYPES = ("<u8", "<u4", "u1", "u1", "<i8", "<u4", "V16")
+    NAMES = ("token", "group", "count", "side", "cls", "n", "bits", "rest")
+    TYPES = ("<u4", "<u4", "u1", "u1", "<i8", "<u4", f"V{BITS // 8}", "u1")
 
-    def __init__(self, token, group, count, side, cls, n, bits):
+    def __init__(self, token, group, count, side, cls, n, bits, rest=None):
         self.token, self.group, self.count, self.side, self.cls, self.n, self.bits = token, group, count, side, cls, n, bits
+        self.rest = np.full(len(token), 255, dtype=np.uint8) if rest is None else rest
         self.first = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         self.low, self.high = n[self.first[:-1]], n[self.first[1:] - 1]
 
@@ -190,13 +161,15 @@ class Matrix:
         used, group = np.unique(self.group[entries], return_inverse=True)
         count = self.count[used].astype(np.int64)
         member = np.repeat(self.first[used] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return Matrix(self.token[entries], group, self.count[used], self.side[used], self.cls[member], self.n[member], self.bits[member])
+        return Matrix(self.token[entries], group, self.count[used], self.side[used], self.cls[member], self.n[member], self.bits[member], self.rest[entries])
 
 
 def open_groups(m: Matrix, i: np.ndarray, j: np.ndarray, t: float, two_sided: bool) -> np.ndarray:
     """Candidate member pairs of the entries i and j of one token each, as an array of shape (pairs, 2)."""
     g, h = m.group[i], m.group[j]
-    ok = (m.high[g] >= t * m.low[h] - 1e-9) & (m.high[h] >= t * m.low[g] - 1e-9) & (g != h)
+    need = t / (1 + t) * (m.low[g].astype(np.float64) + m.low[h]) - 1e-6
+    ok = (m.rest[i] * m.high[g] >= 255 * need) & (m.rest[j] * m.high[h] >= 255 * need) & (g != h)
+    ok &= (m.high[g] >= t * m.low[h] - 1e-9) & (m.high[h] >= t * m.low[g] - 1e-9)
     if two_sided:
         ok &= m.side[g] != m.side[h]
     g, h = g[ok], h[ok]
@@ -211,12 +184,17 @@ def open_groups(m: Matrix, i: np.ndarray, j: np.ndarray, t: float, two_sided: bo
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     wide = np.repeat(ch, size)
     x, y = np.repeat(m.first[g], size) + at // wide, np.repeat(m.first[h], size) + at % wide
-    fits = (np.minimum(m.n[x], m.n[y]) >= t * np.maximum(m.n[x], m.n[y]) - 1e-9) & (m.cls[x] != m.cls[y])
+    return members_alike(m.cls, m.n, m.bits, x, y, t)
+
+
+def members_alike(cls: np.ndarray, n: np.ndarray, bits: np.ndarray, x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
+    """Those pairs of the members x and y, as classes, that neither sizes nor bitmaps rule out."""
+    fits = (np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y]) - 1e-9) & (cls[x] != cls[y])
     x, y = x[fits], y[fits]
-    words = m.bits.view("<u8").reshape(-1, BITS // 64)
+    words = bits.view("<u8").reshape(-1, BITS // 64)
     differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
-    fits = differ <= (1 - t) / (1 + t) * (m.n[x].astype(np.int64) + m.n[y]) + 1e-9
-    return np.stack([m.cls[x[fits]], m.cls[y[fits]]], axis=1)
+    fits = differ <= (1 - t) / (1 + t) * (n[x].astype(np.int64) + n[y]) + 1e-9
+    return np.stack([cls[x[fits]], cls[y[fits]]], axis=1)
 
 
 def unique_pairs(pairs: list[np.ndarray], two_sided: bool) -> np.ndarray:
@@ -235,24 +213,33 @@ def _batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
 
+def prefixes(toks: np.ndarray, n: np.ndarray, ranks: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, set, tokens of the set from it on) of the tokens by which a set of n meets every set of a likeness of t: all but
+    the ceil(t n) - 1 most frequent, since two such sets have ceil(t n) common tokens at least. toks: those of all sets."""
+    docs = np.repeat(np.arange(len(n)), n)
+    rank = ranks[(toks & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+    packed = np.sort((docs.astype(np.uint64) << np.uint64(40)) | (rank.astype(np.uint64) << np.uint64(32)) | toks)
+    rest = n[docs] - (np.arange(len(packed)) - np.repeat(np.cumsum(n) - n, n))
+    front = rest >= np.ceil(t * n - 1e-9)[docs]
+    return packed[front] & np.uint64(0xFFFFFFFF), docs[front], rest[front]
+
+
 def matrix_blobs(sets: DataFrame, ranks: np.ndarray, t: float, buckets: int) -> DataFrame:
     """(bucket, blob): the token-group matrix, cut by token; bucket -1 has pairs within groups."""
 
     def apply(batches):
         seen: set[tuple[int, int]] = set()
         for b in batches:
-            cls_all, side_all, size_all = (b.column(c).to_numpy() for c in ("cls", "side", "n"))
-            toks_all, count_all = unpack40(b.column("feats").to_pylist())
-            new = np.array([c > 0 and (m := (int(x), int(y))) not in seen and not seen.add(m) for c, x, y in zip(count_all, cls_all, side_all)], dtype=bool)
+            cls_all, side_all = (b.column(c).to_numpy() for c in ("cls", "side"))
+            new = np.array([(m := (int(x), int(y))) not in seen and not seen.add(m) for x, y in zip(cls_all, side_all)], dtype=bool)
             if not new.any():
                 continue
-            toks, has = toks_all[np.repeat(new, count_all)], count_all[new]
-            cls, side, n = cls_all[new], side_all[new], size_all[new].astype(np.int64)
-            bits = np.frombuffer(b"".join(x for x, y in zip(b.column("bits").to_pylist(), new) if y), dtype="V16")
-            docs = np.repeat(np.arange(len(n)), has)
-            # groups: classes with the same least token by hash, of similar size and one side, GROUP at most
-            first = np.concatenate([[0], np.cumsum(has)])
-            least = np.minimum.reduceat(mix(toks), first[:-1])
+            cls, side = cls_all[new], side_all[new]
+            toks, n = unpack32([x for x, y in zip(b.column("toks").to_pylist(), new) if y])
+            bits = np.frombuffer(b"".join(x for x, y in zip(b.column("bits").to_pylist(), new) if y), dtype=f"V{BITS // 8}")
+            token, docs, rest = prefixes(toks, n, ranks, t)
+            # groups: classes with the same least prefix token by hash, of similar size and one side, GROUP at most
+            least = np.minimum.reduceat(mix(token), np.flatnonzero(np.append(True, docs[1:] != docs[:-1])))
             near = np.floor(np.log(n) / -np.log(t) + 1e-9).astype(np.int64)
             order = np.lexsort((n, near, side, least))
             same = np.zeros(len(order), dtype=bool)
@@ -263,27 +250,25 @@ def matrix_blobs(sets: DataFrame, ranks: np.ndarray, t: float, buckets: int) ->
             group[order] = np.cumsum(begins) - 1
             at = np.flatnonzero(begins)
             count = np.diff(np.append(at, len(order)))
-            # the rarest tokens of each class
-            rank = ranks[(toks & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-            tier = docs * 4 + (toks >> np.uint64(38)).astype(np.int64)  # docs and tokens are in rising order, so the tiers are too
-            packed = np.sort((tier.astype(np.uint64) << np.uint64(46)) | (rank.astype(np.uint64) << np.uint64(38)) | (toks & np.uint64((1 << 38) - 1)))
-            begins = np.flatnonzero(np.append(True, tier[1:] != tier[:-1]))
-            count_tier = np.diff(np.append(begins, len(tier)))
-            front = np.arange(len(packed)) - np.repeat(begins, count_tier) < np.repeat(np.ceil(FRONT * count_tier).astype(np.int64), count_tier)
-            # the union of each group's tokens
-            g, token = group[docs[front]], (packed[front] & np.uint64((1 << 38) - 1)) | ((tier[front] & 3).astype(np.uint64) << np.uint64(38))
-            once = np.unique((g.astype(np.uint64) << np.uint64(40)) | token)
-            m = Matrix(once & TOKEN, (once >> np.uint64(40)).astype(np.int64), count, side[order][at], cls[order], n[order], bits[order])
+            # the union of each group's prefixes
+            high = n[order][at + count - 1]
+            share = np.ceil(255 * rest / high[group[docs]]).astype(np.uint64)
+            packed = np.sort((group[docs].astype(np.uint64) << np.uint64(40)) | (token << np.uint64(8)) | share)
+            last = np.append(packed[1:] >> np.uint64(8) != packed[:-1] >> np.uint64(8), True)
+            once = packed[last]
+            m = Matrix((once >> np.uint64(8)) & np.uint64(0xFFFFFFFF), (once >> np.uint64(40)).astype(np.int64), count, side[order][at], cls[order], n[order], bits[order], (once & np.uint64(255)).astype(np.uint8))
             bucket = (m.token % np.uint64(buckets)).astype(np.int64)
             o = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[o], np.arange(buckets + 1))
             rows = [(k, m.take(o[cuts[k] : cuts[k + 1]]).to_bytes()) for k in range(buckets) if cuts[k] < cuts[k + 1]]
             if many := np.flatnonzero(count > 1).tolist():  # members of one group are candidates of each other
-                inner = [np.stack([x[i], x[j]], axis=1) for q in many for x in [m.cls[at[q] : at[q] + count[q]]] for i, j in [np.triu_indices(len(x), 1)]]
-                rows.append((-1, np.concatenate(inner).astype("<i8").tobytes()))
+                inner = [np.stack(np.triu_indices(count[q], 1)) + at[q] for q in many]
+                x, y = np.concatenate(inner, axis=1)
+                if len(pairs := members_alike(m.cls, m.n, m.bits, x, y, t)):
+                    rows.append((-1, pairs.astype("<i8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
 
-    return sets.where("feats IS NOT NULL").select("cls", "side", "n", "feats", "bits").mapInArrow(apply, "bucket int, blob binary")
+    return sets.where("toks IS NOT NULL").select("cls", "side", "toks", "bits").mapInArrow(apply, "bucket int, blob binary")
 
 
 def join_bucket(m: Matrix, t: float, two_sided: bool):
@@ -410,8 +395,8 @@ def similar(df: DataFrame, k: int, t: float, two_sided: bool = False) -> tuple[D
     between side 0 (a) and side 1 (b), and equal sets on both sides are members of one class. Rows repeated under one
     key count once. Empty inputs give empty results.
     """
-    sets = written(token_sets(df, k, t), "sets")
+    sets = written(token_sets(df, k), "sets")
     ranks, tokens = token_ranks(sets)
-    buckets = max(12, int(tokens * FRONT) // BUCKET_ENTRIES)
+    buckets = max(12, int(tokens * (1 - t)) // BUCKET_ENTRIES)
     cands = cut_lineage(candidates(matrix_blobs(sets, ranks, t, buckets), t, two_sided))
     return sets.select("key", "side", "cls", "n").distinct(), verified(cands, sets, t)

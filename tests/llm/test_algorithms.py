@@ -67,6 +67,43 @@ def test_near_duplicates_against_brute_force(spark, k, t):
     assert near_duplicates.key_pairs(*empty).count() == 0
 
 
+def pairs_of_orders(seed):
+    """Texts of 14 to 30 items of 8 or 9 words, and the same items in another order."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(60):
+        items = [[r.choice(VOCABULARY) for _ in range(r.choice([8, 9, 9, 9]))] for _ in range(r.randint(14, 30))]
+        other = r.sample(items, len(items))
+        out.append((" ".join(sum(items, [])), " ".join(sum(other, []))))
+    return out
+
+
+def pairs_of_even_edits(seed, every, insert):
+    """Texts of 140 to 400 words, and the same with a word replaced or put in at equal distances."""
+    r = random.Random(seed)
+    out = []
+    for n in (140, 200, 400) * 8:
+        a = [r.choice(VOCABULARY) for _ in range(n)]
+        b = []
+        for i, w in enumerate(a, 1):
+            b += [r.choice(VOCABULARY)] if i % every == 0 and not insert else [w]
+            b += [r.choice(VOCABULARY)] if i % every == 0 and insert else []
+        out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def alike(pairs, t, k=3):
+    return {i for i, (a, b) in enumerate(pairs) for x, y in [(shingles(a, k), shingles(b, k))] if len(x & y) >= t * len(x | y)}
+
+
+def test_near_duplicates_of_reordered_items_and_even_edits(spark):
+    pairs = pairs_of_orders(21) + pairs_of_even_edits(22, 10, True)
+    df = spark.createDataFrame([(f"{i:03d}{s}", x) for i, p in enumerate(pairs) for s, x in zip("ab", p)], "id string, text string")
+    got = {(r.key_a, r.key_b) for r in near_duplicates.key_pairs(*near_duplicates.near_duplicates(df, "id", "text", 3, 0.6)).collect()}
+    want = alike(pairs, 0.6)
+    assert got == {(f"{i:03d}a", f"{i:03d}b") for i in want} and len(want) > 40
+
+
 def test_hot_copies_become_a_star(spark):
     df = spark.createDataFrame([(f"k{i:04d}", "bu metin çok kez tekrar eden aynı metindir") for i in range(300)], "id string, text string")
     got = near_duplicates.key_pairs(*near_duplicates.near_duplicates(df, "id", "text", 3, 0.6)).collect()
