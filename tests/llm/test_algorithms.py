@@ -147,6 +147,16 @@ def test_cross_split_against_brute_force(spark):
     assert split_overlap.record_pairs(*split_overlap.cross_split(df.limit(0), 3, 0.5)).count() == 0
 
 
+@pytest.mark.parametrize("every, insert", [(10, False), (9, True)])
+def test_cross_split_of_even_edits(spark, every, insert):
+    pairs = pairs_of_even_edits(23, every, insert)
+    rows = [(f"{i:03d}{s}", "", x, {"a": "test", "b": "train"}[s]) for i, p in enumerate(pairs) for s, x in zip("ab", p)]
+    df = spark.createDataFrame(rows, "query_id string, question string, context string, split string")
+    got = {(r.eval_id, r.train_id) for r in split_overlap.record_pairs(*split_overlap.cross_split(df, 3, 0.5)).collect()}
+    want = alike(pairs, 0.5)
+    assert got == {(f"{i:03d}a", f"{i:03d}b") for i in want} and len(want) == len(pairs)
+
+
 def test_containment(spark):
     e, t = "bir iki üç dört beş altı yedi", "bir iki üç dört beş altı yedi sekiz dokuz on"
     df = spark.createDataFrame([("e", e, None, "test"), ("t", t, None, "train")], "query_id string, question string, context string, split string")
