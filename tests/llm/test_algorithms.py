@@ -157,6 +157,40 @@ def test_cross_split_of_even_edits(spark, every, insert):
     assert got == {(f"{i:03d}a", f"{i:03d}b") for i in want} and len(want) == len(pairs)
 
 
+def test_cross_split_near_the_threshold(spark):
+    r = random.Random(24)
+    pairs = []
+    while len(pairs) < 60:  # random edits down to a likeness of 0.50 to 0.53
+        a = [r.choice(VOCABULARY) for _ in range(r.randint(130, 200))]
+        b = list(a)
+        like = 1.0
+        while like >= 0.53:
+            b = edited(r, b, 1)
+            x, y = shingles(" ".join(a), 3), shingles(" ".join(b), 3)
+            like = len(x & y) / len(x | y)
+        if like >= 0.5:
+            pairs.append((" ".join(a), " ".join(b)))
+    rows = [(f"{i:03d}{s}", "", x, {"a": "test", "b": "train"}[s]) for i, p in enumerate(pairs) for s, x in zip("ab", p)]
+    df = spark.createDataFrame(rows, "query_id string, question string, context string, split string")
+    got = {(x.eval_id, x.train_id) for x in split_overlap.record_pairs(*split_overlap.cross_split(df, 3, 0.5)).collect()}
+    assert got == {(f"{i:03d}a", f"{i:03d}b") for i in range(len(pairs))}
+
+
+def test_prefixes_of_alike_sets_meet():
+    r = np.random.default_rng(25)
+    ranks = r.integers(0, 4, 1 << overlap.SKETCH_BITS).astype(np.uint8)
+    for t in (0.5, 0.6, 0.8, 1.0):
+        for _ in range(200):
+            n = int(r.integers(1, 60))
+            common = int(np.ceil(t * n - 1e-9))
+            pool = r.choice(1 << 32, 2 * n, replace=False).astype(np.uint64)
+            ranks[(pool[:common] & np.uint64(len(ranks) - 1)).astype(np.int64)] = 9  # the common tokens are the most frequent
+            b = np.concatenate([pool[:common], pool[n : n + int(common / t + 1e-9) - common]])
+            token, doc, rest = overlap.prefixes(np.concatenate([pool[:n], b]), np.array([n, len(b)]), ranks, t)
+            both = np.intersect1d(token[doc == 0], token[doc == 1])
+            assert len(both) or common < t * (n + len(b) - common) - 1e-9
+
+
 def test_containment(spark):
     e, t = "bir iki üç dört beş altı yedi", "bir iki üç dört beş altı yedi sekiz dokuz on"
     df = spark.createDataFrame([("e", e, None, "test"), ("t", t, None, "train")], "query_id string, question string, context string, split string")
