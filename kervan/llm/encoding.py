@@ -33,9 +33,11 @@ CLEAN = LETTERS + HATS + MARKS
 ENTER, LEAVE, CHANGE = 5.0, 1.0, 8.0
 LOST = "�"
 STRETCH = 20_000
+#: Read only as two bytes, the first of which looks like one of LEADS: blanks and signs that are no letters.
+SIGNS = "".join(map(chr, range(0xA0, 0xC0)))
 #: What the first bytes of two-byte sequences look like in cp1252.
 LEADS = "ÂÃÄÅ"
-_CLASS = "[^\\x00-\\x7F" + "".join(CLEAN) + "\\u200B-\\u200F\\u2060-\\u2064\\uFEFF\\u00AD\\uFE0F\\u2000-\\u200A\\u202F\\u00A0\\u0300-\\u036F\\uFF01-\\uFF5E\\uFB01\\uFB02\\u2011]"
+_CLASS = "[^\\x00-\\x7F" + "".join(CLEAN) + "\\u200B-\\u200F\\u2060-\\u2064\\uFEFF\\u00AD\\uFE0F\\u2000-\\u200A\\u202F\\u00A0\\u0300-\\u036F\\uFF01-\\uFF5E\\uFB01\\uFB02\\u2011]|Â[\\x80-\\xBF]"
 
 
 def decoded(raw: bytes, wrong: str) -> str | None:
@@ -68,6 +70,10 @@ def emissions() -> list[dict[str, tuple[str, float]]]:
                 if all(ord(x) > 127 for x in seen):
                     # a character that both encodings show alike is no sign of either
                     table[seen] = (c, cost if seen != c or c in FOREIGN else 1.2)
+        if right == "utf-8":
+            for c in SIGNS:
+                if (seen := decoded(c.encode(right), wrong))[0] in LEADS:
+                    table.setdefault(seen, (c, 1.5))
         out.append(table)
     return out
 
@@ -92,9 +98,19 @@ def foreign_word(t: str, i: int) -> bool:
     return any(ord(x) > 127 and x not in CLEAN and x not in "ðþýÐÞÝ" for x in t[a:i] + t[i + 1 : b + 1])
 
 
+def stray_lead(t: str, i: int) -> bool:
+    """t[i] is an Â before what a second byte looks like, and not the end of a word in capitals or quoted as a letter."""
+    if t[i] != "Â" or not "\x80" <= t[i + 1 : i + 2] < "\xc0":
+        return False
+    before = t[i - 1] if i else " "
+    return not before.isupper() and not (before == "«" and t[i + 1] == "»")
+
+
 def clean_cost(t: str, i: int) -> float:
     """Cost of t[i] in the clean state: high for what does not belong where it stands."""
     ch = t[i]
+    if i and stray_lead(t, i - 1):
+        return 12.0
     if ch in CLEAN:
         return 0.5
     o = ord(ch)
@@ -145,7 +161,7 @@ def _label(t: str) -> list[tuple[int, int, int, str]]:
     # states that never read a Turkish letter or mark where another character stands are left out
     useful = set()
     for i in at:
-        if t[i] not in CLEAN:
+        if t[i] not in CLEAN or stray_lead(t, i):
             for s, table in enumerate(tables):
                 if s not in useful and any((got := table.get(t[i : i + n])) and got[1] < 5 and t[i : i + n] != got[0] for n in sizes[s]):
                     useful.add(s)

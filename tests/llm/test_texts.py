@@ -166,3 +166,10 @@ def test_garbled_frame(spark):
     got = {r.rec_key: r for r in E.garbled(df, "key", "text").collect()}
     assert set(got) == {"a", "d"} and got["a"].restored == "görevini devreder " and got["d"].restored == "görevini devreder " * 6000 and got["a"].encodings == ["utf-8>cp1252"]
     assert E.garbled(df.limit(0), "key", "text").count() == 0
+
+
+def test_only_a_stray_lead_byte(spark):
+    bad = {"a": ("maddeÂ\xa05", "madde\xa05"), "b": ("5Â°C", "5°C"), "c": ("Â§ 12", "§ 12"), "d": ("12 mÂ², Â«asılÂ» 3Â½", "12 m², «asıl» 3½")}
+    good = {"x": "madde\xa05", "y": "5 °C ve § 12", "z": "«SEVDÂ» ile «Â» harfi, hâkim, Âli Â. 3", "v": "В\xa0Москве"}
+    df = spark.createDataFrame([(k, v[0]) for k, v in bad.items()] + list(good.items()), "key string, text string")
+    assert {r.rec_key: r.restored for r in E.garbled(df, "key", "text").collect()} == {k: v[1] for k, v in bad.items()}
