@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kervan.llm.overlap import similar
 from kervan.llm.util import cut_lineage
 
-#: Classes of more copies than this are linked through their first key only (star), not by all pairs of copies.
+#: Texts of more copies than this are linked through their first key only (star), not by all pairs of copies.
 FULL_PAIRS = 256
 
 
@@ -23,14 +23,15 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, t: float = 0
 
 
 def key_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(key_a, key_b), smaller first: all pairs of keys of linked classes and of one class. A class of more than FULL_PAIRS
-    keys is replaced by its first key, to which each of its keys is paired: no link is lost, nor is a quadratic group built."""
-    size = members.groupBy("cls").agg(F.count("*").alias("m"), F.min("key").alias("head"))
-    both = members.select("key", "cls").join(size.where("m > 1"), "cls")
-    a, b = both.alias("a"), both.alias("b")
-    inner = a.join(b, F.expr(f"a.cls = b.cls AND a.key < b.key AND a.m <= {FULL_PAIRS}")).select(F.col("a.key").alias("x"), F.col("b.key").alias("y"))
-    star = both.where(f"m > {FULL_PAIRS} AND key <> head").select(F.col("head").alias("x"), F.col("key").alias("y"))
-    full = members.select("key", "cls").join(size, "cls").where(f"m <= {FULL_PAIRS} OR key = head").select("key", "cls")
+    """(key_a, key_b), smaller first: all pairs of keys of linked classes and of one class. A stored text of more than FULL_PAIRS
+    keys is replaced by its first key, to which each of its keys is paired: no link is lost, nor do its copies make a quadratic
+    group. Different texts of one class are paired in full."""
+    size = members.groupBy("cls", "txt").agg(F.count("*").alias("m"), F.min("key").alias("head"))
+    of_text = members.select("key", "cls", "txt").join(size, ["cls", "txt"])
+    star = of_text.where(f"m > {FULL_PAIRS} AND key <> head").select(F.col("head").alias("x"), F.col("key").alias("y"))
+    full = of_text.where(f"m <= {FULL_PAIRS} OR key = head").select("key", "cls")
+    a, b = full.alias("a"), full.alias("b")
+    inner = a.join(b, F.expr("a.cls = b.cls AND a.key < b.key")).select(F.col("a.key").alias("x"), F.col("b.key").alias("y"))
     across = links.select("a", "b").join(full.select(F.col("cls").alias("a"), F.col("key").alias("x")), "a").join(full.select(F.col("cls").alias("b"), F.col("key").alias("y")), "b").select("x", "y")
     return inner.unionAll(star).unionAll(across).where("x <> y").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 

@@ -35,7 +35,7 @@ GROUP = 32
 #: Bits of the parity bitmap of a set.
 BITS = 256
 
-SETS = "key string, side byte, cls bigint, n int, toks binary, bits binary"
+SETS = "key string, side byte, cls bigint, txt bigint, n int, toks binary, bits binary"
 _P = "a bigint, b bigint"
 
 
@@ -48,7 +48,8 @@ def parity(toks: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def token_sets(df: DataFrame, k: int) -> DataFrame:
-    """(key, side, cls, n, toks, bits) of rows (key, side, field, text): the set of k-word sequences of each text, its class and its bitmap.
+    """(key, side, cls, txt, n, toks, bits) of rows (key, side, field, text): the set of k-word sequences of each text, its class, a hash of
+    the stored text and its bitmap.
 
     Texts of fewer than k words (null and empty ones too) have no sequences and are left out. A task keeps the
     tokens of a class once; further copies have nulls there.
@@ -58,7 +59,7 @@ def token_sets(df: DataFrame, k: int) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         for b in batches:
             keys, sides = b.column("key"), b.column("side").to_numpy(zero_copy_only=False)
-            fields = b.column("field").to_numpy(zero_copy_only=False)
+            fields, txts = b.column("field").to_numpy(zero_copy_only=False), b.column("txt")
             for lo, w in each(b.column("text")):
                 for field in np.unique(fields[lo : lo + w.n]):
                     toks, first = w.sets(k, int(field))
@@ -76,11 +77,11 @@ def token_sets(df: DataFrame, k: int) -> DataFrame:
                         maps.append(bits[d].tobytes() if new else None)
                         seen.add(mark)
                     yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(lo + rows)), pa.array(sides[lo + rows], pa.int8()), pa.array(cls[rows]), pa.array(n[rows].astype(np.int32))] + [pa.array(x, pa.binary()) for x in (blobs, maps)],
-                        names=["key", "side", "cls", "n", "toks", "bits"],
+                        [keys.take(pa.array(lo + rows)), pa.array(sides[lo + rows], pa.int8()), pa.array(cls[rows]), txts.take(pa.array(lo + rows)), pa.array(n[rows].astype(np.int32))] + [pa.array(x, pa.binary()) for x in (blobs, maps)],
+                        names=["key", "side", "cls", "txt", "n", "toks", "bits"],
                     )
 
-    return df.select("key", "side", "field", "text").where("text IS NOT NULL AND key IS NOT NULL").mapInArrow(apply, SETS)
+    return df.select("key", "side", "field", "text", F.xxhash64("text").alias("txt")).where("text IS NOT NULL AND key IS NOT NULL").mapInArrow(apply, SETS)
 
 
 def token_ranks(sets: DataFrame) -> tuple[np.ndarray, int]:
@@ -389,7 +390,7 @@ def verified(cands: DataFrame, sets: DataFrame, t: float, bits: int = 25) -> Dat
 
 
 def similar(df: DataFrame, k: int, t: float, two_sided: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of rows (key, side, field, text): members (key, side, cls, n) and links (a, b, …) between classes.
+    """(members, links) of rows (key, side, field, text): members (key, side, cls, txt, n) and links (a, b, …) between classes.
 
     Every pair of different classes of a likeness of at least t, 0 < t <= 1, is one link; with two_sided, only those
     between side 0 (a) and side 1 (b), and equal sets on both sides are members of one class. Rows repeated under one
@@ -399,4 +400,4 @@ def similar(df: DataFrame, k: int, t: float, two_sided: bool = False) -> tuple[D
     ranks, tokens = token_ranks(sets)
     buckets = max(12, int(tokens * (1 - t)) // BUCKET_ENTRIES)
     cands = cut_lineage(candidates(matrix_blobs(sets, ranks, t, buckets), t, two_sided))
-    return sets.select("key", "side", "cls", "n").distinct(), verified(cands, sets, t)
+    return sets.select("key", "side", "cls", "txt", "n").dropDuplicates(["key", "side", "cls"]), verified(cands, sets, t)

@@ -38,23 +38,23 @@ def cross_split(df: DataFrame, k: int = 5, t: float = 0.8) -> tuple[DataFrame, D
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(eval_id, train_id, containment, likeness) of all linked records, each pair once with its best field.
 
-    Where many copies of a text are on both sides, more than FULL_PAIRS pairs, each of them is paired with the first key
-    of the other side only, so that no group grows quadratically and no record is lost.
+    Where many copies of one stored text are on both sides, more than FULL_PAIRS pairs, each of them is paired with the first key
+    of the other side's text only, so that no copies grow quadratically and no record is lost.
     """
-    count = members.groupBy("cls", "side").agg(F.count("*").alias("m"), F.min("key").alias("head"))
-    ev = members.where("side = 0").join(count.where("side = 0").drop("side"), "cls").select(F.col("cls").alias("a"), F.col("key").alias("eval_id"), F.col("m").alias("m_a"), F.col("head").alias("head_a"))
-    tr = members.where("side = 1").join(count.where("side = 1").drop("side"), "cls").select(F.col("cls").alias("b"), F.col("key").alias("train_id"), F.col("m").alias("m_b"), F.col("head").alias("head_b"))
+    count = members.groupBy("cls", "txt", "side").agg(F.count("*").alias("m"), F.min("key").alias("head"))
+    ev = members.where("side = 0").join(count.where("side = 0").drop("side"), ["cls", "txt"]).select(F.col("cls").alias("a"), F.col("txt").alias("txt_a"), F.col("key").alias("eval_id"), F.col("m").alias("m_a"), F.col("head").alias("head_a"))
+    tr = members.where("side = 1").join(count.where("side = 1").drop("side"), ["cls", "txt"]).select(F.col("cls").alias("b"), F.col("txt").alias("txt_b"), F.col("key").alias("train_id"), F.col("m").alias("m_b"), F.col("head").alias("head_b"))
     small = f"m_a * m_b <= {FULL_PAIRS}"
-    heads_a = ev.where("eval_id = head_a").select("a", F.col("eval_id").alias("only_a"), F.col("m_a"))
-    heads_b = tr.where("train_id = head_b").select("b", F.col("train_id").alias("only_b"), F.col("m_b"))
-    same = heads_a.join(heads_b, F.col("a") == F.col("b")).select("a", "b", "m_a", "m_b", "only_a", "only_b", F.lit(1.0).alias("containment"), F.lit(1.0).alias("likeness"))
+    heads_a = ev.where("eval_id = head_a").select("a", "txt_a", F.col("eval_id").alias("only_a"), F.col("m_a"))
+    heads_b = tr.where("train_id = head_b").select("b", "txt_b", F.col("train_id").alias("only_b"), F.col("m_b"))
+    same = heads_a.join(heads_b, F.col("a") == F.col("b")).select("a", "txt_a", "b", "txt_b", "m_a", "m_b", "only_a", "only_b", F.lit(1.0).alias("containment"), F.lit(1.0).alias("likeness"))
     near = links.select("a", "b", (F.col("hits") / F.col("n_a")).alias("containment"), "likeness").join(heads_a, "a").join(heads_b, "b").select(*same.columns)
     linked = same.unionAll(near)
-    e, r = ev.select("a", "eval_id"), tr.select("b", "train_id")
+    e, r = ev.select("a", "txt_a", "eval_id"), tr.select("b", "txt_b", "train_id")
     out = ["eval_id", "train_id", "containment", "likeness"]
-    full = linked.where(small).join(e, "a").join(r, "b").select(*out)
-    star_a = linked.where(f"NOT ({small})").join(e, "a").select("eval_id", F.col("only_b").alias("train_id"), "containment", "likeness")
-    star_b = linked.where(f"NOT ({small})").join(r, "b").select(F.col("only_a").alias("eval_id"), "train_id", "containment", "likeness")
+    full = linked.where(small).join(e, ["a", "txt_a"]).join(r, ["b", "txt_b"]).select(*out)
+    star_a = linked.where(f"NOT ({small})").join(e, ["a", "txt_a"]).select("eval_id", F.col("only_b").alias("train_id"), "containment", "likeness")
+    star_b = linked.where(f"NOT ({small})").join(r, ["b", "txt_b"]).select(F.col("only_a").alias("eval_id"), "train_id", "containment", "likeness")
     return full.unionAll(star_a).unionAll(star_b).where("eval_id <> train_id").groupBy("eval_id", "train_id").agg(F.max("containment").alias("containment"), F.max("likeness").alias("likeness"))
 
 

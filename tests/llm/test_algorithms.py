@@ -110,6 +110,17 @@ def test_hot_copies_become_a_star(spark):
     assert {(r.key_a, r.key_b) for r in got} == {("k0000", f"k{i:04d}") for i in range(1, 300)}
 
 
+def test_different_texts_of_a_hot_class_are_paired_in_full(spark):
+    base = "bu metin çok kez tekrar eden aynı metindir"
+    texts = [base] * 260 + [base + "."] * 3 + [base.replace("i", "İ").upper()] + [base.replace(" ", ", ", 1)] * 2
+    df = spark.createDataFrame([(f"k{i:04d}", x) for i, x in enumerate(texts)], "id string, text string")
+    rows = near_duplicates.key_pairs(*near_duplicates.near_duplicates(df, "id", "text", 3, 0.6)).collect()
+    got = {(r.key_a, r.key_b) for r in rows}
+    others = [0] + list(range(260, len(texts)))
+    want = {("k0000", f"k{i:04d}") for i in range(1, 260)} | {(f"k{i:04d}", f"k{j:04d}") for i in others for j in others if i < j and shingles(texts[i], 3) == shingles(texts[j], 3)}
+    assert got == want and len(rows) == len(want) and len(want) > 270
+
+
 def test_hot_tokens_go_in_blocks(monkeypatch):
     monkeypatch.setattr(overlap, "BLOCK", 8)
     n = 30
