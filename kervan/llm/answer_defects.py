@@ -61,8 +61,9 @@ _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“]*“|\"[^\"]*\"")
 _TAIL = re.compile(r"(?:\s*(?:\[\s*kaynak\s+\d+\s*\]|\(\s*bkz[^()]*\)|\[\d+\]))+\s*$", re.I)
 #: Shares of words that make a copy: of the answer within copied stretches of MIN_RUN words, and of the question covered.
 COPIED, COVERED, MIN_RUN = 0.8, 0.7, 3
-#: Words of a refusing answer beyond which it is an answer that also has such a phrase.
-REFUSAL_WORDS = 30
+#: An answer of up to so many words is a refusal by any such phrase; a longer one if the sentences that have one make this share of its words.
+REFUSAL_WORDS, REFUSING = 30, 0.5
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Answers of up to this many words may do without a verb.
 PHRASE_WORDS = 5
 MARK_CODES = np.array([ord(c) for c in ".!?"], dtype=np.uint32)
@@ -180,6 +181,10 @@ def parallel(s: str) -> bool:
     return len(parts) > 1 and all(len(p) >= 2 and p[-2].isdigit() and p[-1] == parts[0][-1] for p in parts) and parts[0][0].isdigit() and len(parts[0]) == 2
 
 
+def refuses(words: list[str]) -> bool:
+    return next(refusal_automaton().iter(f" {' '.join(words)} "), None) is not None
+
+
 def defect(question: str | None, answer: str | None) -> tuple[str | None, str | None]:
     """(defect, text): the answer's text is given where only the endings of the collection tell whether it breaks off."""
     if answer is None:
@@ -192,7 +197,7 @@ def defect(question: str | None, answer: str | None) -> tuple[str | None, str |
     plain = _QUOTED.sub(" ", folded) if any(c in folded for c in "“«„\"") else folded
     a = _WORD.findall(folded)
     rest = a if plain is folded else _WORD.findall(plain)
-    if len(rest) <= REFUSAL_WORDS and next(refusal_automaton().iter(f" {' '.join(rest)} "), None):
+    if refuses(rest) and (len(rest) <= REFUSAL_WORDS or sum(len(w) for w in map(_WORD.findall, _SENTENCE.split(plain)) if refuses(w)) >= REFUSING * len(rest)):
         return "refusal", None
     asking = fold(question)
     q = _WORD.findall(asking.translate(_FOLDED))  # bare letters, so that wrong letter case and typing do not hide a copy

@@ -173,3 +173,11 @@ def test_only_a_stray_lead_byte(spark):
     good = {"x": "madde\xa05", "y": "5 °C ve § 12", "z": "«SEVDÂ» ile «Â» harfi, hâkim, Âli Â. 3", "v": "В\xa0Москве"}
     df = spark.createDataFrame([(k, v[0]) for k, v in bad.items()] + list(good.items()), "key string, text string")
     assert {r.rec_key: r.restored for r in E.garbled(df, "key", "text").collect()} == {k: v[1] for k, v in bad.items()}
+
+
+def test_long_refusals_and_long_answers():
+    sorry = "Üzgünüm, bu konuda size özel bir hukuki tavsiye veremem çünkü dosyanın içeriğini ve ilgili belgeleri görmeden sağlıklı bir değerlendirme yapmak mümkün değil. "
+    refer = "Somut olayın bütün ayrıntıları bilinmeden bu soruya yanıt veremem, bu nedenle en yakın baroya veya bir avukata başvurmanız daha doğru olur."
+    answer = "Dava süresi tebliğden itibaren otuz gündür. Süre hak düşürücüdür ve hâkim tarafından kendiliğinden gözetilir. Dilekçe yetkili mahkemeye verilir ve harç aynı gün yatırılır. Ayrıntı hakkında bilgim yok."
+    q = "Dava açma süresi ne kadardır?"
+    assert A.defect(q, sorry + refer)[0] == "refusal" and A.defect(q, answer + " İtiraz da aynı süreye bağlıdır ve üst mahkeme tarafından incelenir.")[0] != "refusal"
