@@ -88,7 +88,7 @@ def plain_table() -> np.ndarray:
 @functools.cache
 def connection() -> duckdb.DuckDBPyConnection:
     """One single-threaded DuckDB per Python worker."""
-    return duckdb.connect(config={"threads": 1, "memory_limit": "1GB"})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
 
 
 def run_sql(sql: str, **tables: pa.Table) -> pa.Table:

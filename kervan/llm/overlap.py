@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kervan.llm.util import cut_lineage, written
+from kervan.llm.util import PARTIAL, cut_lineage, partial_rows, tasks_of, tree_merged, written
 from kervan.llm.words import each, mix
 
 #: log2 of the counters of the token sketch; its ranks are one byte each, so 4 MB go to every task, at any scale.
@@ -89,28 +89,26 @@ def token_ranks(sets: DataFrame) -> tuple[np.ndarray, int]:
     cells, parts = 1 << SKETCH_BITS, 16
 
     def count(batches):
-        total, tokens = np.zeros(cells, dtype=np.uint32), np.zeros(parts, dtype=np.int64)
+        total, tokens = np.zeros(cells, dtype=np.uint32), 0
         for b in batches:
             toks, _ = unpack32(b.column(0).to_pylist())
             total += np.bincount((toks & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
-            tokens[0] += len(toks)
-        if tokens[0]:  # beyond 255 in one task a token is common anyway
-            counts = [x.tobytes() for x in np.split(np.minimum(total, 255).astype(np.uint8), parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(counts, pa.binary()), pa.array(tokens)], names=["part", "counts", "n"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(cells // parts, dtype=np.uint64)
-        for x in table.column("counts"):
-            total += np.frombuffer(x.as_buffer(), dtype=np.uint8)
-        rank = np.minimum(255, 4 * np.log2(total + 1.0)).astype(np.uint8)
-        return pa.table({"part": table.column("part")[:1], "ranks": pa.array([rank.tobytes()], pa.binary()), "n": pa.array([int(np.sum(table.column("n").to_numpy()))])})
-
-    counted = sets.where("toks IS NOT NULL").select("toks").mapInArrow(count, "part int, counts binary, n bigint")
-    rows = counted.groupBy("part").applyInArrow(add, "part int, ranks binary, n bigint").collect()  # 16 rows, 4 MB
-    ranks = np.zeros(cells, dtype=np.uint8)
-    for r in rows:
-        ranks[r.part * (cells // parts) : (r.part + 1) * (cells // parts)] = np.frombuffer(r.ranks, dtype=np.uint8)
-    return ranks, sum(r.n for r in rows)
+            tokens += len(toks)
+        if tokens:
+            yield partial_rows([*(levels(x).tobytes() for x in np.split(total, parts)), np.int64(tokens).tobytes()])
+
+    def levels(x):  # counts as bytes: 8 steps for each doubling keep a sum of many tasks' counts within a few percent
+        return np.minimum(255, np.round(8 * np.log2(x + 1.0))).astype(np.uint8)
+
+    def merge(blobs):
+        if len(blobs[0]) == 8:
+            return np.int64(sum(int(np.frombuffer(x, dtype=np.int64)[0]) for x in blobs)).tobytes()
+        return levels(sum(2.0 ** (np.frombuffer(x, dtype=np.uint8) / 8.0) - 1 for x in blobs)).tobytes()
+
+    got = tree_merged(sets.where("toks IS NOT NULL").select("toks").mapInArrow(count, PARTIAL), tasks_of(sets), merge)  # 16 rows of 256 KB and one number
+    if not got:
+        return np.zeros(cells, dtype=np.uint8), 0
+    return np.concatenate([np.frombuffer(got[p], dtype=np.uint8) for p in range(parts)]), int(np.frombuffer(got[parts], dtype=np.int64)[0])
 
 
 def pack32(t: np.ndarray) -> bytes:
@@ -352,23 +350,28 @@ def seen_filter(ids: DataFrame, bits: int = 25) -> np.ndarray:
             for c in b.columns:
                 on[(mix(c.to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)] = True
         if on.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([np.packbits(x).tobytes() for x in np.split(on, parts)], pa.binary())], names=["part", "on"])
+            yield partial_rows([np.packbits(x).tobytes() for x in np.split(on, parts)])
 
-    def either(table: pa.Table) -> pa.Table:
-        return pa.table({"part": table.column("part")[:1], "on": pa.array([np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in table.column("on")]).tobytes()], pa.binary())})
+    def merge(blobs):
+        return np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in blobs]).tobytes()
 
-    got = {r.part: r.on for r in ids.mapInArrow(mark, "part int, on binary").groupBy("part").applyInArrow(either, "part int, on binary").collect()}
+    got = tree_merged(ids.mapInArrow(mark, PARTIAL), tasks_of(ids), merge)
     return np.frombuffer(b"".join(got.get(p, bytes((1 << bits) // 8 // parts)) for p in range(parts)), dtype=np.uint8)
 
 
+def seen(on: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids the bitmap does not rule out."""
+    place = (mix(ids.view(np.uint64)) >> np.uint64(64 - (8 * len(on)).bit_length() + 1)).astype(np.int64)
+    return (on[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def verified(cands: DataFrame, sets: DataFrame, t: float, bits: int = 25) -> DataFrame:
     """(a, b, n_a, n_b, hits, likeness) of the candidates that reach t, counted on the whole sets."""
     on = seen_filter(cands, bits)
 
     def keep(batches):
         for b in batches:
-            place = (mix(b.column("cls").to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-            yield b.filter(pa.array((on[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)))
+            yield b.filter(pa.array(seen(on, b.column("cls").to_numpy())))
 
     one = sets.where("toks IS NOT NULL").select("cls", "toks").mapInArrow(keep, "cls bigint, toks binary").groupBy("cls").agg(F.first("toks").alias("toks"))
     both = cands.join(one.select(F.col("cls").alias("a"), F.col("toks").alias("x")), "a").join(one.select(F.col("cls").alias("b"), F.col("toks").alias("y")), "b")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ SHARD_ITEMS = 16_384
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how byte-level BPE vocabularies of this kind cut text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A text without white space for longer is cut there before it is tokenized: merging takes time quadratic in its length.
-SOLID = 20_000
+#: A longer run of white space is merged apart from the text around it: the pattern's search ahead would not get through it.
+BLANK_RUN = 20_000
+_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % BLANK_RUN)
 
 
 @functools.cache
@@ -39,6 +41,18 @@ def encoding(path: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def n_tokens(enc, t: str) -> int:
+    """Tokens of a text. A long run of white space is one piece of the pattern, less its last character where more text follows, so it is cut there."""
+    n = at = 0
+    if len(t) >= BLANK_RUN:
+        for m in _BLANKS.finditer(t):
+            a, b = m.span()
+            b -= b < len(t)
+            n += len(enc.encode_ordinary(t[at:a])) + len(enc._core_bpe.encode_single_piece(t[a:b].encode()))
+            at = b
+    return n + len(enc.encode_ordinary(t[at:] if at else t))
+
+
 def token_counts(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, cluster, n_tokens) of rows (doc_id, text, source); null texts count as empty. cluster: hash of the text."""
     key = df.schema["doc_id"].dataType.simpleString()
@@ -46,10 +60,7 @@ def token_counts(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
     def apply(batches):
         enc = encoding(path)
         for b in batches:
-            n = []
-            for t in b.column("text").to_pylist():
-                parts = [t[i : i + SOLID] for i in range(0, len(t), SOLID)] if len(t) > SOLID and len(max(t.split(), key=len, default="")) > SOLID else [t]
-                n.append(sum(len(enc.encode_ordinary(p)) for p in parts))
+            n = [n_tokens(enc, t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("cluster"), pa.array(n, pa.int64())], names=["doc_id", "source", "cluster", "n_tokens"])
 
     rows = df.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), F.coalesce("text", F.lit("")).alias("text"))
@@ -148,7 +159,7 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: sequences, tokens, share of the room that is used, and sequences with two copies of one text."""
+    """One row: sequences, tokens, share of the room that is used, and the longest sequence."""
     packed = p7_packed(spark, sf_dir)
     each = packed.groupBy("sequence").agg(F.sum("n_tokens").alias("n"))
     return each.agg(F.count("*").alias("n_sequences"), F.sum("n").alias("n_tokens"), F.round(F.sum("n") / (F.count("*") * CAPACITY), 6).alias("share_used"), F.max("n").alias("longest"))

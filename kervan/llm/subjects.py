@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kervan.llm.splitting import is_space
-from kervan.llm.util import written
+from kervan.llm.util import PARTIAL, partial_rows, tasks_of, tree_merged, written
 from kervan.llm.words import each
 
 #: Terms, letters of a stem, dimensions kept, further ones that the decomposition works with, refinements of the centroids.
@@ -55,8 +55,7 @@ def terms_of(texts: pa.Array):
 
 
 def term_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, terms, lengths): the term numbers of a document's words and the numbers of words of its sentences, both as 16-bit
-    numbers; sentences of more words are cut there."""
+    """(doc_id, lang, terms, lengths): the term numbers of a document's words (16 bits each) and the numbers of words of its sentences (32 bits)."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batches):
@@ -65,10 +64,8 @@ def term_table(docs: DataFrame) -> DataFrame:
             for lo, w, term, sentence in terms_of(b.column(1)):
                 new = np.ones(len(term), dtype=bool)
                 new[1:] = (sentence[1:] != sentence[:-1]) | (w.doc[1:] != w.doc[:-1])
-                run = np.arange(len(term)) - np.maximum.accumulate(np.where(new, np.arange(len(term)), 0))
-                new |= (run > 0) & (run % 60_000 == 0)
                 at = np.flatnonzero(new)
-                length = np.diff(np.append(at, len(term))).astype(np.uint16)
+                length = np.diff(np.append(at, len(term))).astype(np.uint32)
                 cut = np.searchsorted(w.doc[at], np.arange(w.n + 1))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, w.n), b.column(2).slice(lo, w.n), pa.array([term[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:])], pa.binary()), pa.array([length[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
@@ -79,9 +76,9 @@ def term_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", lang.alias("lang")).mapInArrow(apply, f"doc_id {key}, lang string, terms binary, lengths binary")
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _flat(column: pa.Array, kind=np.uint16) -> tuple[np.ndarray, np.ndarray]:
     blobs = column.to_pylist()
-    return np.frombuffer(b"".join(blobs), dtype=np.uint16), np.array([len(x) // 2 for x in blobs], dtype=np.int64)
+    return np.frombuffer(b"".join(blobs), dtype=kind), np.array([len(x) // np.dtype(kind).itemsize for x in blobs], dtype=np.int64)
 
 
 def _weights(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,8 +92,8 @@ def _weights(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc, term, value / np.maximum(np.sqrt(np.bincount(doc, value**2, minlength=len(n))), 1e-9)[doc]
 
 
-def summed(df: DataFrame, columns: list[str], shape: tuple[int, int], of) -> np.ndarray:
-    """Sum over all batches of of(batch) -> array of the shape; tasks add up their own, the cluster adds the tasks' in slices."""
+def summed(df: DataFrame, columns: list[str], shape: tuple[int, int], of, tasks: int) -> np.ndarray:
+    """Sum over all batches of of(batch) -> array of the shape; tasks (so many) add up their own, the cluster adds the tasks' in slices."""
     parts = _PARTS if shape[0] % _PARTS == 0 else 1
 
     def apply(batches):
@@ -105,17 +102,18 @@ def summed(df: DataFrame, columns: list[str], shape: tuple[int, int], of) -> np.
             for lo in range(0, b.num_rows, 1000):
                 total += of(b.slice(lo, 1000))
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([x.astype("<f8").tobytes() for x in np.split(total, parts)], pa.binary())], names=["part", "sum"])
+            yield partial_rows([x.astype("<f8").tobytes() for x in np.split(total, parts)])
 
-    def add(t: pa.Table) -> pa.Table:
-        return pa.table({"part": t.column("part")[:1], "sum": pa.array([sum(np.frombuffer(x.as_buffer(), dtype="<f8") for x in t.column("sum")).tobytes()], pa.binary())})
+    def add(blobs):
+        return sum(np.frombuffer(x, dtype="<f8") for x in blobs).tobytes()
 
-    got = {r.part: r.sum for r in df.select(*columns).mapInArrow(apply, "part int, sum binary").groupBy("part").applyInArrow(add, "part int, sum binary").collect()}
+    got = tree_merged(df.select(*columns).mapInArrow(apply, PARTIAL), tasks, add)
     return np.concatenate([np.frombuffer(got[p], dtype="<f8") if p in got else np.zeros(shape[0] // parts * shape[1]) for p in range(parts)]).reshape(shape)
 
 
 def term_vectors(table: DataFrame) -> np.ndarray:
     """TERMS x RANK: the vectors of the terms, times their rarity."""
+    tasks = tasks_of(table)
 
     def counted(b):
         term, n = _flat(b.column(0))
@@ -126,7 +124,7 @@ def term_vectors(table: DataFrame) -> np.ndarray:
         out[TERMS, 0] = len(n)
         return out
 
-    df = summed(table, ["terms"], (TERMS + _PARTS, 1), counted)[:, 0]
+    df = summed(table, ["terms"], (TERMS + _PARTS, 1), counted, tasks)[:, 0]
     idf = np.where(df[:TERMS] > 0, np.log((df[TERMS] + 1) / (df[:TERMS] + 1)), 0.0)
 
     def weighed(b):
@@ -135,7 +133,7 @@ def term_vectors(table: DataFrame) -> np.ndarray:
         out[:, 0] = np.bincount(term, weights=value, minlength=TERMS)
         return out
 
-    scale = np.maximum(summed(table, ["terms"], (TERMS, 1), weighed)[:, 0], 1e-9) ** -SCALE
+    scale = np.maximum(summed(table, ["terms"], (TERMS, 1), weighed, tasks)[:, 0], 1e-9) ** -SCALE
 
     def times(q: np.ndarray) -> np.ndarray:
         """A'A q for the scaled document-term matrix A."""
@@ -152,7 +150,7 @@ def term_vectors(table: DataFrame) -> np.ndarray:
                 out += a.T @ (a @ wide)
             return out
 
-        return summed(table, ["terms"], q.shape, of)
+        return summed(table, ["terms"], q.shape, of, tasks)
 
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((TERMS, RANK + SPARE)))[0]
     q = np.linalg.qr(times(q))[0]
@@ -188,7 +186,7 @@ class Model:
     def assign(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, unit vector, area or -1, centroid of every sentence; sentences of every document) of a batch (…, terms, lengths)."""
         term, _ = _flat(b.column("terms"))
-        length, n = _flat(b.column("lengths"))
+        length, n = _flat(b.column("lengths"), np.uint32)
         doc = np.repeat(np.arange(len(n)), n)
         if not len(length) or not len(self.area):
             none = np.full(len(doc), -1)
@@ -235,7 +233,7 @@ def seeds(table: DataFrame, vectors: np.ndarray, areas: DataFrame, labels: DataF
         return out
 
     area = np.array([a for a, _ in groups], dtype=np.int64)
-    total = summed(labelled, ["terms", "areas", "lang"], (len(groups), RANK), of) if groups else np.zeros((0, RANK))
+    total = summed(labelled, ["terms", "areas", "lang"], (len(groups), RANK), of, tasks_of(table)) if groups else np.zeros((0, RANK))
     return Model(vectors, names, area, unit(total + DESCRIBED * described[area]))
 
 
@@ -250,7 +248,7 @@ def subject_model(table: DataFrame, areas: DataFrame, labels: DataFrame) -> Mode
                 out[c] = u[(at == c) & (area >= 0)].sum(axis=0)
             return out
 
-        got = summed(table, ["terms", "lengths"], model.centroids.shape, of)
+        got = summed(table, ["terms", "lengths"], model.centroids.shape, of, tasks_of(table))
         model = Model(model.vectors, model.names, model.area, np.where(np.linalg.norm(got, axis=1)[:, None] > 0, unit(got), model.centroids))
     return model
 

@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kervan.functions.storage import cut_lineage, new_path, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests on one machine), an own temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not (named := getattr(shared_dir, "own", None)):
-            named = shared_dir.own = tempfile.mkdtemp(prefix="kervan-")
-    return named.rstrip("/")
+__all__ = ["cut_lineage", "first_of_key", "new_path", "partial_rows", "shared_dir", "tasks_of", "tree_merged", "written"]
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, computed once and kept as files in the shared folder: what follows reads them again, also after an executor is lost."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Like cut_lineage, but as a Parquet table: smaller for wide or binary columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows that are merged at a time on the way to one.
+FAN = 64
 
 
 def first_of_key(df: DataFrame, key: str) -> DataFrame:
@@ -40,6 +22,29 @@ def first_of_key(df: DataFrame, key: str) -> DataFrame:
     return df.dropDuplicates([key])
 
 
-def first_by_order(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+def tasks_of(df: DataFrame) -> int:
+    """Tasks that read a written table or a source."""
+    return max(1, df.rdd.getNumPartitions())
+
+
+def partial_rows(blobs: list[bytes]) -> pa.RecordBatch:
+    """A task's partial result, cut in parts, as rows (part, slot, blob) for tree_merged."""
+    n, slot = len(blobs), TaskContext.get().partitionId()
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([slot] * n, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "slot", "blob"])
+
+
+PARTIAL = "part int, slot bigint, blob binary"
+
+
+def tree_merged(partial: DataFrame, tasks: int, merge: Callable[[list], bytes]) -> dict[int, bytes]:
+    """{part: blob} of the partial rows of so many tasks, merged in rounds of about FAN rows at a time, so that no task gets those of all tasks."""
+
+    def apply(t: pa.Table) -> pa.Table:
+        return pa.table({"part": t.column("part")[:1], "slot": t.column("slot")[:1], "blob": pa.array([merge([x.as_buffer() for x in t.column("blob")])], pa.binary())})
+
+    slots = tasks
+    while True:
+        slots = -(-slots // FAN)
+        partial = partial.withColumn("slot", F.pmod("slot", F.lit(slots))).groupBy("part", "slot").applyInArrow(apply, PARTIAL)
+        if slots == 1:
+            return {r.part: r.blob for r in partial.collect()}  # one row for each part, of fixed size

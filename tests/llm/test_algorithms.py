@@ -292,3 +292,27 @@ def test_each_query_has_its_function():
 
     names = queries.queries()
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 8, 9)} <= set(names) and "p7_packed" in names and set(queries.oracle_sql()) <= set(names)
+
+
+def test_token_counts_are_the_tokenizer_s(monkeypatch):
+    pytest.importorskip("tiktoken")
+    enc = packing.encoding(packing.VOCABULARY)
+    monkeypatch.setattr(packing, "BLANK_RUN", 50)
+    monkeypatch.setattr(packing, "_BLANKS", re.compile(packing._BLANKS.pattern.replace("20000", "50")))
+    r = random.Random(3)
+    for _ in range(500):
+        t = "".join(r.choice(["abc", " " * 60, "\n" * 55, "\t \xa0" * 20, "x. ", "12", "'s", " ", "\n", "dı"]) for _ in range(r.randint(1, 9)))
+        assert packing.n_tokens(enc, t) == len(enc.encode_ordinary(t))
+
+
+def test_tree_merge_in_rounds(spark):
+    from kervan.llm import util
+
+    def one(batches):
+        n = sum(b.num_rows for b in batches)
+        yield util.partial_rows([n.to_bytes(8, "little"), b"\x01"])
+
+    df = spark.range(1000).repartition(200)
+    merge = lambda xs: sum(int.from_bytes(bytes(x), "little") for x in xs).to_bytes(8, "little")
+    got = util.tree_merged(df.mapInArrow(one, util.PARTIAL), 200, merge)
+    assert {p: int.from_bytes(x, "little") for p, x in got.items()} == {0: 1000, 1: 200}

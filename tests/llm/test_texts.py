@@ -181,3 +181,11 @@ def test_long_refusals_and_long_answers():
     answer = "Dava süresi tebliğden itibaren otuz gündür. Süre hak düşürücüdür ve hâkim tarafından kendiliğinden gözetilir. Dilekçe yetkili mahkemeye verilir ve harç aynı gün yatırılır. Ayrıntı hakkında bilgim yok."
     q = "Dava açma süresi ne kadardır?"
     assert A.defect(q, sorry + refer)[0] == "refusal" and A.defect(q, answer + " İtiraz da aynı süreye bağlıdır ve üst mahkeme tarafından incelenir.")[0] != "refusal"
+
+
+def test_a_long_text_is_one_path(monkeypatch):
+    r = random.Random(8)
+    t = "".join(r.choice(["hÃ¼kmÃ¼ ", "sÃ¼re ", "şöyle ", "kararı\xa0", "ÅŸirket ", "iş ", "x" * 40 + " "]) for _ in range(15_000))
+    whole = E.label(t)
+    monkeypatch.setattr(E, "SETTLE", 50)
+    assert E.label(t) == whole and len(t) > 100_000 and E.restored(t, whole) == t.replace("Ã¼", "ü").replace("ÅŸ", "ş")
