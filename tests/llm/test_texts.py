@@ -65,14 +65,32 @@ def plain_kind(text, limit):
     return "none"
 
 
+def table_of(text):
+    codes = S._codes(text)
+    return S.boundary_table(codes, 0, len(codes), True, True)
+
+
+def mixed(r, n, words):
+    return "".join(r.choice(words) for _ in range(n))
+
+
 def test_boundaries_against_brute_force():
     r = random.Random(2)
     for _ in range(300):
-        text = "".join(r.choice(["kelime", "x" * 30, " ", " ", ". ", "\n", "\n\n", "\n \n", "!", "  "]) for _ in range(r.randint(1, 40)))
-        codes = S._codes(text)
-        for size in (1 << 16, 7, 1):
-            runs = S.runs_of(codes, size)
-            assert S.sufficient(runs, S.kinds(runs), len(codes), 40) == plain_kind(text, 40)
+        text = mixed(r, r.randint(1, 40), ["kelime", "x" * 30, " ", " ", ". ", "\n", "\n\n", "\n \n", "!", "  "])
+        assert S.sufficient([table_of(text)], 40) == plain_kind(text, 40)
+
+
+def test_boundaries_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(S, "TASKS", 3)
+    r = random.Random(7)
+    words = ["kelimeğ", "x" * 30, " ", " ", ". ", "\n", "\n\n", "\n \n", "!", "  ", "ş" * 25, " " * 700, "€ "]
+    texts = [mixed(r, r.randint(30, 400), words) for _ in range(40)] + [" " * 3000, "y" * 2500]
+    df = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)] + [("k0", texts[0]), (None, texts[0]), ("n", None)], "key string, text string").repartition(2)
+    want = {f"k{i}": plain_kind(t, 40) for i, t in enumerate(texts) if len(t) > 40}
+    for size in (64, 1000, 1 << 20):
+        rows = S.boundary_kinds(df, "key", "text", 40, size).collect()
+        assert {x.key: x.boundary for x in rows} == want and len(rows) == len(want), size
 
 
 def test_pieces_cover_the_text():
@@ -80,7 +98,6 @@ def test_pieces_cover_the_text():
     for _ in range(200):
         text = "".join(r.choice(["kelime", "x" * 70, " ", " ", ". ", "\n", "\n\n", "a"]) for _ in range(r.randint(1, 120)))
         got = S.pieces(S._codes(text), 60, 12)
-        assert got == S.pieces(S._codes(text), 60, 12, range_chars=5)
         covered = "".join(text[a:b] if i == 0 else text[max(a, got[i - 1][1]) : b] for i, (a, b, _) in enumerate(got))
         assert re.sub(r"\s", "", covered) == re.sub(r"\s", "", text)
         for (a, b, _), (a2, b2, _) in zip(got, got[1:]):
@@ -96,16 +113,29 @@ def test_split_frames(spark):
     assert S.split_texts(df.limit(0), "key", "text").count() == 0
 
 
-def test_split_files(spark, tmp_path):
+def test_split_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "TASKS", 3)
     r = random.Random(4)
-    text = "  " + "".join(r.choice(["kelimeğ", "ş" * 90, " ", " ", ". ", "\n", "\n\n", "€ "]) for _ in range(3000)) + " \n"
-    (tmp_path / "a.txt").write_text(text, encoding="utf-8")
-    (tmp_path / "b.txt").write_text("kısa")
-    (tmp_path / "c.txt").write_text("")
-    got = S.split_files(spark, [str(tmp_path / f"{x}.txt") for x in "abc"], 80, 15, 1).orderBy("path", "piece_no").collect()
-    mine = [(x.start, x.end, x.piece) for x in got if x.path.endswith("a.txt")]
-    assert mine == [(a, b, text[a:b]) for a, b, _ in S.pieces(S._codes(text), 80, 15)]
-    assert [x.piece for x in got if x.path.endswith("b.txt")] == ["kısa"] and not [x for x in got if x.path.endswith("c.txt")]
+    text = "  " + mixed(r, 3000, ["kelimeğ", "ş" * 90, " ", " ", ". ", "\n", "\n\n", "€ "]) + " \n"
+    odd = mixed(r, 400, ["kelime", "z" * 900, " ", " " * 2500, "\n" * 4000, ". "]) + " " * 20_000
+    for name, t in (("a", text), ("b", "kısa"), ("c", ""), ("d", odd)):
+        (tmp_path / f"{name}.txt").write_text(t, encoding="utf-8")
+    for fan in (256, 4):  # with 4, the tables are composed in several rounds
+        monkeypatch.setattr(S.entries_of, "__defaults__", (fan,))
+        got = S.split_files(spark, [str(tmp_path / f"{x}.txt") for x in "abcd"], 80, 15, 1).orderBy("path", "piece_no").collect()
+        for name, t in (("a", text), ("d", odd)):
+            mine = [(x.piece_no, x.start, x.end, x.piece) for x in got if x.path.endswith(f"{name}.txt")]
+            assert mine == [(i, a, b, t[a:b]) for i, (a, b, _) in enumerate(S.pieces(S._codes(t), 80, 15))]
+        assert [x.piece for x in got if x.path.endswith("b.txt")] == ["kısa"] and not [x for x in got if x.path.endswith("c.txt")]
+
+
+def test_texts_are_split_as_files_are(spark, monkeypatch):
+    monkeypatch.setattr(S, "TASKS", 3)
+    r = random.Random(5)
+    texts = {f"k{i}": mixed(r, r.randint(20, 3000), ["kelimeğ", "ş" * 90, " ", " ", ". ", "\n", "\n\n"]) for i in range(12)}
+    df = spark.createDataFrame([*texts.items(), ("k0", texts["k0"])], "key string, text string").repartition(3)
+    got = S.split_texts(df, "key", "text", 80, 15, 1).collect()
+    assert sorted((x.key, x.piece_no, x.start, x.end, x.piece) for x in got) == sorted((k, i, a, b, t[a:b]) for k, t in texts.items() if len(t) > 80 for i, (a, b, _) in enumerate(S.pieces(S._codes(t), 80, 15)))
 
 
 Q = "9627 sayılı Kanun kapsamında kiracının bağışı 138 gün geciktirmesi hâlinde açık rızanın bulut hizmetine etkisi nedir ve ek veri aktarımı sona erer mi?"
