@@ -9,6 +9,7 @@ accents and dots and raised digits stay as they are.
 from __future__ import annotations
 
 import functools
+import unicodedata
 
 import duckdb
 import numpy as np
@@ -32,12 +33,27 @@ LOOKALIKES = {
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     # Armenian
     "ո": "n", "ս": "u", "օ": "o", "հ": "h", "ց": "g", "զ": "q", "յ": "j", "Օ": "O", "Տ": "S", "Ս": "U",
-    # Latin variants, Roman numerals and hyphens
-    "ɑ": "a", "ɡ": "g", "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M",
-    "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m", "‐": "-", "‑": "-",
+    # Latin variants and hyphens
+    "ɑ": "a", "ɡ": "g", "‐": "-", "‑": "-",
 }
-# Letters drawn joined, and what they are drawn for.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+#: Kinds of compatibility forms that look like what they stand for: wide, narrow and styled letters. Raised, circled, squared ones and fractions look different.
+ALIKE = ("<wide>", "<narrow>", "<font>")
+
+
+@functools.cache
+def compatible() -> tuple[dict[str, str], dict[str, str]]:
+    """(one character -> one, one character -> several) of the compatibility forms of Unicode that look like what they stand for:
+    those of the kinds ALIKE, Roman numerals, and Latin letters drawn joined."""
+    one, more = {}, {}
+    for c in range(0x110000):
+        ch = chr(c)
+        kind = unicodedata.decomposition(ch).split(" ")[0]
+        if kind in ALIKE or kind == "<compat>" and (0x2160 <= c < 0x2180 or 0xFB00 <= c < 0xFB07):
+            to = unicodedata.normalize("NFKC", ch)
+            (one if len(to) == 1 else more)[ch] = to
+    return one, more
+
+
 # Ranges of characters without ink, as RE2 writes them.
 INVISIBLE = (
     r"\x{0}-\x{8}\x{E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}"
@@ -54,8 +70,8 @@ def _q(s: str) -> str:
 
 @functools.cache
 def _one_to_one() -> tuple[str, str]:
-    full = [(chr(c), chr(c - 0xFEE0)) for c in range(0xFF01, 0xFF5F)]
-    pairs = [*((b, " ") for b in BLANKS), *((b, "\n") for b in BREAKS), *full, *LOOKALIKES.items()]
+    named = {b: " " for b in BLANKS} | {b: "\n" for b in BREAKS} | LOOKALIKES
+    pairs = [*named.items(), *((a, LOOKALIKES.get(b, b)) for a, b in compatible()[0].items() if a not in named)]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -64,8 +80,8 @@ def sql_form(column: str) -> str:
     a, b = _one_to_one()
     x = f"regexp_replace(replace({column}, chr(13) || chr(10), chr(10)), '[{INVISIBLE}]', '', 'g')"
     x = f"translate(replace({x}, chr(13), chr(10)), {_q(a)}, {_q(b)})"
-    for lig, letters in LIGATURES.items():
-        x = f"replace({x}, {_q(lig)}, {_q(letters)})"
+    for sign, letters in compatible()[1].items():
+        x = f"replace({x}, {_q(sign)}, {_q(letters)})"
     # the letters' own dot hides further ones; what is left may compose with the next mark
     x = f"regexp_replace(regexp_replace(nfc_normalize({x}), 'ı\\x{{307}}+', 'i', 'g'), '([ij])\\x{{307}}+', '\\1', 'g')"
     x = f"nfc_normalize({x})"
@@ -164,20 +180,30 @@ def form_hashes(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
     return src.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{column}`").alias("t")).mapInArrow(apply, HASHED)
 
 
-def lookalike_pairs(hashed: DataFrame) -> DataFrame:
+#: Pairs of one form up to which all are given; a form with more is linked by a star.
+FULL_PAIRS = 65_536
+
+
+def lookalike_pairs(hashed: DataFrame, full_pairs: int = FULL_PAIRS) -> DataFrame:
     """Pairs of records of one table whose texts have one common form but are different strings.
 
     hashed: rows of form_hashes. A form with a single stored string is dropped after a pre-aggregated group-by, so
     copies, however many, cost nothing. Each pair is returned once, smaller key first; a record delivered twice
-    is one record; an empty input gives no rows.
+    is one record; an empty input gives no rows. To look alike is an equivalence, so of a form with more than full_pairs pairs
+    of records each record is paired with the first one of another string only: no record is lost and none pairs with all.
     """
     group = ["src_table", "form_hi", "form_lo"]
-    mixed = hashed.groupBy(*group).agg(F.min("raw_hi").alias("lo"), F.max("raw_hi").alias("hi")).where("lo < hi").select(*group)
-    rows = hashed.join(mixed, group).select(*group, "key", "raw_hi").distinct()
-    a, b = rows.alias("a"), rows.alias("b")
+    mixed = hashed.groupBy(*group).agg(F.min("raw_hi").alias("lo"), F.max("raw_hi").alias("hi"), F.count("*").alias("n")).where("lo < hi").select(*group, "lo", "hi", "n")
+    rows = hashed.join(mixed, group).select(*group, "key", "raw_hi", "lo", "hi", "n").distinct()
+    few = f"n * (n - 1) <= {2 * full_pairs}"
+    a, b = rows.where(few).alias("a"), rows.where(few).alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in group]
-    pairs = a.join(b, [*on, F.col("a.key") < F.col("b.key"), F.col("a.raw_hi") != F.col("b.raw_hi")])
-    return pairs.select("a.src_table", F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
+    pairs = a.join(b, [*on, F.col("a.key") < F.col("b.key"), F.col("a.raw_hi") != F.col("b.raw_hi")]).select("a.src_table", F.col("a.key").alias("x"), F.col("b.key").alias("y"))
+    many = rows.where(f"NOT ({few})")
+    heads = many.groupBy(*group).agg(F.min(F.when(F.col("raw_hi") == F.col("lo"), F.col("key"))).alias("first"), F.min(F.when(F.col("raw_hi") == F.col("hi"), F.col("key"))).alias("second"))
+    star = many.join(heads, group).select("src_table", F.col("key").alias("x"), F.when(F.col("raw_hi") == F.col("lo"), F.col("second")).otherwise(F.col("first")).alias("y"))
+    both = pairs.unionAll(star).where("x <> y")
+    return both.select("src_table", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +213,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(cut_lineage(both))
 
 
+def p1_found_sql() -> str:
+    return f"""
+        WITH t AS (SELECT DISTINCT 'qa_examples' AS src_table, query_id AS key, question AS text FROM qa_examples
+                   UNION ALL SELECT DISTINCT 'corpus_chunks', chunk_id, text FROM corpus_chunks),
+             f AS (SELECT *, {sql_form("text")} AS form FROM t)
+        SELECT DISTINCT a.src_table, a.key AS key_a, b.key AS key_b FROM f a JOIN f b ON a.src_table = b.src_table AND a.form = b.form AND a.key < b.key AND a.text <> b.text"""
+
+
 def p1_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question and passage whose common form differs from what is stored, with both lengths."""
     qa = first_of_key(spark.read.parquet(f"{sf_dir}/qa_examples.parquet").select(F.col("query_id").alias("key"), F.col("question").alias("text")), "key")

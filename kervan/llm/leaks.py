@@ -1,9 +1,12 @@
 """Problem 8: evaluation texts inside corpus documents.
 
-Method: prefix-filtered set join. An item's text is cut into windows of 14 words. Shingles of three words are ordered by
-rarity over all documents, and of each window only its rarest shingle (the prefix that an exact containment
-needs) is looked for in the documents; a hit at a place gives one possible position of the window, which is
-discarded if it does not fit into the document, and is else verified word by word.
+Method: prefix-filtered set join. An item's text is cut into windows of 14 words. Shingles of three words are ordered by rarity over
+all documents, and of each window only its rarest shingle (the prefix that an exact containment needs) is joined with
+the documents' shingles. A hit at a place gives one possible position of the window, which is discarded if it does not fit into the document or
+if the 14 words there, as a hash of 64 bits, are not the window's.
+
+Items are a table like the documents: nothing of theirs goes to the driver or to every task but bitmaps of bounded size, which only spare
+the join what it would drop anyway. The documents are read twice, however many items there are.
 """
 
 from __future__ import annotations
@@ -13,126 +16,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kervan.llm.words import each
+from kervan.llm.common_form import sql_form
+from kervan.llm.overlap import seen, seen_filter
+from kervan.llm.util import cut_lineage, written
+from kervan.llm.words import BASE, each, mix
 
 WINDOW = 14
 SHINGLE = 3
-#: Items looked for in one pass over the documents; more items take further passes. It bounds what every task gets.
-ITEMS_A_PASS = 2_000
-
-
-class Items:
-    """The windows of a bounded set of item texts, by word hashes."""
-
-    def __init__(self, ids: list[str], texts: list[str]):
-        words = [w for _, w in each(pa.array(texts, pa.string()))]
-        self.hash = np.concatenate([w.hash for w in words]) if words else np.zeros(0, dtype=np.uint64)
-        length = np.concatenate([np.diff(w.first) for w in words]) if words else np.zeros(0, dtype=np.int64)
-        begin = np.cumsum(length) - length
-        windows = np.maximum(0, length - WINDOW + 1)
-        self.item = np.repeat(np.arange(len(ids)), windows)
-        self.at = np.repeat(begin, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        self.ids = ids
-        #: hash of the shingle that begins at each word of the items
-        self.shingle = shingles(self.hash)
-        used = np.unique(self.at[:, None] + np.arange(WINDOW - SHINGLE + 1))
-        self.distinct = np.unique(self.shingle[used])
-
-    def choose(self, df: dict[int, int]) -> None:
-        """Takes the rarest shingle of every window; what was never counted is in no document."""
-        count = np.array([df.get(int(h), 0) for h in self.distinct.view(np.int64)], dtype=np.int64)
-        place = self.at[:, None] + np.arange(WINDOW - SHINGLE + 1)
-        rarity = count[np.searchsorted(self.distinct, self.shingle[place])]
-        best = rarity.argmin(axis=1)
-        rows = np.flatnonzero(rarity[np.arange(len(best)), best] > 0)
-        key = self.shingle[place[rows, best[rows]]]
-        order = np.argsort(key, kind="stable")
-        self.key, self.window, self.shift = key[order], rows[order], best[rows][order]
-
-
-def shingles(h: np.ndarray) -> np.ndarray:
-    """Hash of the SHINGLE words from each word on; the last ones wrap round, callers keep them out."""
-    from kervan.llm.words import BASE, mix
-
-    out = np.zeros(len(h), dtype=np.uint64)
-    for i in range(SHINGLE):
-        out = mix(out * BASE + np.roll(h, -i))
+SHIFTS = WINDOW - SHINGLE + 1
+#: log2 of the places of a bitmap: some for each entry, within these bounds (8 KB to 16 MB).
+LEAST_BITS, MOST_BITS, PLACES = 16, 27, 32
+#: Keys up to this many are sent to every task, some 24 bytes each; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
+
+
+def run_hash(h: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each start on."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    for i in range(n):
+        out = mix(out * BASE + h[start + i])
     return out
 
 
-def _pass(docs: DataFrame, items: Items) -> DataFrame:
-    def count(batches):
-        total = np.zeros(len(items.distinct), dtype=np.int64)
-        for b in batches:
-            for _, w in each(b.column("text")):
-                doc, _, h = w.sequences(SHINGLE)
-                at = np.minimum(np.searchsorted(items.distinct, h), len(items.distinct) - 1)
-                hit = items.distinct[at] == h
-                pair = np.unique(doc[hit] * len(items.distinct) + at[hit])
-                total += np.bincount(pair % len(items.distinct), minlength=len(total))
-        on = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(items.distinct[on].view(np.int64)), pa.array(total[on])], names=["h", "n"])
-
-    df = docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    items.choose({r.h: r.n for r in df.collect()})  # at most the shingles of ITEMS_A_PASS items
+def bitmap(ids: DataFrame, n: int) -> np.ndarray:
+    return seen_filter(ids, min(MOST_BITS, max(LEAST_BITS, (PLACES * max(1, n)).bit_length())))
 
-    def find(batches):
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(query_id, w, s, h) of rows (query_id, text): hash w of each window of WINDOW words, and hash h of its shingle at place s."""
+
+    def apply(batches):
         for b in batches:
-            ids = b.column("doc_id")
-            for lo, w in each(b.column("text")):
-                doc, at, h = w.sequences(SHINGLE)
-                if not len(h) or not len(items.key):
+            ids = b.column("query_id")
+            for lo, x in each(b.column("text")):
+                doc, at, w = x.sequences(WINDOW)
+                if not len(at):
                     continue
-                left, right = np.searchsorted(items.key, h), np.searchsorted(items.key, h, side="right")
-                n = right - left
-                hit = np.repeat(np.arange(len(h)), n)
-                which = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start, d, win = at[hit] - items.shift[which], doc[hit], items.window[which]
-                ok = (start >= w.first[d]) & (start + WINDOW <= w.first[d + 1])
-                start, d, win = start[ok], d[ok], win[ok]
-                for i in range(WINDOW):
-                    if not len(start):
-                        break
-                    ok = w.hash[start + i] == items.hash[items.at[win] + i]
-                    start, d, win = start[ok], d[ok], win[ok]
-                pair = np.unique(d * len(items.ids) + items.item[win])
-                if len(pair):
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + pair // len(items.ids))), pa.array([items.ids[i] for i in pair % len(items.ids)], pa.string())], names=["doc_id", "query_id"])
+                at, s = np.repeat(at, SHIFTS), np.tile(np.arange(SHIFTS), len(at))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(lo + np.repeat(doc, SHIFTS))), pa.array(np.repeat(w, SHIFTS).view(np.int64)), pa.array(s.astype(np.int32)), pa.array(run_hash(x.hash, at + s, SHINGLE).view(np.int64))],
+                    names=["query_id", "w", "s", "h"],
+                )
+
+    held = items.where("query_id IS NOT NULL AND text IS NOT NULL").select(F.col("query_id").cast("string").alias("query_id"), "text").distinct()
+    return held.mapInArrow(apply, "query_id string, w bigint, s int, h bigint")
 
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {key}, query_id string").distinct()
+
+def shingle_counts(docs: DataFrame, on: np.ndarray) -> DataFrame:
+    """(h, n): in how many documents each shingle stands that the bitmap does not rule out; a task adds up a batch's."""
+
+    def apply(batches):
+        for b in batches:
+            for _, x in each(b.column("text")):
+                doc, _, h = x.sequences(SHINGLE)
+                ok = seen(on, h)
+                order = np.lexsort((doc[ok], h[ok]))
+                doc, h = doc[ok][order], h[ok][order]
+                once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
+                values, n = np.unique(h[once], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    return docs.select("text").mapInArrow(apply, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, query_id) of documents (doc_id, text) in which WINDOW consecutive words of an item's text stand consecutively.
 
     items: rows (query_id, text), any number for an item. Null texts and texts of fewer words never occur; repeated
-    rows count once; no documents or no items give no rows. Items beyond ITEMS_A_PASS are taken in further passes.
+    rows count once; no documents or no items give no rows.
     """
-    docs = docs.where("text IS NOT NULL")
-    held = items.where("query_id IS NOT NULL AND text IS NOT NULL").select(F.col("query_id").cast("string").alias("query_id"), "text").distinct()
-    parts, block = [], []
-    # held item texts stay on the driver only block by block
-    for r in held.toLocalIterator():
-        block.append((r.query_id, r.text))
-        if len(block) == ITEMS_A_PASS:
-            parts.append(block)
-            block = []
-    if block or not parts:
-        parts.append(block)
-    found = None
-    for block in parts:
-        it = Items([i for i, _ in block], [t for _, t in block])
-        got = _pass(docs, it) if len(it.item) else docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, query_id string")
-        found = got if found is None else found.unionAll(got)
-    return found.distinct() if len(parts) > 1 else found
+    docs = docs.where("text IS NOT NULL").select("doc_id", "text")
+    windows = written(item_windows(items), "windows")
+    places = windows.count()
+    parts = windows.select("w", "s", "h").distinct()
+    counts = shingle_counts(docs, bitmap(windows.select("h"), places))
+    rarest = parts.join(counts, "h", "left").groupBy("w").agg(F.min_by(F.struct("h", "s", F.coalesce("n", F.lit(0)).alias("n")), F.struct(F.coalesce("n", F.lit(0)), "s")).alias("k"))
+    keys = cut_lineage(rarest.where("k.n > 0").select("w", "k.h", "k.s"))  # a window with a shingle that no document has is in none
+    n_keys = keys.count()
+    on_h, on_w = bitmap(keys.select("h"), n_keys), bitmap(keys.select("w"), n_keys)
 
+    def find(batches):
+        for b in batches:
+            ids = b.column("doc_id")
+            for lo, x in each(b.column("text")):
+                doc, at, h = x.sequences(SHINGLE)
+                ok = seen(on_h, h)
+                doc, at, h = (np.repeat(v[ok], SHIFTS) for v in (doc, at, h))
+                s = np.tile(np.arange(SHIFTS), int(ok.sum()))
+                start = at - s
+                fits = (start >= x.first[doc]) & (start + WINDOW <= x.first[doc + 1])
+                doc, s, h, start = doc[fits], s[fits], h[fits], start[fits]
+                w = run_hash(x.hash, start, WINDOW)
+                ok = seen(on_w, w)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + doc[ok])), pa.array(w[ok].view(np.int64)), pa.array(s[ok].astype(np.int32)), pa.array(h[ok].view(np.int64))], names=["doc_id", "w", "s", "h"])
 
-def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    key = docs.schema["doc_id"].dataType.simpleString()
+    hits = docs.mapInArrow(find, f"doc_id {key}, w bigint, s int, h bigint")
+    small = places <= BROADCAST_KEYS
+    hits = hits.join(F.broadcast(keys) if small else keys, ["h", "s", "w"], "left_semi").select("doc_id", "w").distinct()
+    owners = windows.where("s = 0").select("w", "query_id").distinct()
+    return hits.join(F.broadcast(owners) if small else owners, "w").select("doc_id", "query_id").distinct()
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spark.read.parquet(f"{sf_dir}/rag_eval.parquet")
-    items = ev.select("query_id", F.explode(F.array("query", "gold_answer_extract")).alias("text"))
-    return leaked_items(docs, items)
+    return ev.select("query_id", F.explode(F.array("query", "gold_answer_extract")).alias("text"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), _items(spark, sf_dir))
+
+
+def p8_found_sql() -> str:
+    words = lambda c: f"regexp_extract_all(lower(translate({sql_form(c)}, 'İI', 'iı')), '[\\p{{L}}\\p{{N}}]+')"
+    runs = lambda key, table: f"""(SELECT DISTINCT {key}, g FROM (
+            SELECT {key}, string_agg(word, ' ') OVER x AS g, count(*) OVER x AS n FROM (SELECT {key}, no, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM {table})
+            WINDOW x AS (PARTITION BY {key}, no ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)) WHERE n = {WINDOW})"""
+    return f"""
+        WITH i AS (SELECT query_id, row_number() OVER () AS no, {words("text")} AS w FROM (SELECT query_id, query AS text FROM rag_eval UNION SELECT query_id, gold_answer_extract FROM rag_eval) WHERE text IS NOT NULL),
+             d AS (SELECT doc_id, row_number() OVER () AS no, {words("text")} AS w FROM documents WHERE text IS NOT NULL)
+        SELECT DISTINCT doc_id, query_id FROM {runs("doc_id", "d")} JOIN {runs("query_id", "i")} USING (g)"""
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,3 +143,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = p8_found(spark, sf_dir).join(docs.select("doc_id", "source"), "doc_id")
     return found.groupBy("source").agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("query_id").alias("n_items"))
+
+
+def p8_report_sql() -> str:
+    return f"SELECT source, count(DISTINCT doc_id) AS n_docs, count(DISTINCT query_id) AS n_items FROM ({p8_found_sql()}) JOIN documents USING (doc_id) GROUP BY source"

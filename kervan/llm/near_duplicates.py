@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kervan.llm.common_form import sql_form
 from kervan.llm.overlap import similar
 from kervan.llm.util import cut_lineage
 
@@ -36,12 +37,26 @@ def key_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return inner.unionAll(star).unionAll(across).where("x <> y").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
+def sets_sql(column: str, k: int) -> str:
+    """The different sequences of k words of a text, as a DuckDB list."""
+    words = f"regexp_extract_all(lower(translate({sql_form(column)}, 'İI', 'iı')), '[\\p{{L}}\\p{{N}}]+')"
+    return f"(SELECT CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) ELSE [] END FROM (SELECT {words} AS w))"
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cc = spark.read.parquet(f"{sf_dir}/corpus_chunks.parquet")
     members, links = near_duplicates(cc, "chunk_id", "text", k=3, t=0.6)
     return key_pairs(members, links).select(F.col("key_a").alias("chunk_a"), F.col("key_b").alias("chunk_b"))
 
 
+def p3_found_sql() -> str:
+    return f"""
+        WITH t AS (SELECT chunk_id, {sets_sql("text", 3)} AS g FROM (SELECT DISTINCT chunk_id, text FROM corpus_chunks WHERE text IS NOT NULL)),
+             s AS (SELECT chunk_id, len(g) AS n, unnest(g) AS g FROM t),
+             p AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS hits, any_value(a.n + b.n) AS n FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL)
+        SELECT chunk_a, chunk_b FROM p WHERE hits >= 0.6 * (n - hits)"""
+
+
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each passage with its class at five words and 0.8, the number of copies and of other classes it is linked to."""
     cc = spark.read.parquet(f"{sf_dir}/corpus_chunks.parquet")

@@ -224,7 +224,7 @@ def prefixes(toks: np.ndarray, n: np.ndarray, ranks: np.ndarray, t: float) -> tu
 
 
 def matrix_blobs(sets: DataFrame, ranks: np.ndarray, t: float, buckets: int) -> DataFrame:
-    """(bucket, blob): the token-group matrix, cut by token; bucket -1 has pairs within groups."""
+    """(bucket, blob): the token-group matrix, cut by token; buckets under 0 have pairs within groups. A batch only looks at buckets it has tokens of."""
 
     def apply(batches):
         seen: set[tuple[int, int]] = set()
@@ -258,13 +258,13 @@ def matrix_blobs(sets: DataFrame, ranks: np.ndarray, t: float, buckets: int) ->
             m = Matrix((once >> np.uint64(8)) & np.uint64(0xFFFFFFFF), (once >> np.uint64(40)).astype(np.int64), count, side[order][at], cls[order], n[order], bits[order], (once & np.uint64(255)).astype(np.uint8))
             bucket = (m.token % np.uint64(buckets)).astype(np.int64)
             o = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[o], np.arange(buckets + 1))
-            rows = [(k, m.take(o[cuts[k] : cuts[k + 1]]).to_bytes()) for k in range(buckets) if cuts[k] < cuts[k + 1]]
+            present, begin = np.unique(bucket[o], return_index=True)
+            rows = [(int(k), m.take(own).to_bytes()) for k, own in zip(present, np.split(o, begin[1:]))]
             if many := np.flatnonzero(count > 1).tolist():  # members of one group are candidates of each other
                 inner = [np.stack(np.triu_indices(count[q], 1)) + at[q] for q in many]
                 x, y = np.concatenate(inner, axis=1)
                 if len(pairs := members_alike(m.cls, m.n, m.bits, x, y, t)):
-                    rows.append((-1, pairs.astype("<i8").tobytes()))
+                    rows.append((-1 - int(pairs[0, 0]) % buckets, pairs.astype("<i8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
 
     return sets.where("toks IS NOT NULL").select("cls", "side", "toks", "bits").mapInArrow(apply, "bucket int, blob binary")
@@ -334,8 +334,7 @@ def candidates(blobs: DataFrame, t: float, two_sided: bool) -> DataFrame:
 
     if two_sided:
         blobs = blobs.where("bucket >= 0")  # a group is of one side
-    salted = blobs.withColumn("salt", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("blob"), F.lit(64))).otherwise(0))
-    joined = cut_lineage(salted.groupBy("bucket", "salt").applyInArrow(join, kinds))
+    joined = cut_lineage(blobs.groupBy("bucket").applyInArrow(join, kinds))
     hot = joined.where("kind = 1").select("x", "y").repartition(F.xxhash64("x", "y")).mapInArrow(join_blocks, _P)
     return joined.where("kind = 0").select("a", "b").unionAll(hot).distinct()
 

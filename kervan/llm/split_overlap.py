@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kervan.llm.near_duplicates import sets_sql
 from kervan.llm.overlap import similar
 from kervan.llm.util import cut_lineage
 
@@ -64,6 +65,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("eval_id", "train_id").alias("query_a"), F.greatest("eval_id", "train_id").alias("query_b")).distinct()
 
 
+def p5_found_sql() -> str:
+    return f"""
+        WITH q AS (SELECT DISTINCT query_id, lower(trim(split, chr(9) || chr(10) || chr(13) || ' ' || chr(160))) AS split, question, context FROM qa_examples),
+             f AS (SELECT query_id, split, 1 AS field, {sets_sql("question", 3)} AS g FROM q WHERE question IS NOT NULL UNION ALL SELECT query_id, split, 2, {sets_sql("context", 3)} FROM q WHERE context IS NOT NULL),
+             s AS (SELECT query_id, split, field, len(g) AS n, unnest(g) AS g FROM f),
+             e AS (SELECT * FROM s WHERE split IN ('kaggle', 'test')), t AS (SELECT * FROM s WHERE split = 'train'),
+             p AS (SELECT e.query_id AS a, t.query_id AS b, field, count(*) AS hits, any_value(e.n + t.n) AS n FROM e JOIN t USING (field, g) GROUP BY ALL)
+        SELECT DISTINCT least(a, b) AS query_a, greatest(a, b) AS query_b FROM p WHERE hits >= 0.5 * (n - hits) AND a <> b"""
+
+
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By split and source of the evaluation record, at five words and 0.8: overlapping records, pairs, and how many are exact."""
     qa = spark.read.parquet(f"{sf_dir}/qa_examples.parquet")

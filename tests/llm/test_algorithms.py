@@ -256,7 +256,9 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     want = {(d, q) for d, t in docs for q, x in items if q and grams(t) & grams(x)}
     dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "query_id string, text string")
     assert {(x.doc_id, x.query_id) for x in leaks.leaked_items(dd, ii).collect()} == want and len(want) > 10
-    monkeypatch.setattr(leaks, "ITEMS_A_PASS", 6)
+    monkeypatch.setattr(leaks, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(leaks, "MOST_BITS", 16)
+    monkeypatch.setattr(leaks, "PLACES", 1)
     assert {(x.doc_id, x.query_id) for x in leaks.leaked_items(dd, ii).collect()} == want
     assert leaks.leaked_items(dd.limit(0), ii).count() == 0 and leaks.leaked_items(dd, ii.limit(0)).count() == 0
 

@@ -20,7 +20,7 @@ def form(s):
     "seen, want",
     [
         ("ｍａｄｄｅ　１２", "madde 12"), ("s" + "̧" + "üre", "şüre"), ("ka­r​ar﻿", "karar"), ("a b c", "a b c"), ("kаrаr", "karar"), ("i̇s", "is"), ("İ", "İ"),
-        ("menﬁ", "menfi"), ("e‑posta", "e-posta"), ("g‌̆", "ğ"), ("ｓ̧", "ş"), ("a\r\nb\rc", "a\nb\nc"), (None, None), ("", ""), ("düz metin", "düz metin"),
+        ("menﬁ", "menfi"), ("e‑posta", "e-posta"), ("g‌̆", "ğ"), ("ｓ̧", "ş"), ("Ⅻ. 𝐀𝑏 ｶﾞ", "XII. Ab ガ"), ("a\r\nb\rc", "a\nb\nc"), (None, None), ("", ""), ("düz metin", "düz metin"),
     ],
 )
 def test_common_form(seen, want):
@@ -28,7 +28,7 @@ def test_common_form(seen, want):
 
 
 def test_different_looks_stay_different():
-    for a, b in (("120 m²", "120 m2"), ("Işık", "ışık"), ("kırk", "kirk"), ("kâr", "kar"), ("MADDE", "madde"), ("–", "-"), ("“a”", '"a"'), ("a\nb", "a b"), ("é", "e")):
+    for a, b in (("120 m²", "120 m2"), ("Işık", "ışık"), ("kırk", "kirk"), ("kâr", "kar"), ("MADDE", "madde"), ("–", "-"), ("“a”", '"a"'), ("a\nb", "a b"), ("é", "e"), ("①", "1"), ("½", "1/2")):
         assert form(a) != form(b)
 
 
@@ -55,6 +55,11 @@ def test_lookalike_pairs(spark):
     h = C.form_hashes(spark.createDataFrame(rows, "key string, t string"), "key", "t", "tbl")
     assert {(r.key_a, r.key_b) for r in C.lookalike_pairs(h).collect()} == {("k1", "k2"), ("k1", "k3")}
     assert C.lookalike_pairs(h.limit(0)).count() == 0
+    assert {(r.key_a, r.key_b) for r in C.lookalike_pairs(h, 1).collect()} == {("k1", "k2"), ("k1", "k3")}
+    hot = C.form_hashes(spark.createDataFrame([(f"k{i:03d}", "karar" + "\u200b" * (i % 3)) for i in range(300)], "key string, t string"), "key", "t", "tbl")
+    star = C.lookalike_pairs(hot, 1000).collect()
+    assert len(star) <= 300 and {k for r in star for k in (r.key_a, r.key_b)} == {f"k{i:03d}" for i in range(300)}
+    assert C.lookalike_pairs(hot).count() == 3 * 100 * 100
 
 
 def plain_kind(text, limit):
