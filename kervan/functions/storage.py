@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of fewer bytes for each core is spread over all cores before expensive work on its rows.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, in as many tasks as there are cores if its estimated size is small; larger tables keep the tasks of their scan and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
+def numbered(df: DataFrame, order: str, name: str = "i") -> DataFrame:
+    """df with the number of each row in an order, from 0: rows are sorted by ranges in many tasks, and a task's numbers begin after
+    the rows of those before it. On the driver is one count for each task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(cores, min(10_000, size >> 26))
+    rows = cut_lineage(df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)  # the number of the task, as monotonically_increasing_id is made
+    counts = {r.p: r.n for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    offsets, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        offsets.append(total)
+        total += counts.get(p, 0)
+    offset = F.element_at(F.lit(offsets).cast("array<bigint>"), part.cast("int") + 1) if offsets else F.lit(0)
+    return rows.withColumn(name, offset + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
+
+
 class Files:
     """Files by their Hadoop paths (local, hdfs, object stores), seen from the driver; for small files and for questions about paths."""
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,7 +30,7 @@ def nfc(c) -> Column:
 
 def turkish_lower(c) -> Column:
     """Lower case the Turkish way (I with ı, İ with i), composed."""
-    return nfc(F.lower(F.translate(_c(c), "İI", "iı")))
+    return nfc(F.lower(F.replace(F.replace(_c(c), F.lit("İ"), F.lit("i")), F.lit("I"), F.lit("ı"))))
 
 
 def split_words(c) -> Column:
@@ -40,6 +44,38 @@ def index_tokens(c, stopwords: tuple[str, ...] = (), min_length: int = 2) -> Col
     return F.filter(words, lambda x: ~x.isin(*stopwords)) if stopwords else words
 
 
+class Tokenizer:
+    """index_tokens for whole batches in Python, with a stemmer of words (a function str -> str), if given. Where tokens are counted row by row this
+    is faster than an expression that hands them over as arrays."""
+
+    def __init__(self, stopwords: tuple[str, ...] = (), min_length: int = 2, stem: Callable[[str], str] | None = None):
+        self.stopwords, self.stem = frozenset(stopwords), functools.lru_cache(maxsize=200_000)(stem) if stem else None
+        self.pattern = re.compile(rf"\w{{{min_length},}}")
+
+    def __reduce__(self):
+        return _tokenizer, (tuple(self.stopwords), self.pattern.pattern, self.stem.__wrapped__ if self.stem else None)
+
+    def __call__(self, text: str | None) -> list[str]:
+        low = (text or "").replace("İ", "i").replace("I", "ı").lower()
+        if not low.isascii() and not unicodedata.is_normalized("NFC", low):
+            low = unicodedata.normalize("NFC", low)
+        words = self.pattern.findall(low)
+        if self.stopwords:
+            words = [w for w in words if w not in self.stopwords]
+        return [self.stem(w) for w in words] if self.stem else words
+
+
+def _tokenizer(stopwords, pattern, stem):
+    t = Tokenizer(stopwords, 2, stem)
+    t.pattern = re.compile(pattern)
+    return t
+
+
+def first_letters(word: str, n: int = 5) -> str:
+    """A stemmer that keeps the first letters of a word."""
+    return word[:n]
+
+
 def qa_tokens(c) -> Column:
     """Tokens for answer metrics: folded, cut at white space, punctuation kept."""
     return split_words(turkish_lower(c))
@@ -75,19 +111,26 @@ def multiset_overlap(a, b) -> Column:
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
 
 
-def lcs_length(a, b) -> Column:
-    """Length of the longest common subsequence: one row of the table at a time, as nested folds.
+def lcs_of(a, b) -> int:
+    """Length of the longest common subsequence of two sequences, a row of the table at a time as the bits of one number."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = open_ = (1 << len(a)) - 1
+    for x in b:
+        hit = open_ & places.get(x, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    return len(a) - open_.bit_count()
 
-    The row is an array of size(b) + 1; fold over a builds the next row by a fold over b.
-    """
-    a, b = _c(a), _c(b)
-    start = F.array_repeat(F.lit(0), F.size(b) + 1)
 
-    def row(prev: Column, x: Column) -> Column:
-        step = lambda acc, i: F.concat(acc, F.array(F.when(F.element_at(b, i) == x, F.element_at(prev, i) + 1).otherwise(F.greatest(F.element_at(acc, -1), F.element_at(prev, i + 1)))))
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), step)
+def lcs_length(a, b) -> Column:
+    """Length of the longest common subsequence of two arrays."""
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, start, row), -1))
+    @F.pandas_udf("int")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([lcs_of(p, q) for p, q in zip(x, y)], dtype="int32")
+
+    return run(_c(a), _c(b))
 
 
 def jaccard(a, b) -> Column:
@@ -125,7 +168,11 @@ def percent(x) -> Column:
     return F.when(_c(x).isNull(), "N/A").otherwise(F.format_string("%.2f%%", F.bround(_c(x) * 100, 2)))
 
 
-def truncate_answer(c, markers: tuple[str, ...] = ("Soru:", "Bağlam:", "Question:", "\nQ:"), least: int = 10) -> Column:
+# What an answer that goes on talking begins its next turn with.
+MARKERS = ("Soru:", "Bağlam:", "Question:", "\nQ:")
+
+
+def truncate_answer(c, markers: tuple[str, ...] = MARKERS, least: int = 10) -> Column:
     """The answer up to the earliest marker; only a marker's first occurrence counts, and only from place `least` on."""
     c = _c(c)
     at = [F.when((p := F.locate(m, c)) > least, p) for m in markers]
@@ -134,11 +181,19 @@ def truncate_answer(c, markers: tuple[str, ...] = ("Soru:", "Bağlam:", "Questio
 
 
 def judge_score(c) -> Column:
-    """A judge's reply as a number in [0, 1]: the whole reply, n/10, n/5, a decimal, a lone 0 or 1, else one half."""
+    """A judge's reply as a number in [0, 1]; one half where it has none.
+
+    A reply that is nothing but a number from 0 to 1 counts first, then numbers out of 10, out of 5, decimals of 0 or 1, and a lone 0 or 1;
+    of one kind the first in the text.
+    """
     c = F.trim(_c(c))
-    number = lambda pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")).cast("double")
-    found = F.coalesce(
-        number(r"^([01](?:\.\d+)?)$"), number(r"(\d+(?:\.\d+)?)\s*/\s*10(?!\d)") / 10, number(r"(\d+(?:\.\d+)?)\s*/\s*5(?!\d)") / 5,
-        number(r"(?<![\d.])([01]\.\d+)(?!\s*/)"), number(r"(?<![\d.])([01])(?![\d.]*\d|\s*/)"), F.lit(0.5),
-    )
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), found))
+    found = F.regexp_extract_all(c, F.lit(r"\d+(?:\.\d+)?(?:\s*/\s*\d+)?"), F.lit(0))
+
+    def read(x: Column, place: Column) -> Column:
+        value, base = F.regexp_extract(x, r"^[\d.]+", 0), F.regexp_extract(x, r"/\s*(\d+)$", 1)
+        kind = F.when((base == "") & (x == c) & x.rlike(r"^[01]"), 0).when(base == "10", 1).when(base == "5", 2).when((base == "") & x.rlike(r"^[01]\."), 3).when((base == "") & x.rlike(r"^[01]$"), 4)
+        out_of = F.when(base.isin("10", "5"), base.cast("double")).otherwise(1.0)
+        return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), place.alias("place"), (value.try_cast("double") / out_of).alias("value")))
+
+    best = F.array_min(F.filter(F.transform(found, read), lambda x: x.isNotNull()))
+    return F.least(F.lit(1.0), F.coalesce(best["value"], F.lit(0.5)))

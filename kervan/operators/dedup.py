@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kervan.functions.text import merge_key
@@ -17,9 +17,15 @@ def first_rows(df: DataFrame, keys: list[str | Column], *order) -> DataFrame:
     return packed.groupBy(*cols).agg(F.min_by("r", "o").alias("r")).select("r.*")
 
 
+def first_of_few(df: DataFrame, key: str, *order) -> DataFrame:
+    """first_rows for a table in which few keys repeat: only keys are shuffled to find those, and only their rows to choose among them."""
+    again = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    return df.join(again, key, "left_anti").unionByName(first_rows(df.join(again, key, "left_semi"), [key], *order))
+
+
 def chunk_table(raw: DataFrame) -> DataFrame:
     """Chunks once each: of rows with one chunk_id the first by ord; null text counts as empty."""
-    return first_rows(raw, ["chunk_id"], F.col("ord")).withColumn("text", F.coalesce("text", F.lit("")))
+    return first_of_few(raw.where("chunk_id IS NOT NULL"), "chunk_id", F.col("ord")).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def text_dedup(chunks: DataFrame) -> DataFrame:
@@ -45,7 +51,3 @@ def merge_rows(first: DataFrame, more: DataFrame, key: str, order: str) -> DataF
 def unseen(new: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows that a run that was broken off has still to do."""
     return new.join(done.select(key), key, "left_anti")
-
-
-def last_window(df: DataFrame, by: str, order: str) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order))))

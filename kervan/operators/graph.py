@@ -13,8 +13,12 @@ OTHER_DECAY = 0.7
 BUDGET = 3
 #: Places after a law's name within which the number of its article is looked for.
 REACH = 200
-_LAW = re.compile(r"(\d{3,5})\s+say[ıi]l[ıi]\s+((?:[^\W\d_]+\s+){1,6}?Kanunu)", re.I)
-_ARTICLE = re.compile(r"(?:\bMadde|\bm\.)\s*(\d+)|(\d+)\s*(?:inci|ıncı|üncü|uncu|nci|ncı|ncü|ncu)\s+madde", re.I)
+# How a law is named with its number, an article is named after it, and an article of the same law.
+_LAW = re.compile(r"(\d{2,5})\s*sayılı\s+([A-Za-zÇĞİÖŞÜçğıöşü .'’\-]+?)\s+(?:Kanunu?|Yasası?)\b")
+_OF_LAW = re.compile(r"(?:Madde|m\.)\s*(\d{1,4})|(\d{1,4})\s*\.?\s*(?:inci|ıncı|nci|ncı|üncü|uncu)?\s*\.?\s*madde", re.I)
+_OWN = re.compile(r"(?:^|[\s(,;.])(?:Madde|MADDE|m\.)\s*(\d{1,4})(?:/\d+[a-zçğıöşü]?)?", re.M)
+#: Laws that a name is looked for in at most; they are reference data and go to every task.
+LAWS = 100_000
 
 
 def article_of(chunk_id: Column, source: Column, doc_id: Column) -> tuple[Column, Column]:
@@ -43,44 +47,70 @@ def adjacency(nodes: DataFrame) -> DataFrame:
     return both_ways(near.unionAll(inside)).distinct()
 
 
+def references_of(text: str) -> list[tuple[str, int | None, str | None, int]]:
+    """(kind, law number, law name, article) of a text, each once: articles named soon after another law (cross), and all others (intra)."""
+    found, taken = [], []
+    for law in _LAW.finditer(text):
+        if article := _OF_LAW.search(text[law.end() : law.end() + REACH]):
+            found.append(("cross", int(law[1]), law[2], int(article[1] or article[2])))
+            taken.append((law.end() + article.start(), law.end() + article.end()))
+    for article in _OWN.finditer(text):
+        if all(article.end() <= a or b <= article.start() for a, b in taken):
+            found.append(("intra", None, None, int(article[1])))
+    return list(dict.fromkeys(found))
+
+
 def references(texts: DataFrame) -> DataFrame:
     """(id, kind, law_no, law_name, article) of rows (id, text): articles of other laws (cross) and of the same (intra)."""
 
-    def find(t: str):
-        spans, out = [], []
-        for m in _LAW.finditer(t):
-            a = _ARTICLE.search(t, m.end(), min(len(t), m.end() + REACH))
-            if a:
-                out.append(("cross", int(m[1]), m[2].strip(), int(a[1] or a[2])))
-                spans.append((m.start(), a.end()))
-        for a in _ARTICLE.finditer(t):
-            if not any(x < a.end() and a.start() < y for x, y in spans):
-                out.append(("intra", None, None, int(a[1] or a[2])))
-        return list(dict.fromkeys(out))
-
     def apply(batches):
         for b in batches:
-            rows = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in find(t)]
+            rows = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in references_of(t)]
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()))], names=["id", "kind", "law_no", "law_name", "article"])
 
     return texts.where("text IS NOT NULL").select(F.col("id").cast("string"), "text").mapInArrow(apply, "id string, kind string, law_no int, law_name string, article int")
 
 
+def law_sources(named: DataFrame, laws: DataFrame) -> DataFrame:
+    """named (law_no, law_name) with the source of each law, or null: by number, else by the whole name, else by the first source (in plain order)
+    that holds the name or is held by it. laws: (law_no, source), LAWS rows at most; more are an error."""
+    known = laws.where("source IS NOT NULL").select("law_no", "source", F.lower("source").alias("low")).distinct()
+    if known.limit(LAWS + 1).count() > LAWS:
+        raise ValueError(f"more than {LAWS} laws")
+    by_no = known.where("law_no IS NOT NULL").groupBy("law_no").agg(F.min("source").alias("by_no"))
+    by_name = known.groupBy("low").agg(F.min("source").alias("by_name"))
+    every = known.agg(F.array_sort(F.collect_set(F.struct("source", "low"))).alias("every"))  # one row
+    low = F.trim(F.lower("law_name"))
+    each = named.select("law_no", "law_name").distinct().withColumn("low", low).join(F.broadcast(by_no), "law_no", "left")
+    each = each.join(F.broadcast(by_name.withColumnRenamed("low", "full")), F.concat("low", F.lit(" kanunu")) == F.col("full"), "left").withColumnRenamed("by_name", "by_full").drop("full")
+    each = each.join(F.broadcast(by_name), "low", "left").crossJoin(F.broadcast(every))
+    part = F.try_element_at(F.filter("every", lambda x: F.contains(x["low"], F.col("low")) | F.contains(F.col("low"), x["low"])), F.lit(1))["source"]
+    return each.select("law_no", "law_name", F.coalesce("by_no", "by_full", "by_name", part).alias("law_source"))
+
+
 def reference_edges(refs: DataFrame, nodes: DataFrame, laws: DataFrame) -> DataFrame:
-    """Edges of references: intra within a source, cross to the source of the law; laws (law_no, law_name, source)."""
-    at = nodes.select(F.col("id").alias("dst"), "source", "article")
+    """Edges of references: intra within a source, cross to the source of the law; laws (law_no, source)."""
+    at = nodes.select(F.col("id").alias("dst"), "source", "article").where("article IS NOT NULL")
     own = refs.join(nodes.select("id", "source"), "id")
     intra = own.where("kind = 'intra'").join(at, ["source", "article"]).where("id <> dst")
-    by_no = laws.where("law_no IS NOT NULL").groupBy("law_no").agg(F.min("source").alias("by_no"))
-    by_name = laws.groupBy(F.col("law_name")).agg(F.min("source").alias("by_name"))
-    to = own.where("kind = 'cross'").withColumnRenamed("source", "own_source").join(F.broadcast(by_no), "law_no", "left").join(F.broadcast(by_name), "law_name", "left")  # law tables are reference data of fixed size
-    to = to.withColumn("source", F.coalesce("by_no", "by_name")).where("source IS NOT NULL AND source <> own_source")
+    to = own.where("kind = 'cross'").withColumnRenamed("source", "own_source")
+    to = to.join(law_sources(to, laws), ["law_no", "law_name"]).where("law_source IS NOT NULL AND law_source <> own_source").withColumnRenamed("law_source", "source")
     cross = to.join(at, ["source", "article"])
     cols = [F.col("id").alias("src"), "dst", "kind"]
     return intra.select(*cols).unionAll(cross.select(*cols)).distinct()
 
 
+def build_graph(chunks: DataFrame, laws: DataFrame) -> DataFrame:
+    """All edges (src, dst, kind) of chunks (id, source, doc_id, text, ord): neighbours, articles of the same and of other laws.
+
+    An article's number is read from the id, or from a column `article` where there is one.
+    """
+    article, part = article_of(F.col("id"), F.col("source"), F.col("doc_id"))
+    nodes = chunks.withColumn("part", part).withColumn("article", F.coalesce(article, "article") if "article" in chunks.columns else article)
+    return adjacency(nodes).unionByName(reference_edges(references(chunks.select("id", "text")), nodes, laws)).distinct()
+
+
 def expand(ranked: DataFrame, edges: DataFrame, known: DataFrame, hops: int = 1, budget: int = BUDGET, kinds: tuple[str, ...] = ("adj",)) -> DataFrame:
     """ranked (query, doc, score, rank) with up to `budget` neighbours of each query's results appended.
 

@@ -93,6 +93,30 @@ def corpus_bleu(scored: DataFrame) -> DataFrame:
     return pooled.select(F.round(bleu_of(F.col("np"), F.col("ne")), 6).alias("bleu"))
 
 
+def answer_summary(rows: DataFrame) -> DataFrame:
+    """One row: means of em, f1 and rouge_l, BLEU of pooled counts, citation rates and the number of answers; rows as predictions has them.
+
+    Without answers all are 0.
+    """
+    scored = answer_scores(rows.select("query_id", "predicted", "expected"))
+    sums = [F.sum(c).alias(c) for n in range(1, 5) for c in (f"match_{n}", f"total_{n}")]
+    means = [F.round(F.coalesce(F.avg(m), F.lit(0.0)), 6).alias(m) for m in ("em", "f1", "rouge_l")]
+    own = scored.agg(*means, *sums, F.coalesce(F.sum("np"), F.lit(0)).alias("np"), F.coalesce(F.sum("ne"), F.lit(0)).alias("ne"), F.count("*").alias("num_samples"))
+    own = own.select("em", "f1", "rouge_l", F.round(bleu_of(F.col("np"), F.col("ne")), 6).alias("bleu"), "num_samples")
+    names = {"citation_accuracy": "citation_accuracy", "source_in_context": "source_in_context_rate", "citation_presence": "citation_presence_rate"}
+    return own.crossJoin(citation_flags(rows).agg(*[F.round(F.coalesce(F.avg(a), F.lit(0.0)), 6).alias(b) for a, b in names.items()]))  # one row each
+
+
+def mean_average_precision(labelled: DataFrame) -> DataFrame:
+    return average_precision(labelled).agg(F.round(F.coalesce(F.avg("ap"), F.lit(0.0)), 6).alias("map"), F.count("*").alias("num_queries"))
+
+
+def questions_of(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """rows (query_id, …) with `question`: the first of questions (query_id, question) by the question itself, else the id."""
+    first = questions.groupBy("query_id").agg(F.min("question").alias("question"))
+    return rows.join(first, "query_id", "left").withColumn("question", F.coalesce("question", "query_id"))
+
+
 def citation_flags(rows: DataFrame) -> DataFrame:
     """query_id with citation_accuracy, source_in_context and citation_presence, 0 or 1; see the columns of predictions."""
     same = lambda a, b: F.trim(T.turkish_lower(F.coalesce(a, F.lit("")))) == F.trim(T.turkish_lower(F.coalesce(b, F.lit(""))))
@@ -135,12 +159,11 @@ def stratified_sample(rows: DataFrame, key: str, score: str, n: int = 150) -> Da
     third = n // 3
     classes = ["hit", "partial", "miss"]
     r = rows.select(F.col(key).cast("string").alias("key"), faithfulness_class(F.col(score)).alias("class")).withColumn("h", F.md5("key"))
-    w = Window.partitionBy("class").orderBy("h", "key")
-    ranked = r.withColumn("rn", F.row_number().over(w))
-    own = ranked.where(F.col("rn") <= third)
-    lack = own.groupBy("class").agg(F.count("*").alias("have"))
-    short = lack.agg((F.lit(3 * third) - F.sum("have")).alias("short"))
-    rest = ranked.where(F.col("rn") > third).orderBy("h", "key").limit(3 * third).withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("h", "key")))
+    first = Window.partitionBy("class").orderBy("h", "key")
+    own = r.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= third)  # each task keeps a third only
+    short = own.agg((F.lit(3 * third) - F.count("*")).alias("short"))
+    rest = r.join(F.broadcast(own.select("key", "class")), ["key", "class"], "left_anti").orderBy("h", "key").limit(3 * third)  # n rows at most on both sides
+    rest = rest.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("h", "key")))
     fill = rest.crossJoin(F.broadcast(short)).where("i <= short").select("key", "class", F.element_at(F.array(*map(F.lit, classes)), (F.pmod(F.col("i") - 1, F.lit(3)) + 1).cast("int")).alias("bucket"))
     return own.select("key", "class", F.col("class").alias("bucket")).unionAll(fill)
 
@@ -159,3 +182,23 @@ def scenario_scores(rows: DataFrame) -> DataFrame:
         "scenario2_fallback": F.col("similarity").isNull(),
         "scenario3_score": F.bround(F.when(F.size(three) > 0, F.aggregate(three, F.lit(0.0), lambda a, x: a + x) / F.size(three)), 6),
     })
+
+
+def suite_means(rows: DataFrame, suite, n: int = 50) -> DataFrame:
+    """One row: means of a suite's metrics over n answers that have contexts, in the order of MD5 of the id; NaN is left out, a metric without a value is null."""
+    contexts = F.filter(F.transform(F.slice("retrieved_chunks", 1, 5), lambda c: c["text"]), lambda t: F.coalesce(t, F.lit("")) != "")
+    some = rows.where("coalesce(predicted, '') <> ''").withColumn("contexts", contexts).where(F.size("contexts") > 0).orderBy(F.md5("query_id"), "query_id").limit(n)
+    got = some.select(*[c.alias(f"ragas_{m}") for m, c in suite(F.col("question"), F.col("predicted"), F.col("contexts"), F.col("expected")).items()])
+    return got.agg(*[F.round(F.avg(F.nanvl(c, F.lit(None).cast("double"))), 4).alias(c) for c in got.columns])
+
+
+def judge_means(rows: DataFrame, reply, kinds, n: int = 20) -> DataFrame:
+    """One row: for each kind of judge the mean score llm_<kind>_score of n answers, in the order of MD5 of the id (0.5 without any), and how many failed."""
+    context = F.array_join(F.transform(F.slice("retrieved_chunks", 1, 5), lambda c: F.coalesce(c["text"], F.lit(""))), "\n\n")
+    some = rows.where("coalesce(predicted, '') <> ''").orderBy(F.md5("query_id"), "query_id").limit(n)
+    got = some.select(*[reply(k, F.col("question"), F.col("predicted"), F.col("expected"), context).alias(k) for k in kinds])
+    out = []
+    for k in kinds:
+        score = F.when(F.col(k).isNotNull(), T.judge_score(F.col(k)))
+        out += [F.round(F.coalesce(F.avg(score), F.lit(0.5)), 6).alias(f"llm_{k}_score"), F.count_if(F.col(k).isNull()).alias(f"llm_{k}_failed")]
+    return got.agg(*out)

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from kervan.functions import providers
 from kervan.functions import text as T
+from kervan.functions.storage import written
 from kervan.operators import chunking, context, dedup, dense, fusion, graph, lexical, metrics, relevance, training
-from kervan.plans import stages
+from kervan.plans import corpus, evaluation, stages
 from kervan.sources import readers, sinks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,8 +190,8 @@ def q_resume_anti(spark, d):
 # Lexical and dense retrieval, fusion ----------------------------------------------------------------------------------
 @query(f"WITH {BM} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def q_bm25_stats(spark, d):
-    tokens = lexical.tokenized(_chunks(spark, d), "chunk_id", "text")
-    return lexical.token_idf(tokens).select("token", "df", r6("idf").alias("idf"))
+    postings = lexical.index(_chunks(spark, d), "chunk_id")
+    return lexical.token_idf(postings).select("token", "df", r6("idf").alias("idf"))
 
 
 @query(f"WITH {BM} SELECT query AS query_id, doc AS chunk_id, score, rank FROM bmtop WHERE rank <= 10")
@@ -214,22 +215,21 @@ def q_dense_topk(spark, d):
 
 
 def _joined(spark, d):
-    """Documents with vectors (doc_id = vec_id) and questions with vectors (by their number): lexical and dense candidates of one corpus."""
-    e = _t(spark, d, "embeddings")
-    docs = _t(spark, d, "documents").join(e, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("doc"), "text", F.col("embedding").alias("dv"))
-    number = F.substring("query_id", 4, 10).cast("bigint")
-    qs = _questions(spark, d).withColumn("vec_id", number).join(e, "vec_id").select("query_id", "query", F.col("embedding").alias("qv"))
+    """All documents and all questions, with vectors of the default embedder: lexical and dense candidates of one corpus."""
+    embedder = providers.HashEmbedder()
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    qs = _questions(spark, d).select("query_id", "query")
     lex = stages.lexical_candidates(docs, qs, doc="doc")
-    return docs, qs, lex, stages.dense_candidates(qs.select(F.col("query_id").alias("query"), "qv"), docs.select("doc", "dv"))
+    den = stages.dense_candidates(dense.as_queries(qs, embedder), dense.as_vectors(dense.build_index(docs, embedder, "doc"), "doc"))
+    return docs, qs, lex, den
 
 
-JOINED = f"""jd AS (SELECT doc_id AS doc, coalesce(text, '') AS text, embedding::DOUBLE[] AS dv FROM documents JOIN embeddings ON doc_id = vec_id),
-    jq AS (SELECT query_id, query, embedding::DOUBLE[] AS qv FROM rag_eval JOIN embeddings ON vec_id = substr(query_id, 4)::BIGINT),
-    tok AS (SELECT doc, {TOK("text")} AS w FROM jd), st AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM tok),
+EMBED = lambda w: f"(SELECT list_transform(v, lambda x: (CASE WHEN n > 0 THEN x / sqrt(n) ELSE 0 END)::FLOAT::DOUBLE) FROM (SELECT v, list_sum(list_transform(v, lambda x: x * x))::DOUBLE AS n FROM (SELECT list_transform(range(0, 64), lambda p: len(list_filter(h, lambda x: x = p))) AS v FROM (SELECT list_transform({w}, lambda t: ('0x' || left(md5(t), 8))::BIGINT % 64) AS h))))"
+LEXICAL = """st AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM tok),
     post AS (SELECT doc, token, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc, unnest(w) AS token, len(w) AS dl FROM tok) GROUP BY doc, token),
     raw AS (SELECT token, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY token),
     idf AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-    qt AS (SELECT query, token, count(*) AS times FROM (SELECT query_id AS query, unnest({TOK("query")}) AS token FROM jq) GROUP BY query, token),
+    qt AS (SELECT query, token, count(*) AS times FROM (SELECT query_id AS query, unnest(qw) AS token FROM jq) GROUP BY query, token),
     bm AS (SELECT query, doc, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM qt JOIN idf USING (token) JOIN post USING (token), st GROUP BY query, doc),
     x AS (SELECT query, doc, score, CASE WHEN count(*) OVER p < n_docs THEN 0 END AS z, min(score) OVER p AS lo, max(score) OVER p AS hi FROM bm, st WINDOW p AS (PARTITION BY query)),
     lex AS (SELECT query, doc, score, CASE WHEN greatest(hi, z) > least(lo, z) THEN (score - least(lo, z)) / (greatest(hi, z) - least(lo, z)) ELSE 0 END AS norm, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank
@@ -237,7 +237,11 @@ JOINED = f"""jd AS (SELECT doc_id AS doc, coalesce(text, '') AS text, embedding:
     den AS (SELECT query_id AS query, doc, round(list_dot_product(qv, dv), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(qv, dv), 9) DESC, doc) AS rank FROM jq, jd QUALIFY rank <= 50),
     rrf AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM
             (SELECT query, doc, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score FROM (SELECT query, doc, rank FROM den UNION ALL SELECT query, doc, rank FROM lex) GROUP BY query, doc) QUALIFY rank <= 50)"""
-HYBRID = "(SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT query, doc, round(sum(part), 9) AS score FROM (SELECT query, doc, {a} * score AS part FROM den UNION ALL SELECT query, doc, {b} * norm FROM lex) GROUP BY query, doc) QUALIFY rank <= {k})".format
+JOINED = f"""tok AS MATERIALIZED (SELECT doc_id AS doc, {TOK("coalesce(text, '')")} AS w FROM documents),
+    jd AS MATERIALIZED (SELECT doc, {EMBED("w")} AS dv FROM tok),
+    jq AS MATERIALIZED (SELECT query_id, qw, {EMBED("qw")} AS qv FROM (SELECT query_id, {TOK("coalesce(query, '')")} AS qw FROM rag_eval)),
+    {LEXICAL}"""
+HYBRID = "(SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT query, doc, round(sum(part), 12) AS score FROM (SELECT query, doc, {a} * score AS part FROM den UNION ALL SELECT query, doc, {b} * norm FROM lex) GROUP BY query, doc) QUALIFY rank <= {k})".format
 
 
 def _run(df: DataFrame) -> DataFrame:
@@ -281,7 +285,7 @@ def q_rerank_overlap(spark, d):
     return _run(fusion.rerank(c.join(_questions(spark, d).select(F.col("query_id").alias("query"), F.col("query").alias("query_text")), "query"), providers.pair_score))
 
 
-RERANKED = lambda src: f"(SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT c.query, c.doc, round({OVERLAP('qw', 't.w')}, 9) AS score FROM {src} c JOIN (SELECT query_id, {TOK('query')} AS qw FROM jq) q ON q.query_id = c.query JOIN tok t ON t.doc = c.doc) QUALIFY rank <= 10)"
+RERANKED = lambda src: f"(SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT c.query, c.doc, round({OVERLAP('qw', 't.w')}, 9) AS score FROM {src} c JOIN jq q ON q.query_id = c.query JOIN tok t ON t.doc = c.doc) QUALIFY rank <= 10)"
 
 
 @query(f"""WITH {JOINED}, m AS (
@@ -294,7 +298,7 @@ RERANKED = lambda src: f"(SELECT query, doc, score, row_number() OVER (PARTITION
            SELECT mode, query AS query_id, doc, score, rank FROM m""")
 def q_modes_long(spark, d):
     docs, qs, lex, den = _joined(spark, d)
-    lex, den = lex.persist(), den.persist()  # six modes read them
+    lex, den = written(lex, "lexical"), written(den, "dense")  # six modes read them
     texts, questions = docs.select("doc", F.col("text").alias("doc_text")), qs.select(F.col("query_id").alias("query"), F.col("query").alias("query_text"))
     modes = {"dense": ("dense", False, 0.5), "hybrid": ("hybrid", False, 0.7), "rrf": ("rrf", False, 0.5), "dense_rerank": ("dense", True, 0.5), "hybrid_rerank": ("hybrid", True, 0.5), "rrf_rerank": ("rrf", True, 0.5)}
     out = None
@@ -311,11 +315,13 @@ def _relevance_inputs(spark, d):
     return qa, _chunks(spark, d)
 
 
-REL = f"""{CH}, q AS (SELECT query_id, gold_answer_extract AS answer, source, coalesce(gold_chunk_ids, []) AS gold FROM rag_eval),
+REL = f"""{CH}, q AS (SELECT query_id, query AS question, gold_answer_extract AS answer, source, coalesce(gold_chunk_ids, []) AS gold FROM rag_eval),
     g0 AS (SELECT query_id, chunk_id, 0 AS strategy FROM (SELECT DISTINCT query_id, unnest(gold) AS chunk_id FROM q) JOIN ch USING (chunk_id)),
-    ex AS (SELECT query_id, context FROM (SELECT DISTINCT query_id, context FROM qa_examples WHERE context IS NOT NULL)),
     g3 AS (SELECT query_id, chunk_id, 3 AS strategy FROM q JOIN ch ON contains(lower(ch.text), left(trim(lower(q.answer), ' '), 80)) AND (q.source = ch.source OR coalesce(q.source, '') NOT IN (SELECT source FROM ch WHERE source IS NOT NULL)) WHERE length(q.answer) >= 40),
     g4 AS (SELECT query_id, chunk_id, 4 AS strategy FROM q JOIN (SELECT chunk_id, source FROM ch WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY ord) <= 20) c ON c.source = q.source)"""
+#: Contexts of the test tables have no more characters than a chunk may have, so each is one piece, or, cut by articles, several.
+PIECES = """pc AS (SELECT query_id, trim(unnest(string_split_regex(regexp_replace(context, '(?im)^(\\s*MADDE\\s+\\d)', chr(1) || '\\1', 'g'), chr(1))), ' ' || chr(9) || chr(10) || chr(13)) AS piece FROM qa WHERE length(context) BETWEEN 180 AND 1400)"""
+HASHED = f"SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, md5(piece) AS h FROM pc WHERE length(piece) >= 180) JOIN (SELECT chunk_id, md5(text) AS h FROM ch) USING (h)"
 
 
 @query(f"WITH {REL} SELECT query_id, chunk_id FROM g0")
@@ -323,10 +329,10 @@ def q_relevance_gold(spark, d):
     return relevance.by_gold(*_relevance_inputs(spark, d)).select("query_id", "chunk_id")
 
 
-@query(f"WITH {CH}, {QA} SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, md5(context) AS h FROM qa WHERE coalesce(context, '') <> '') JOIN (SELECT chunk_id, md5(text) AS h FROM ch) USING (h)")
+@query(f"WITH {CH}, {QA}, {PIECES} {HASHED}")
 def q_relevance_hash(spark, d):
-    """Contexts taken as one piece each against the chunks' texts."""
-    pieces = _qa(spark, d).where("coalesce(context, '') <> ''").select("query_id", F.col("context").alias("piece"))
+    """Contexts, cut as the corpus is, against the chunks' texts."""
+    pieces = relevance.context_pieces(_qa(spark, d).where("coalesce(context, '') <> ''").select("query_id", "context"))
     return relevance.by_hash(pieces, _chunks(spark, d)).select("query_id", "chunk_id").distinct()
 
 
@@ -347,12 +353,29 @@ def q_relevance_source20(spark, d):
     return relevance.by_source(*_relevance_inputs(spark, d)).select("query_id", "chunk_id")
 
 
-@query(f"""WITH {REL}, u AS (SELECT * FROM g0 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4)
+@query(f"""WITH {CH}, {QA}, {PIECES}, q AS (SELECT query_id, coalesce(answer, '') AS answer, source FROM qa WHERE split = 'kaggle'),
+           g1 AS (SELECT query_id, chunk_id, 1 AS strategy FROM ({HASHED}) JOIN q USING (query_id)),
+           g2 AS (SELECT query_id, chunk_id, 2 AS strategy FROM q JOIN ch ON ch.doc_id = q.query_id),
+           k AS (SELECT DISTINCT source FROM ch WHERE source IS NOT NULL),
+           n AS (SELECT query_id, coalesce(source, '') AS source, left(trim(lower(answer), ' '), 80) AS needle FROM q WHERE length(answer) >= 40 AND query_id NOT IN (SELECT query_id FROM g1)),
+           g3 AS (SELECT query_id, chunk_id, 3 AS strategy FROM n JOIN ch ON contains(lower(ch.text), needle) AND (n.source = ch.source OR n.source NOT IN (SELECT source FROM k))),
+           g4 AS (SELECT query_id, chunk_id, 4 AS strategy FROM q JOIN (SELECT chunk_id, source FROM ch WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY ord) <= 20) c ON c.source = q.source),
+           u AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4)
            SELECT query_id, chunk_id, strategy FROM u QUALIFY strategy = min(strategy) OVER (PARTITION BY query_id)""")
 def q_relevance_cascade(spark, d):
+    """All strategies for the examples of split kaggle: by their contexts, their ids, their answers and their sources."""
+    qa = _qa(spark, d).where("split = 'kaggle'")
+    rows = qa.select("query_id", F.coalesce("answer", F.lit("")).alias("answer"), "source", F.array().cast("array<string>").alias("gold_ids"))
+    pieces = relevance.context_pieces(qa.where("coalesce(context, '') <> ''").select("query_id", "context"))
+    return relevance.cascade(rows, _chunks(spark, d), pieces).select("query_id", "chunk_id", "strategy")
+
+
+@query(f"""WITH {REL}, u AS (SELECT * FROM g0 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4)
+           SELECT query_id, chunk_id, strategy FROM u QUALIFY strategy = min(strategy) OVER (PARTITION BY query_id)""")
+def q_relevance_gold_cascade(spark, d):
+    """The cascade for questions with gold ids and without contexts."""
     qa, ch = _relevance_inputs(spark, d)
-    none = spark.createDataFrame([], "query_id string, piece string")
-    return relevance.cascade(qa, ch, none).select("query_id", "chunk_id", "strategy")
+    return relevance.cascade(qa, ch, spark.createDataFrame([], "query_id string, piece string")).select("query_id", "chunk_id", "strategy")
 
 
 METRIC = """
@@ -539,6 +562,17 @@ def q_graph_adjacency(spark, d):
     return graph.stats(_adjacency(spark, d))
 
 
+LAW = r"(\d{2,5})\s*sayılı\s+([A-Za-zÇĞİÖŞÜçğıöşü .''’\-]+?)\s+(?:Kanunu?|Yasası?)"
+REFS = rf"""lw AS (SELECT chunk_id AS id, m, text FROM (SELECT chunk_id, text, unnest(regexp_extract_all(text, '{LAW}\b')) AS m FROM ch))"""
+
+
+@query(rf"WITH {CH}, {REFS} SELECT id, count(*) AS n_laws, min(regexp_extract(m, '^\d+')::INT) AS least_law FROM lw GROUP BY id")
+def q_graph_laws(spark, d):
+    """How many laws each chunk names with their number (not each with an article), and the least number."""
+    named = _chunks(spark, d).select("chunk_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?U)(\d{2,5})\s*sayılı\s+([A-Za-zÇĞİÖŞÜçğıöşü .'’\-]+?)\s+(?:Kanunu?|Yasası?)\b"), F.lit(1))).alias("law"))
+    return named.groupBy(F.col("chunk_id").alias("id")).agg(F.count("*").alias("n_laws"), F.min(F.col("law").cast("int")).alias("least_law"))
+
+
 @query()
 def q_graph_refs(spark, d):
     ch = _chunks(spark, d)
@@ -547,12 +581,10 @@ def q_graph_refs(spark, d):
 
 @query()
 def q_graph_edges(spark, d):
-    """Edges of references between chunks; an article's number is what a chunk's text begins with."""
+    """The whole graph of the chunks; an article's number is what a chunk's text begins with."""
     ch = _chunks(spark, d)
-    nodes = ch.select(F.col("chunk_id").alias("id"), "source", F.nullif(F.regexp_extract("text", r"(?i)^\s*madde\s+(\d+)", 1), F.lit("")).cast("int").alias("article"))
-    laws = _t(spark, d, "source_map").where("source IS NOT NULL").select("law_no", F.col("source").alias("law_name"), "source")
-    refs = graph.references(ch.select(F.col("chunk_id").alias("id"), "text"))
-    return graph.reference_edges(refs, nodes, laws).groupBy("kind").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_src"))
+    nodes = ch.select(F.col("chunk_id").alias("id"), "source", "doc_id", "text", "ord", F.nullif(F.regexp_extract("text", r"(?i)^\s*madde\s+(\d+)", 1), F.lit("")).cast("int").alias("article"))
+    return graph.build_graph(nodes, _t(spark, d, "source_map").select("law_no", "source")).groupBy("kind").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_src"))
 
 
 @query(f"""WITH {ADJ}, s AS (SELECT o AS query, id AS doc, p AS rank, (1.0 / a)::DOUBLE AS score FROM i WHERE p = 1 AND a = 1),

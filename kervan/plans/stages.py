@@ -20,23 +20,27 @@ class Stage:
     rerank: bool = False
     graph: bool = False
     alpha: float = 0.5
-    generator: str = "extractive"
+    generator: str = "base"
+    embedding: str = "base"
 
 
+# The stages of the evaluation in their order, and what each is made of.
 STAGES = {s.name: s for s in (
     Stage("base", "dense"), Stage("hybrid", "hybrid"), Stage("rrf", "rrf"), Stage("rrf_rerank", "rrf", rerank=True), Stage("graph", "rrf", rerank=True, graph=True),
-    Stage("llm_ft", "rrf", rerank=True, generator="finetuned"), Stage("emb_ft", "dense"), Stage("full", "rrf", rerank=True, graph=True, generator="finetuned"),
+    Stage("llm_ft", "dense", generator="finetuned"), Stage("emb_ft", "rrf", rerank=True, embedding="finetuned"), Stage("full", "rrf", rerank=True, embedding="finetuned", generator="finetuned"),
 )}
 
 
-def eligible(names: list[str], has_graph: bool) -> tuple[list[Stage], list[str]]:
-    """(stages to run, messages about those that cannot)."""
+def eligible(names: list[str], has_graph: bool, models: tuple[str, ...] = ("base",)) -> tuple[list[Stage], list[str]]:
+    """(stages to run, messages about those that cannot). models: the embeddings and generators at hand."""
     run, said = [], []
     for n in names:
         if n not in STAGES:
             said.append(f"unknown stage: {n}")
         elif STAGES[n].graph and not has_graph:
             said.append(f"no graph for stage: {n}")
+        elif missing := sorted({STAGES[n].embedding, STAGES[n].generator} - set(models)):
+            said.append(f"no {', '.join(missing)} model for stage: {n}")
         else:
             run.append(STAGES[n])
     return run, said
@@ -70,8 +74,7 @@ def retrieve(stage: Stage, dense_run: DataFrame, lexical_run: DataFrame, texts:
 
 def lexical_candidates(docs: DataFrame, queries: DataFrame, **columns) -> DataFrame:
     """(query, doc, score, norm, rank): BM25 candidates with scores moved to [0, 1] over all documents."""
-    scores = lexical.min_max_all(lexical.bm25_scores(docs, queries, **columns)).where("score > 0")
-    return lexical.top(scores, ["query"], CANDIDATES).select("query", "doc", "score", "norm", "rank")
+    return lexical.bm25_top_normed(docs, queries, CANDIDATES, **columns)
 
 
 def dense_candidates(queries: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kervan.functions.storage import Files, numbered
 from kervan.functions.text import document_of, falsy
 
 RAW = ("id", "question", "answer", "context", "source", "data_type", "score", "split")
@@ -82,10 +83,16 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, source, text, ord) of the .txt files of a folder by name; the name without its ending is id and source."""
-    files = spark.read.text(f"{path}/*.txt", wholetext=True).withColumn("file", F.input_file_name())
-    stem = F.url_decode(F.regexp_extract("file", r"([^/]+)\.txt$", 1))
-    return files.where(F.trim("value") != "").select(stem.alias("doc_id"), stem.alias("source"), F.col("value").alias("text"), F.col("file").alias("ord"))
+    """(doc_id, source, text, ord) of the .txt files of a folder, then of its .pdf files, by name; the name without its ending is id and source."""
+    none = spark.createDataFrame([], "doc_id string, source string, text string, ord string")
+    files = Files(spark)
+    if files.any_match(f"{path}/*.txt"):
+        texts = spark.read.text(f"{path}/*.txt", wholetext=True).withColumn("file", F.input_file_name())
+        stem = F.url_decode(F.regexp_extract("file", r"([^/]+)\.txt$", 1))
+        none = none.unionAll(texts.select(stem.alias("doc_id"), stem.alias("source"), F.col("value").alias("text"), F.concat(F.lit("0"), "file").alias("ord")))
+    if files.any_match(f"{path}/*.pdf"):
+        none = none.unionAll(read_pdf(spark, path).select("doc_id", F.col("doc_id").alias("source"), "text", F.concat(F.lit("1"), "doc_id").alias("ord")))
+    return none.where("trim(coalesce(text, '')) <> ''")
 
 
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
@@ -114,35 +121,37 @@ def read_pdf(spark: SparkSession, path: str) -> DataFrame:
 def resolve_corpus(spark: SparkSession, corpus: str | None = None, docs: str | None = None, default: str | None = None) -> DataFrame:
     """Chunks of a corpus file or of a folder of documents, but not of both."""
     from kervan.operators.chunking import chunk
+    from kervan.operators.dedup import text_dedup
 
     if corpus and docs:
         raise ValueError("give a corpus or a folder of documents, not both")
     if docs:
-        if not Path(docs).is_dir():
+        if not Files(spark).is_folder(docs):
             raise ValueError(f"no folder: {docs}")
-        got = chunk(read_directory(spark, docs)).withColumn("ord", F.monotonically_increasing_id()).drop("idx")
+        files = read_directory(spark, docs)
+        got = chunk(files).join(files.select("doc_id", F.col("ord").alias("file")), "doc_id")
+        got = text_dedup(numbered(got.withColumn("at", F.struct("file", "idx")), "at", "ord")).drop("idx", "file", "at")
         if got.isEmpty():
             raise ValueError(f"no chunk in {docs}")
         return got
     path = corpus or default
-    if not path or not Path(path).exists():
+    if not path or not Files(spark).exists(path):
         raise FileNotFoundError(str(path))
     return read_corpus(spark, path)
 
 
 def normalized_questions(df: DataFrame) -> DataFrame:
     """Questions of any known shape; empty fields count as missing, and a missing id becomes custom_0000 and so on in input order."""
-    number = F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("__at")) - 1
     answer = _field(df, "answer", "verified_answer", "expected_response", "expected_answer", "ground_truth", "gold_answer_extract")
     gold = F.array().cast("array<string>")
     if "gold_sources" in df.columns:
         gold = F.filter(F.transform("gold_sources", lambda s: s["source_id"]), lambda x: F.coalesce(x, F.lit("")) != "")
     elif "gold_chunk_ids" in df.columns:
         gold = F.col("gold_chunk_ids").cast("array<string>")
-    at = df.withColumn("__at", F.monotonically_increasing_id())
     ident = _field(df, "query_id", "question_id", "id", "_id")
-    return at.select(
-        F.coalesce(ident, F.format_string("custom_%04d", number)).alias("query_id"), F.coalesce(_field(df, "question", "query", "text"), F.lit("")).alias("question"), F.coalesce(answer, F.lit("")).alias("answer"),
+    df = numbered(df.withColumn("__line", F.monotonically_increasing_id()), "__line", "__number")
+    return df.select(
+        F.coalesce(ident, F.format_string("custom_%04d", "__number")).alias("query_id"), F.coalesce(_field(df, "question", "query", "text"), F.lit("")).alias("question"), F.coalesce(answer, F.lit("")).alias("answer"),
         F.coalesce(_field(df, "context"), F.lit("")).alias("context"), F.coalesce(_field(df, "source"), F.lit("")).alias("source"), F.coalesce(_field(df, "data_type", "answer_type"), F.lit("")).alias("data_type"),
         F.coalesce(gold, F.array().cast("array<string>")).alias("gold_ids"),
     )
@@ -150,15 +159,15 @@ def normalized_questions(df: DataFrame) -> DataFrame:
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Questions of a .csv file, of a JSON array or of JSON lines; a row without a question or an answer is an error."""
-    if not Path(path.removeprefix("file:")).exists():
+    files = Files(spark)
+    if not files.exists(path):
         raise FileNotFoundError(path)
     if path.endswith(".csv"):
         df = read_csv(spark, path, names=())
         if not {"question", "query"} & set(df.columns) or not {"answer", "expected_answer", "ground_truth"} & set(df.columns):
             raise ValueError("no column of questions or answers")
     else:
-        with open(path.removeprefix("file:"), encoding="utf-8") as f:
-            array = f.read(64).lstrip("﻿ \r\n\t").startswith("[")
+        array = files.head(path, 256).decode("utf-8", "ignore").lstrip("\ufeff \r\n\t").startswith("[")
         df = spark.read.json(path, multiLine=array)
     got = normalized_questions(df)
     if bad := got.where("question = '' OR answer = ''").select("query_id").first():
@@ -176,17 +185,44 @@ def question_mode(df: DataFrame) -> bool:
     raise ValueError("a question set needs query_id and query, or question_id and question")
 
 
+def read_external(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """(questions, whether answers are short) of a foreign file; the shape of its records tells which. A short-answer set takes its first gold source as source."""
+    files = Files(spark)
+    if not files.exists(path):
+        raise FileNotFoundError(path)
+    head = files.head(path, 256).decode("utf-8", "ignore").lstrip("\ufeff \r\n\t")
+    df = spark.read.json(path, multiLine=head.startswith("["))
+    short = question_mode(df)
+    got = normalized_questions(df)
+    return (got.withColumn("source", F.coalesce(F.try_element_at("gold_ids", F.lit(1)), "source")) if short else got), short
+
+
+def question_set(spark: SparkSession, dataset: str, folder: str, file: str | None = None) -> tuple[DataFrame, bool, str]:
+    """(questions, whether answers are short, ending of the results' names) of the data set custom (a file of one's own), hmgs or kaggle (as prepare writes
+    them into the folder)."""
+    if file or dataset == "custom":
+        if not file:
+            raise ValueError("the data set custom needs a file")
+        return read_questions(spark, file), False, "_custom"
+    if dataset not in ("hmgs", "kaggle"):
+        raise ValueError(f"unknown data set: {dataset}")
+    return normalized_questions(read_jsonl(spark, f"{folder}/{'qa_hmgs' if dataset == 'hmgs' else 'qa_eval'}")), dataset == "hmgs", "_hmgs" if dataset == "hmgs" else ""
+
+
 def exam_questions(rows: DataFrame, source_map: DataFrame) -> DataFrame:
     """Exam rows (soru, cevap, kaynak, ord) as questions hmgs_0000…, numbered before the rows without a source and those that only
     point to options are left out."""
-    from pyspark.sql import Window
-
-    numbered = required(rows, EXAM).withColumn("i", F.row_number().over(Window.orderBy("ord")) - 1)
     known = source_map.where("source IS NOT NULL").groupBy("kaynak").agg(F.min("source").alias("source"))
-    kept = numbered.where((F.col("kaynak") != DROPPED_SOURCE) & ~F.trim("cevap").rlike(OPTION))
+    kept = numbered(required(rows, EXAM), "ord").where((F.col("kaynak") != DROPPED_SOURCE) & ~F.trim("cevap").rlike(OPTION))
     return kept.join(known, "kaynak").select(F.format_string("hmgs_%04d", "i").alias("query_id"), F.col("soru").alias("question"), F.col("cevap").alias("answer"), "source")
 
 
+def instruction_splits(splits: dict[str, DataFrame]) -> DataFrame:
+    """All splits of an instruction data set, one after another, with the split's name; each is mapped by its own columns."""
+    rows = [instruction_rows(df).withColumn("split", F.lit(name)) for name, df in splits.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 def instruction_rows(df: DataFrame) -> DataFrame:
     """(question, answer, context) of instruction/input/output rows, of question/answer rows, else of the first and last column."""
     names = set(df.columns)

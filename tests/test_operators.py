@@ -46,8 +46,10 @@ def test_bm25_against_formula(spark):
 
 
 def test_min_max(spark):
-    s = spark.createDataFrame([("q", "a", 2.0, 3)], "query string, doc string, score double, n_docs long")
-    assert lexical.min_max_all(s).first().norm == 1.0
+    d = spark.createDataFrame([("a", "kanun"), ("b", "dava"), ("c", None)], "doc_id string, text string")
+    q = spark.createDataFrame([("q", "kanun"), ("r", "yok"), ("s", None)], "query_id string, query string")
+    assert [(r["query"], r.doc, r.norm) for r in lexical.bm25_top_normed(d, q, 5).collect()] == [("q", "a", 1.0)]
+    assert lexical.bm25_top(d.limit(0), q).count() == 0 and lexical.bm25_top(d, q.limit(0)).count() == 0
     flat = spark.createDataFrame([("q", "a", 2.0), ("q", "b", 2.0)], "query string, doc string, s double")
     assert {r.x for r in lexical.min_max_candidates(flat, ["query"], "s", "x").collect()} == {1.0}
 
