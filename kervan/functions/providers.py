@@ -168,7 +168,7 @@ def judge_reply(kind: str, question: Column, answer: Column, expected: Column, c
         "relevancy": lambda: share(words(question), a),
         "coherence": lambda: F.size(F.array_distinct(a)) / F.nullif(F.size(a), F.lit(0)),
     }[kind]()
-    return F.when(F.size(a) > 0, F.format_string("%.2f", F.round(score, 2)))
+    return F.when((F.size(a) > 0) & score.isNotNull(), F.format_string("%.2f", F.floor(score * 100) / 100))
 
 
 # Language models ----------------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,20 +33,28 @@ def neighbours(chunks: DataFrame, window: int = 1) -> DataFrame:
     return c.withColumns({"before": F.lag("chunk_id", window).over(w), "after": F.lead("chunk_id", window).over(w)})
 
 
-def overlap_join(a: Column, b: Column, most: int = 360) -> Column:
+def joined(a: str, b: str, most: int = 360) -> str:
     """a and b as one text: the longest end of a that begins b is written once; without one they stand on two lines."""
-    upto = F.least(F.lit(most), F.length(a), F.length(b))
-    fits = F.filter(F.sequence(F.lit(0), upto), lambda n: F.substring(a, F.length(a) - n + 1, n) == F.substring(b, F.lit(1), n))
-    n = F.array_max(fits)
-    return F.when(n > 0, F.concat(a, F.substring(b, n + 1, F.length(b)))).otherwise(F.concat(a, F.lit("\n"), b))
+    n = next((n for n in range(min(most, len(a), len(b)), 0, -1) if a.endswith(b[:n])), 0)
+    return a + b[n:] if n else f"{a}\n{b}"
+
+
+def overlap_join(a: Column, b: Column) -> Column:
+    """`joined` of two columns, null where either is."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else joined(p, q) for p, q in zip(x, y)], dtype=object)
+
+    return run(a, b)
 
 
 def expand_chunk(chunks: DataFrame) -> DataFrame:
     """(chunk_id, expanded): a chunk's text with its neighbours' before and after it."""
     w = Window.partitionBy("prefix").orderBy("idx", "chunk_id")
     n = neighbours(chunks).withColumns({"tb": F.lag("text").over(w), "ta": F.lead("text").over(w)})
-    left = F.when(F.col("tb").isNull(), F.col("text")).otherwise(overlap_join(F.col("tb"), F.col("text")))
-    return n.withColumn("left", left).select("chunk_id", F.when(F.col("ta").isNull(), F.col("left")).otherwise(overlap_join(F.col("left"), F.col("ta"))).alias("expanded"))
+    left = n.withColumn("left", F.coalesce(overlap_join(F.col("tb"), F.col("text")), "text"))
+    return left.select("chunk_id", F.coalesce(overlap_join(F.col("left"), F.col("ta")), "left").alias("expanded"))
 
 
 def inject_citations(rows: DataFrame, least: float = 0.15) -> DataFrame:

@@ -88,16 +88,16 @@ def triplets(questions: DataFrame, ranked: DataFrame, grounded: DataFrame, chunk
     text is never twice in a row. A question without a positive is left out; a corpus of few texts gives fewer negatives.
     """
     about = chunks.select("doc", "text", "source")
-    pos = positives(ranked, grounded).join(about.select(F.col("doc").alias("positive"), F.col("text").alias("pos"), F.col("source").alias("positive_source")), "positive")
+    pos = positives(ranked, grounded).join(about.select(F.col("doc").alias("positive"), F.col("text").alias("own_text"), F.col("source").alias("positive_source")), "positive")
     hard = hard_negatives(ranked.join(about.select("doc", "source"), "doc"), pos.select("query", "positive", "positive_source"), n)
     texts = hard.join(about.select("doc", "text"), "doc").groupBy("query").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])).alias("hard"))
     pool = about.groupBy("text").agg(F.min("doc").alias("doc")).orderBy(F.xxhash64("text")).limit(POOL_TEXTS).agg(F.collect_list("text").alias("pool"))  # one row
     rows = questions.select("query", "question").join(pos, "query").join(texts, "query", "left").crossJoin(F.broadcast(pool))
-    first = F.filter(F.coalesce("hard", F.array().cast("array<string>")), lambda t: t != F.col("pos"))
+    first = F.filter(F.coalesce("hard", F.array().cast("array<string>")), lambda t: t != F.col("own_text"))
     order = F.array_sort(F.transform("pool", lambda t: F.struct(F.xxhash64("query", t).alias("h"), t.alias("text"))))
-    more = F.filter(F.transform(order, lambda x: x["text"]), lambda t: (t != F.col("pos")) & ~F.array_contains(F.col("first"), t))
+    more = F.filter(F.transform(order, lambda x: x["text"]), lambda t: (t != F.col("own_text")) & ~F.array_contains(F.col("first"), t))
     rows = rows.withColumn("first", first)
-    return rows.select("query", "question", F.array("pos").alias("pos"), F.slice(F.concat("first", more), 1, n).alias("neg"))
+    return rows.select("query", "question", F.array("own_text").alias("pos"), F.slice(F.concat("first", more), 1, n).alias("neg"))
 
 
 def embedder_columns(rows: DataFrame) -> DataFrame:

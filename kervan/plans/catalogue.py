@@ -448,7 +448,13 @@ def q_bleu_corpus(spark, d):
     return metrics.corpus_bleu(_scored(spark, d))
 
 
-@query()
+LCS = """lcs(query_id, i, row) AS (SELECT query_id, 0, list_transform(et, lambda x: 0) FROM w UNION ALL
+        SELECT query_id, i + 1, list_transform(range(1, len(et) + 1), lambda j: list_max(step[1:j])) FROM
+            (SELECT l.query_id, i, et, list_transform(range(1, len(et) + 1), lambda j: CASE WHEN et[j] = pt[i + 1] THEN greatest(row[j], coalesce(row[j - 1], 0) + 1) ELSE row[j] END) AS step FROM lcs l JOIN w USING (query_id) WHERE i < len(pt) AND len(et) > 0)),
+    rl AS (SELECT query_id, (CASE WHEN len(pt) = 0 AND len(et) = 0 THEN 1 WHEN len(pt) = 0 OR len(et) = 0 THEN 0 ELSE 2 * row[len(et)] / (len(pt) + len(et)) END)::DOUBLE AS rouge FROM w JOIN lcs USING (query_id) WHERE i = len(pt) OR len(et) = 0 AND i = 0)"""
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {LCS} SELECT query_id, round(rouge, 6) AS rouge_l FROM rl")
 def q_rouge_l(spark, d):
     return _scored(spark, d).select("query_id", r6("rouge_l").alias("rouge_l"))
 
@@ -463,7 +469,10 @@ def q_f1_ascii(spark, d):
     return t.select("query_id", r6(metrics.f1_of(T.multiset_overlap("pt", "et"), F.size("pt"), F.size("et"))).alias("f1_ascii"))
 
 
-@query()
+ASCII_PAIRS = f"""{PAIRS.split(", w AS")[0]}, w AS (SELECT query_id, {", ".join(f"list_filter(string_split_regex(lower(replace({c}, 'İ', 'i' || chr(775))), '[^a-z0-9]+'), lambda t: t <> '') AS {c}t" for c in "pe")} FROM p)"""
+
+
+@query(f"WITH RECURSIVE {ASCII_PAIRS}, {LCS} SELECT query_id, round(rouge, 6) AS rouge_l_ascii FROM rl")
 def q_rouge_l_ascii(spark, d):
     p = _t(spark, d, "predictions").select("query_id", T.strip_citations(F.coalesce("predicted", F.lit(""))).alias("p"), F.coalesce("expected", F.lit("")).alias("e"))
     w = lambda c: F.filter(F.split(F.lower(F.col(c)), "[^a-z0-9]+"), lambda x: x != "")
@@ -471,7 +480,13 @@ def q_rouge_l_ascii(spark, d):
     return t.select("query_id", r6(metrics.f1_of(T.lcs_length("pt", "et"), F.size("pt"), F.size("et"))).alias("rouge_l_ascii"))
 
 
-@query()
+APART = lambda c: rf"list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace({c}, '([\{{-\~\[-\` -\&\(-\+\:-\@\/])', ' \1 ', 'g'), '([^0-9])([\.,])', '\1 \2 ', 'g'), '([\.,])([^0-9])', ' \1 \2', 'g'), '\s+'), lambda t: t <> '')"
+PAIRS_13A = f"{PAIRS.split(', w AS')[0]}, w AS (SELECT query_id, {APART('p')} AS pt, {APART('e')} AS et FROM p)"
+COUNTS_13A = BLEU_COUNTS.replace(PAIRS, PAIRS_13A)
+BLEU_13A = BLEU.replace("ELSE 1e-9 END", "END")
+
+
+@query(f"WITH {COUNTS_13A}, s AS (SELECT sum(np)::DOUBLE AS np, sum(ne)::DOUBLE AS ne, {', '.join(f'sum(m{n})::DOUBLE AS m{n}, sum(t{n})::DOUBLE AS t{n}' for n in range(1, 5))} FROM c) SELECT round(coalesce({BLEU_13A}, 0), 6) AS bleu_13a FROM s")
 def q_bleu_13a(spark, d):
     """Corpus BLEU on tokens that have punctuation of their own; no floor under a precision of zero."""
     p = _t(spark, d, "predictions").select(T.strip_citations(F.coalesce("predicted", F.lit(""))).alias("p"), F.coalesce("expected", F.lit("")).alias("e"))
@@ -489,7 +504,12 @@ def q_citation_metrics(spark, d):
     return metrics.citation_flags(_t(spark, d, "predictions"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT query_id, predicted, string_split(regexp_replace(coalesce(predicted, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS sents, list_transform(coalesce(retrieved_chunks, []), lambda c: c.text) AS texts FROM predictions),
+           w AS (SELECT *, list_transform(sents, lambda s: list_distinct({WORDS("s")})) AS sw, list_transform(texts, lambda c: list_distinct({WORDS("coalesce(c, '')")})) AS cw FROM s),
+           o AS (SELECT *, list_transform(cw, lambda c: list_transform(sw, lambda x: CASE WHEN len(x) = 0 OR len(c) = 0 THEN 0::DOUBLE ELSE len(list_intersect(x, c))::DOUBLE / least(len(x), len(c)) END)) AS scores FROM w),
+           b AS (SELECT *, list_transform(scores, lambda x: CASE WHEN list_max(x) >= 0.15 THEN list_position(x, list_max(x)) END) AS best FROM o)
+           SELECT query_id, CASE WHEN len(list_filter(best, lambda x: x IS NOT NULL)) = 0 THEN predicted ELSE
+               array_to_string(list_transform(range(1, len(sents) + 1), lambda i: sents[i] || array_to_string(list_transform(list_filter(range(1, len(best) + 1), lambda n: best[n] = i), lambda n: ' [Kaynak ' || n || ']'), '')), ' ') END AS answer FROM b""")
 def q_citation_inject(spark, d):
     return context.inject_citations(_t(spark, d, "predictions"))
 
@@ -531,7 +551,12 @@ def q_chunk_neighbors(spark, d):
     return context.neighbours(_chunks(spark, d)).select("chunk_id", "before", "after")
 
 
-@query()
+JOINED_AT = lambda a, b: f"CASE WHEN coalesce(list_max(list_filter(range(1, least(360, length({a}), length({b})) + 1), lambda n: right({a}, n) = left({b}, n))), 0) > 0 THEN {a} || substr({b}, list_max(list_filter(range(1, least(360, length({a}), length({b})) + 1), lambda n: right({a}, n) = left({b}, n))) + 1) ELSE {a} || chr(10) || {b} END"
+
+
+@query(f"""WITH {CH}, x AS (SELECT chunk_id, text, lag(text) OVER w AS tb, lead(text) OVER w AS ta FROM ch WINDOW w AS (PARTITION BY regexp_replace(chunk_id, '_\\d+$', '') ORDER BY regexp_extract(chunk_id, '_(\\d+)$', 1)::INT, chunk_id)),
+           y AS (SELECT chunk_id, ta, CASE WHEN tb IS NULL THEN text ELSE {JOINED_AT("tb", "text")} END AS l FROM x), z AS (SELECT chunk_id, CASE WHEN ta IS NULL THEN l ELSE {JOINED_AT("l", "ta")} END AS e FROM y)
+           SELECT chunk_id, length(e)::INT AS n_chars, md5(e) AS expanded_md5 FROM z""")
 def q_chunk_expand(spark, d):
     return context.expand_chunk(_chunks(spark, d)).select("chunk_id", F.length("expanded").alias("n_chars"), F.md5("expanded").alias("expanded_md5"))
 
@@ -562,17 +587,6 @@ def q_graph_adjacency(spark, d):
     return graph.stats(_adjacency(spark, d))
 
 
-LAW = r"(\d{2,5})\s*sayılı\s+([A-Za-zÇĞİÖŞÜçğıöşü .''’\-]+?)\s+(?:Kanunu?|Yasası?)"
-REFS = rf"""lw AS (SELECT chunk_id AS id, m, text FROM (SELECT chunk_id, text, unnest(regexp_extract_all(text, '{LAW}\b')) AS m FROM ch))"""
-
-
-@query(rf"WITH {CH}, {REFS} SELECT id, count(*) AS n_laws, min(regexp_extract(m, '^\d+')::INT) AS least_law FROM lw GROUP BY id")
-def q_graph_laws(spark, d):
-    """How many laws each chunk names with their number (not each with an article), and the least number."""
-    named = _chunks(spark, d).select("chunk_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?U)(\d{2,5})\s*sayılı\s+([A-Za-zÇĞİÖŞÜçğıöşü .'’\-]+?)\s+(?:Kanunu?|Yasası?)\b"), F.lit(1))).alias("law"))
-    return named.groupBy(F.col("chunk_id").alias("id")).agg(F.count("*").alias("n_laws"), F.min(F.col("law").cast("int")).alias("least_law"))
-
-
 @query()
 def q_graph_refs(spark, d):
     ch = _chunks(spark, d)
@@ -631,31 +645,131 @@ def q_stratified_sample(spark, d):
     return metrics.stratified_sample(_faith(spark, d), "query_id", "score", n=60)
 
 
-@query("""SELECT count(*) AS n, round(avg(s), 6) AS semantic_similarity FROM (SELECT list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)""")
+@query(f"""WITH a AS MATERIALIZED (SELECT query_id, {TOK("predicted")} AS p, {TOK("coalesce(expected, '')")} AS e FROM predictions WHERE error IS NULL AND coalesce(predicted, '') <> ''),
+           v AS (SELECT {EMBED("p")} AS p, {EMBED("e")} AS e FROM a) SELECT round(avg(list_dot_product(p, e)), 6) AS semantic_similarity FROM v""")
 def q_semantic_similarity(spark, d):
-    """Mean similarity of each vector with the next one, as of predicted and expected answers."""
-    e = _t(spark, d, "embeddings")
-    pairs = e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
-    return pairs.agg(F.count("*").alias("n"), r6(F.avg(T.dot("a", "b"))).alias("semantic_similarity"))
+    """Mean similarity of predicted and expected answers by the default embedder."""
+    return evaluation.similarity(_answered(spark, d), providers.HashEmbedder())
+
+
+def _answered(spark, d):
+    return _t(spark, d, "predictions").where("error IS NULL AND coalesce(predicted, '') <> ''")
 
 
-@query("SELECT event_type, CASE WHEN count(value) >= 3 THEN round(exp(avg(ln(value))), 4) END AS perplexity FROM events WHERE value > 0 GROUP BY event_type")
+@query(f"""WITH {CH}, t AS (SELECT unnest({TOK("text")}) AS token FROM ch), n AS (SELECT token, count(*) AS n FROM t GROUP BY token), z AS (SELECT sum(n) + count(*) + 1 AS total FROM n),
+           a AS (SELECT query_id, unnest({TOK("predicted")}) AS token FROM predictions WHERE error IS NULL AND coalesce(predicted, '') <> ''),
+           p AS (SELECT query_id, exp(avg(ln(total) - ln(coalesce(n, 0) + 1))) AS p FROM a LEFT JOIN n USING (token), z GROUP BY query_id)
+           SELECT count(*) AS n_answers, CASE WHEN count(*) >= 3 THEN round(exp(avg(ln(p))), 4) END AS perplexity FROM p""")
 def q_perplexity_geomean(spark, d):
-    return _t(spark, d, "events").where("value > 0").groupBy("event_type").agg(metrics.geometric_mean(F.col("value")).alias("perplexity"))
+    """Geometric mean of the answers' perplexities under a unigram model of the corpus."""
+    each = providers.perplexities(_answered(spark, d), providers.unigram_costs(_chunks(spark, d)))
+    return each.agg(F.count("*").alias("n_answers"), metrics.geometric_mean(F.col("perplexity")).alias("perplexity"))
 
 
-@query("SELECT event_type, round(avg(CASE WHEN value < 5 THEN NULL ELSE value END), 6) AS mean FROM events GROUP BY event_type")
+SHARE = lambda of, within: f"CASE WHEN len({of}) = 0 THEN NULL ELSE len(list_intersect({of}, {within}))::DOUBLE / len({of}) END"
+SAMPLED = lambda n, more="": f"""s AS (SELECT * FROM (SELECT query_id, question, predicted, expected, list_filter(list_transform(retrieved_chunks[1:5], lambda c: c.text), lambda t: coalesce(t, '') <> '') AS ctx FROM predictions WHERE error IS NULL AND coalesce(predicted, '') <> '') {more} ORDER BY md5(query_id), query_id LIMIT {n}),
+    k AS (SELECT list_distinct({TOK("coalesce(question, '')")}) AS q, {TOK("predicted")} AS al, list_distinct({TOK("predicted")}) AS a, list_distinct({TOK("coalesce(expected, '')")}) AS t, list_distinct({TOK("coalesce(array_to_string(ctx, ' '), '')")}) AS c, list_transform(ctx, lambda x: list_distinct({TOK("x")})) AS cs, len(ctx) AS nc FROM s)"""
+
+
+@query(f"""WITH {SAMPLED(50, "WHERE len(ctx) > 0")}, m AS (SELECT {SHARE("a", "c")} AS f, {SHARE("q", "a")} AS r, {SHARE("t", "c")} AS cr, {SHARE("t", "a")} AS h, {SHARE("a", "t")} AS g,
+             CASE WHEN len(t) = 0 THEN NULL ELSE list_sum(list_transform(cs, lambda x: CASE WHEN len(list_intersect(t, x))::DOUBLE / len(t) >= 0.5 THEN 1.0 ELSE 0.0 END))::DOUBLE / nc END AS cp FROM k)
+           SELECT round(avg(f), 4) AS ragas_faithfulness, round(avg(r), 4) AS ragas_answer_relevancy, round(avg(cr), 4) AS ragas_context_recall, round(avg(cp), 4) AS ragas_context_precision, round(avg(CASE WHEN h IS NULL OR g IS NULL THEN NULL WHEN h + g = 0 THEN 0 ELSE 2 * h * g / (h + g) END), 4) AS ragas_answer_correctness FROM m""")
 def q_nan_mean(spark, d):
-    v = F.when(F.col("value") < 5, F.lit(float("nan"))).otherwise(F.col("value"))
-    return _t(spark, d, "events").groupBy("event_type").agg(r6(F.avg(F.nanvl(v, F.lit(None).cast("double")))).alias("mean"))
+    """Means of the suite of context metrics that leave out answers for which a metric has no base."""
+    return metrics.suite_means(_answered(spark, d), providers.lexical_suite)
 
 
-@query()
+@query(f"""WITH {SAMPLED(20)}, j AS (SELECT {SHARE("t", "a")} AS j1, CASE WHEN nc > 0 THEN {SHARE("a", "c")} END AS j2, {SHARE("q", "a")} AS j3, CASE WHEN len(al) > 0 THEN len(a)::DOUBLE / len(al) END AS j4, len(al) > 0 AS ok FROM k)
+           SELECT {", ".join(f"round(coalesce(avg(CASE WHEN ok THEN floor(j{i} * 100) / 100 END), 0.5), 6) AS llm_{k}_score, count(*) - count(CASE WHEN ok THEN j{i} END) AS llm_{k}_failed" for i, k in enumerate(providers.JUDGES, 1))} FROM j""")
 def q_judge_scores(spark, d):
-    """Replies of the default judge, read as scores; failures are counted, not taken for one half."""
-    p = _t(spark, d, "predictions")
-    s = p.select(T.judge_score(providers.judge_reply(F.coalesce("question", F.lit("")), F.col("predicted"))).alias("s"), (F.coalesce("predicted", F.lit("")) == "").alias("failed"))
-    return s.agg(r6(F.coalesce(F.avg(F.when(~F.col("failed"), F.col("s"))), F.lit(0.5))).alias("score"), F.count_if("failed").alias("n_failed"), F.count("*").alias("n"))
+    """Mean scores of the four default judges over 20 answers; failures are counted, not taken for one half."""
+    return metrics.judge_means(_answered(spark, d), providers.judge_reply, list(providers.JUDGES))
+
+
+CITED = """cf AS (SELECT avg(CASE WHEN e = '' THEN 0 ELSE list_contains(list_transform(list_filter(n, lambda i: i BETWEEN 1 AND len(s)), lambda i: s[i]), el)::INT END) AS citation_accuracy, avg(CASE WHEN e = '' THEN 0 ELSE list_contains(s, el)::INT END) AS source_in_context_rate, avg((len(n) > 0)::INT) AS citation_presence_rate FROM
+        (SELECT e, n, list_transform(s, lambda v: trim({low_v}, ' ')) AS s, {low_e} AS el FROM (SELECT list_distinct(list_transform(regexp_extract_all(coalesce(predicted, ''), '\\[\\s*[Kk][Aa][Yy][Nn][Aa][Kk]\\s+(\\d+)\\s*\\]', 1), lambda s: s::INT)) AS n, coalesce(retrieved_sources, []) AS s, trim(coalesce(expected_source, ''), ' ') AS e FROM predictions)))""".format(low_v=LOW("coalesce(v, '')"), low_e=LOW("e"))
+
+
+@query(f"""WITH RECURSIVE {BLEU_COUNTS}, {LCS}, {CITED}, pooled AS (SELECT sum(np)::DOUBLE AS np, sum(ne)::DOUBLE AS ne, {', '.join(f'sum(m{n})::DOUBLE AS m{n}, sum(t{n})::DOUBLE AS t{n}' for n in range(1, 5))} FROM c),
+           em AS (SELECT avg(CASE WHEN trim({LOW('e')}, ' ') = '' THEN 0 WHEN contains(trim({LOW('p')}, ' '), trim({LOW('e')}, ' ')) THEN 1 ELSE 0 END) AS em, count(*) AS num_samples FROM w),
+           ff AS (SELECT avg((CASE WHEN np = 0 AND ne = 0 THEN 1 WHEN np = 0 OR ne = 0 OR m1 = 0 THEN 0 ELSE 2 * m1 / (np + ne) END)::DOUBLE) AS f1 FROM c), rr AS (SELECT avg(rouge) AS rouge_l FROM rl)
+           SELECT round(em, 6) AS em, round(f1, 6) AS f1, round(rouge_l, 6) AS rouge_l, round({BLEU}, 6) AS bleu, num_samples, round(citation_accuracy, 6) AS citation_accuracy, round(source_in_context_rate, 6) AS source_in_context_rate, round(citation_presence_rate, 6) AS citation_presence_rate FROM em, ff, rr, pooled, cf""")
+def q_answer_summary(spark, d):
+    """All answer metrics of the predictions in one row."""
+    return metrics.answer_summary(_t(spark, d, "predictions"))
+
+
+@query(f"""WITH {DENSE}, l AS (SELECT t.query, t.rank, (t.label = q.label)::INT AS label FROM dntop t JOIN embeddings q ON q.vec_id = t.query),
+           h AS (SELECT *, sum(label) OVER (PARTITION BY query ORDER BY rank) AS hits FROM l), a AS (SELECT query, sum(CASE WHEN label = 1 THEN hits / rank END) / sum(label) AS ap FROM h GROUP BY query HAVING sum(label) > 0)
+           SELECT round(avg(ap), 6) AS map, count(*) AS num_queries FROM a""")
+def q_mean_average_precision(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", "label")
+    top = dense.dense_top(*_vectors(spark, d), k=50).join(e.select(F.col("vec_id").alias("doc"), F.col("label").alias("ld")), "doc").join(e.select(F.col("vec_id").alias("query"), F.col("label").alias("lq")), "query")
+    return metrics.mean_average_precision(top.select("query", "rank", (F.col("ld") == F.col("lq")).cast("int").alias("label")))
+
+
+@query(f"WITH {QA} SELECT p.query_id, coalesce(qa.question, p.query_id) AS question FROM predictions p LEFT JOIN (SELECT query_id, min(question) AS question FROM qa WHERE split = 'test' GROUP BY query_id) qa USING (query_id)")
+def q_question_lookup(spark, d):
+    """Predictions with their questions of split test, or their id where there is none."""
+    return metrics.questions_of(_t(spark, d, "predictions").select("query_id"), _qa(spark, d).where("split = 'test'"))
+
+
+# Stages and the corpus --------------------------------------------------------------------------------------------------------
+def _stage_inputs(spark, d):
+    ch = _chunks(spark, d).select("chunk_id", "doc_id", "text", "source")
+    r = _questions(spark, d)
+    qs = r.select("query_id", F.col("query").alias("question"), F.col("gold_answer_extract").alias("expected"), F.col("source").alias("expected_source"))
+    rel = r.select(F.col("query_id").alias("query"), F.explode("gold_chunk_ids").alias("doc")).distinct().join(ch.select(F.col("chunk_id").alias("doc")), "doc", "left_semi")
+    return ch, qs, rel
+
+
+STAGED = f"""{CH}, tok AS MATERIALIZED (SELECT chunk_id AS doc, {TOK("text")} AS w FROM ch), jd AS MATERIALIZED (SELECT doc, {EMBED("w")} AS dv FROM tok),
+    jq AS MATERIALIZED (SELECT query_id, qw, {EMBED("qw")} AS qv FROM (SELECT query_id, {TOK("coalesce(query, '')")} AS qw FROM rag_eval)), {LEXICAL},
+    rel AS (SELECT DISTINCT query_id AS query, g AS doc FROM (SELECT query_id, unnest(gold_chunk_ids) AS g FROM rag_eval) WHERE g IN (SELECT chunk_id FROM ch)),
+    run AS (SELECT 'base' AS stage, query, doc, rank FROM den WHERE rank <= 10 UNION ALL SELECT 'hybrid', query, doc, rank FROM {HYBRID(a='0.5::DOUBLE', b='0.5::DOUBLE', k=10)}
+            UNION ALL SELECT 'rrf', query, doc, rank FROM rrf WHERE rank <= 10 UNION ALL SELECT 'rrf_rerank', query, doc, rank FROM {RERANKED("rrf")}),
+    per AS (SELECT s.stage, r.query, count(*) AS n_rel, min(b.rank) AS first, count(CASE WHEN b.rank <= 5 THEN 1 END) AS h5, count(CASE WHEN b.rank <= 10 THEN 1 END) AS h10, coalesce(sum(CASE WHEN b.rank <= 10 THEN 1 / log2(b.rank + 1) END), 0) AS dcg
+            FROM (SELECT DISTINCT stage FROM run) s, rel r LEFT JOIN run b ON b.stage = s.stage AND b.query = r.query AND b.doc = r.doc GROUP BY s.stage, r.query),
+    m AS (SELECT *, (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= n_rel) AS ideal FROM per)"""
+
+
+@query(f"""WITH {STAGED} SELECT stage, round(avg(h5 / n_rel), 6) AS recall_at_5, round(avg(h10 / n_rel), 6) AS recall_at_10, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(dcg / ideal), 6) AS ndcg_at_10, count(*) AS num_queries FROM m GROUP BY stage""")
+def q_stage_retrieval(spark, d):
+    """Retrieval metrics of the stages that need no graph and no other model, side by side."""
+    ch, qs, rel = _stage_inputs(spark, d)
+    found = evaluation.candidates(ch, qs, providers.HashEmbedder())
+    out = None
+    for name in ("base", "hybrid", "rrf", "rrf_rerank"):
+        run = evaluation.retrieved(stages.STAGES[name], ch, qs, found)
+        got = metrics.retrieval_metrics(run, rel, qs.select(F.col("query_id").alias("query"))).select(F.lit(name).alias("stage"), "recall_at_5", "recall_at_10", "mrr", "ndcg_at_10", "num_queries")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query()
+def q_stage_documents(spark, d):
+    """The metrics document of the stage with fusion, reranking and the graph, by the default models."""
+    ch, qs, rel = _stage_inputs(spark, d)
+    raw = _chunks(spark, d)
+    nodes = raw.select(F.col("chunk_id").alias("id"), "source", "doc_id", "text", "ord", F.nullif(F.regexp_extract("text", r"(?i)^\s*madde\s+(\d+)", 1), F.lit("")).cast("int").alias("article"))
+    edges = written(graph.build_graph(nodes, _t(spark, d, "source_map").select("law_no", "source")), "edges")
+    done, said = evaluation.run_stages(["graph"], ch, qs, rel, edges=edges)
+    if said:
+        raise RuntimeError("; ".join(said))
+    out = None
+    for got in done.values():
+        out = got["metrics"] if out is None else out.unionByName(got["metrics"])
+    return out
+
+
+@query(f"""WITH {QA}, h AS (SELECT query_id, context, CASE WHEN coalesce(context, '') <> '' THEN md5(context) END AS m FROM qa WHERE split = 'kaggle'),
+           l AS (SELECT DISTINCT m FROM h WHERE m IS NOT NULL ORDER BY m DESC LIMIT 300), qb AS (SELECT query_id, context FROM h WHERE m IS NULL OR m NOT IN (SELECT m FROM l)),
+           {PIECES.replace("FROM qa WHERE", "FROM qb WHERE")}, u AS (SELECT DISTINCT md5(piece) AS h, length(piece) AS n FROM pc WHERE length(piece) >= 180)
+           SELECT count(*) AS n_chunks, sum(n)::BIGINT AS n_chars FROM u""")
+def q_corpus_build(spark, d):
+    """The corpus of the contexts that are not held out: its chunks and their characters."""
+    rows = _qa(spark, d).where("split = 'kaggle'").select(F.col("query_id").alias("id"), "context", "source", F.xxhash64("query_id").alias("ord"))
+    return corpus.build_corpus(rows).agg(F.count("*").alias("n_chunks"), F.sum("char_len").alias("n_chars"))
 
 
 SCENARIO = f"""{PAIRS}, h AS (SELECT query_id, len(pt) AS np, len(et) AS ne, {COMMON("pt", "et")} AS hits FROM w),
@@ -717,6 +831,40 @@ def q_reranker_pairs(spark, d):
     return got.select(F.col("query").alias("query_id"), F.col("doc").alias("chunk_id"), "label")
 
 
+@query(f"""WITH {BM}, rel AS (SELECT DISTINCT query_id AS query, g AS doc FROM (SELECT query_id, unnest(gold_chunk_ids) AS g FROM rag_eval) WHERE g IN (SELECT chunk_id FROM ch)),
+           n AS (SELECT query FROM rel GROUP BY query HAVING count(*) <= 15),
+           neg AS (SELECT b.query, b.doc, row_number() OVER (PARTITION BY b.query ORDER BY b.rank) AS place FROM bmtop b WHERE b.rank <= 20 AND b.query IN (SELECT query FROM n) AND NOT EXISTS (SELECT 1 FROM rel WHERE rel.query = b.query AND rel.doc = b.doc)),
+           c AS (SELECT (SELECT count(*) FROM rel WHERE query IN (SELECT query FROM n)) AS p, (SELECT count(*) FROM neg WHERE place <= 3) AS q)
+           SELECT p AS n_positive, q AS n_negative, q / p AS ratio FROM c""")
+def q_pair_counts(spark, d):
+    qa, ch = _relevance_inputs(spark, d)
+    rel = relevance.by_gold(qa, ch).select(F.col("query_id").alias("query"), F.col("chunk_id").alias("doc"))
+    return training.pair_counts(training.reranker_pairs(lexical.bm25_top(ch, _questions(spark, d), k=20, doc="chunk_id"), rel))
+
+
+@query()
+def q_training_triplets(spark, d):
+    """Triplets of the questions of rag_eval: by their extracts, else by the default embedder, filled up to seven negatives."""
+    ch, qs, _ = _stage_inputs(spark, d)
+    embedder = providers.HashEmbedder()
+    ranked = written(dense.dense_top(dense.as_queries(qs, embedder, text="question"), dense.as_vectors(dense.build_index(ch, embedder)), training.POOL), "ranked")
+    grounded = training.best_by_jaccard(qs.select(F.col("query_id").alias("query"), F.col("expected").alias("text")), _chunks(spark, d).select(F.col("chunk_id").alias("doc"), "ord", "text"))
+    got = training.triplets(qs.select(F.col("query_id").alias("query"), "question"), ranked, grounded, ch.withColumnRenamed("chunk_id", "doc"))
+    return training.bucket_split(training.embedder_columns(got), "anchor", 20)
+
+
+@query()
+def q_multi_vector(spark, d):
+    """The 50 dense candidates of each question, ranked by dense, sparse and word-by-word scores together."""
+    m = providers.HashMultiVector()
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    qs = _questions(spark, d).select(F.col("query_id").alias("query"), F.col("query").alias("question"))
+    found = dense.dense_top(dense.as_queries(qs, m, "query", "question"), dense.as_vectors(dense.build_index(docs, m, "doc"), "doc"), stages.CANDIDATES)
+    texts = docs.join(found.select("doc").distinct(), "doc", "left_semi").select("doc", m.sparse(F.col("text")).alias("d_sparse"), m.words(F.col("text")).alias("d_words"))
+    asked = qs.select("query", m.sparse(F.col("question")).alias("q_sparse"), m.words(F.col("question")).alias("q_words"))
+    return _run(fusion.multi_vector(found.join(texts, "doc").join(asked, "query")))
+
+
 @query(f"WITH {QA} SELECT part, count(*) AS n FROM (SELECT CASE WHEN ('0x' || left(md5(question), 8))::BIGINT % 10 = 0 THEN 'eval' ELSE 'train' END AS part FROM qa) GROUP BY part")
 def q_query_split(spark, d):
     return training.bucket_split(_qa(spark, d), "question").groupBy("part").agg(F.count("*").alias("n"))
