@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections import Counter
 from collections.abc import Callable
 from typing import Protocol
 
@@ -58,8 +59,12 @@ class HashMultiVector(HashEmbedder):
 
     def sparse(self, text: Column) -> Column:
         """map of word -> its share of the text's words."""
-        w = T.index_tokens(F.coalesce(text, F.lit("")))
-        return F.map_from_entries(F.transform(F.array_distinct(w), lambda x: F.struct(x, (F.size(F.filter(w, lambda y: y == x)) / F.size(w)).alias("weight"))))
+
+        @F.pandas_udf("map<string,double>")
+        def weigh(words: pd.Series) -> pd.Series:
+            return words.map(lambda w: {x: n / len(w) for x, n in Counter(w).items()})
+
+        return weigh(T.index_tokens(F.coalesce(text, F.lit(""))))
 
     def words(self, text: Column) -> Column:
         """Array of unit vectors, one for each word."""
