@@ -227,7 +227,9 @@ def test_run_of_stages(spark, tmp_path):
     m = done["rrf"]["metrics"].first()
     assert m.hit_at_10 == 1.0 and m.total_queries == 7 and m.f1 > 0.8 and m.citation_accuracy > 0 and m.scenario1_score > 0.5 and m.retrieval_mode == "rrf"
     p = {x.query_id: x for x in done["rrf"]["predictions"].collect()}
-    assert len(p) == 7 and "[Kaynak 1]" in p["q0"].predicted and p["q9"].predicted == "" and p["q9"].error
+    assert len(p) == 7 and "[Kaynak 1]" in p["q0"].predicted and p["q0"].error is None
+    failed = evaluation.predictions(done["rrf"]["run"], ch, qs, lambda q, c: F.lit(None).cast("string")).collect()
+    assert len(failed) == 7 and {(x.predicted, x.error) for x in failed} == {("", "no answer")}
     sinks.save_metrics(done["rrf"]["metrics"], str(tmp_path / "m.json"), limit=7)
     assert json.loads((tmp_path / "m.json").read_text())["limit_value"] == 7
     table = sinks.ablation_table(done["graph"]["metrics"].unionByName(done["rrf"]["metrics"]), list(stages.STAGES)).orderBy("place").collect()
