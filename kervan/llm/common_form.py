@@ -15,7 +15,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kervan.llm.util import cut_lineage, first_of_key
@@ -180,30 +180,44 @@ def form_hashes(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
     return src.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{column}`").alias("t")).mapInArrow(apply, HASHED)
 
 
-#: Pairs of one form up to which all are given; a form with more is linked by a star.
-FULL_PAIRS = 65_536
+#: Records of one form that meet as many others in a task at a time; it decides how pairs are spread, not which ones are given.
+BLOCK = 1024
 
 
-def lookalike_pairs(hashed: DataFrame, full_pairs: int = FULL_PAIRS) -> DataFrame:
+def lookalike_pairs(hashed: DataFrame, full_pairs: int | None = None) -> DataFrame:
     """Pairs of records of one table whose texts have one common form but are different strings.
 
     hashed: rows of form_hashes. A form with a single stored string is dropped after a pre-aggregated group-by, so
     copies, however many, cost nothing. Each pair is returned once, smaller key first; a record delivered twice
-    is one record; an empty input gives no rows. To look alike is an equivalence, so of a form with more than full_pairs pairs
-    of records each record is paired with the first one of another string only: no record is lost and none pairs with all.
+    is one record; an empty input gives no rows. All pairs are given, however many records have a form: its records are dealt into
+    blocks of about BLOCK, and each two blocks meet by themselves. A caller who wants links only may set full_pairs: to look alike is an
+    equivalence, so of a form with more pairs of records each record is then paired with the first one of another string only.
     """
     group = ["src_table", "form_hi", "form_lo"]
     mixed = hashed.groupBy(*group).agg(F.min("raw_hi").alias("lo"), F.max("raw_hi").alias("hi"), F.count("*").alias("n")).where("lo < hi").select(*group, "lo", "hi", "n")
     rows = hashed.join(mixed, group).select(*group, "key", "raw_hi", "lo", "hi", "n").distinct()
-    few = f"n * (n - 1) <= {2 * full_pairs}"
-    a, b = rows.where(few).alias("a"), rows.where(few).alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in group]
-    pairs = a.join(b, [*on, F.col("a.key") < F.col("b.key"), F.col("a.raw_hi") != F.col("b.raw_hi")]).select("a.src_table", F.col("a.key").alias("x"), F.col("b.key").alias("y"))
+    few = "true" if full_pairs is None else f"n * (n - 1) <= {2 * full_pairs}"
+    # one row for each record of a form, with the least and greatest of its strings, and whether it has other forms too
+    forms = F.count("*").over(Window.partitionBy("src_table", "key"))
+    records = rows.where(few).groupBy(*group, "key", "n").agg(F.min("raw_hi").alias("least"), F.max("raw_hi").alias("most")).withColumn("more", forms > 1)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = records.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n")
+    # so many tasks whatever the size: few rows may have many pairs
+    tasks = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = dealt.repartition(tasks, *group, "own", "other").alias("a"), dealt.repartition(tasks, *group, "other", "own").alias("b")
+    on = [*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in group), F.col("a.own") == F.col("b.other"), F.col("a.other") == F.col("b.own")]
+    differ = F.least("a.least", "b.least") < F.greatest("a.most", "b.most")
+    apart = [*on, F.col("a.key") < F.col("b.key"), differ]
+    pair = ["a.src_table", F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")]
+    # only two records that both have several forms can meet more than once
+    once = a.join(b, [*apart, ~(F.col("a.more") & F.col("b.more"))]).select(*pair)
+    pairs = once.unionAll(a.where("more").join(b.where("more"), apart).select(*pair).distinct())
+    if full_pairs is None:
+        return pairs
     many = rows.where(f"NOT ({few})")
     heads = many.groupBy(*group).agg(F.min(F.when(F.col("raw_hi") == F.col("lo"), F.col("key"))).alias("first"), F.min(F.when(F.col("raw_hi") == F.col("hi"), F.col("key"))).alias("second"))
-    star = many.join(heads, group).select("src_table", F.col("key").alias("x"), F.when(F.col("raw_hi") == F.col("lo"), F.col("second")).otherwise(F.col("first")).alias("y"))
-    both = pairs.unionAll(star).where("x <> y")
-    return both.select("src_table", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+    star = many.join(heads, group).select("src_table", F.col("key").alias("x"), F.when(F.col("raw_hi") == F.col("lo"), F.col("second")).otherwise(F.col("first")).alias("y")).where("x <> y")
+    return pairs.unionAll(star.select("src_table", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))).distinct()
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

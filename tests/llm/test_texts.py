@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import pyarrow as pa
 import pytest
 
@@ -62,6 +63,21 @@ def test_lookalike_pairs(spark):
     assert C.lookalike_pairs(hot).count() == 3 * 100 * 100
 
 
+@pytest.mark.parametrize("block", [1024, 37])
+def test_all_lookalike_pairs_of_a_hot_form(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(C, "BLOCK", block)
+    hot = [(f"k{i:03d}", "karar" + "\u200b" * (i % 4)) for i in range(400)]  # 60,000 pairs out of 79,800
+    # records with two texts of one form or of two forms, as the SQL has them
+    odd = [("k000", "karar"), ("k001", "karar"), ("x1", "başka"), ("x1", "kаrar"), ("x2", "başka\u200b"), ("x2", "karar"), ("x3", "başka"), ("x3", "karar"), (None, "karar"), ("x4", None)]
+    for table, names in (("qa_examples", "query_id string, question string"), ("corpus_chunks", "chunk_id string, text string")):
+        spark.createDataFrame(hot + odd, names).repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    got = sorted((r.src_table, r.key_a, r.key_b) for r in C.p1_found(spark, str(tmp_path)).collect())
+    with duckdb.connect() as con:
+        for table in ("qa_examples", "corpus_chunks"):
+            con.execute(f"CREATE VIEW {table} AS FROM '{tmp_path}/{table}.parquet/*.parquet'")
+        assert got == sorted(con.execute(C.p1_found_sql()).fetchall()) and len(got) > 120_000
+
+
 def plain_kind(text, limit):
     pats = [r"\n\s*\n", r"\n", r"(?<=[.!?])\s|\n", r"\s"]
     for n, p in zip(["paragraph", "line", "sentence", "word"], pats):
