@@ -38,6 +38,8 @@ LABELLED = 20_000
 #: Weight of an area's description against a labelled document in its seed.
 DESCRIBED = 0.05
 NO_TERM = 65_535
+#: Words of a sentence or text that are summed up at a time.
+STRETCH = 256
 _PARTS = 8
 
 
@@ -165,14 +167,33 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def run_sums(vectors: np.ndarray, term: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Sums of the terms' vectors over runs of the given lengths, all at least 1."""
-    padded = np.vstack([vectors, np.zeros((1, vectors.shape[1]), dtype=vectors.dtype)])
-    out = np.empty((len(length), vectors.shape[1]), dtype=vectors.dtype)
-    start = np.cumsum(length) - length
-    for lo in range(0, len(length), 2000):
-        hi = min(lo + 2000, len(length))
-        a, b = start[lo], start[hi - 1] + length[hi - 1]
-        out[lo:hi] = np.add.reduceat(padded[np.minimum(term[a:b], TERMS)], start[lo:hi] - a, axis=0)
+    """Sums of the terms' vectors over runs of the given lengths, all at least 1.
+
+    Runs are cut into stretches, and a block of stretches is summed word by word over all of them at once, the longest first:
+    reduceat along the runs takes ten times as long.
+    """
+    padded = np.vstack([vectors, np.zeros((1, vectors.shape[1]), dtype=vectors.dtype)])  # NO_TERM is clipped to the last row
+    parts = -(-length // STRETCH)
+    size = np.full(parts.sum(), STRETCH, dtype=np.int64)
+    last = np.cumsum(parts) - 1
+    size[last] = length - (parts - 1) * STRETCH
+    start = np.cumsum(size) - size
+    order = np.argsort(-size, kind="stable")
+    sums = np.empty((len(size), vectors.shape[1]), dtype=vectors.dtype)
+    room = np.empty((500, vectors.shape[1]), dtype=vectors.dtype)
+    for lo in range(0, len(order), len(room)):
+        of = order[lo : lo + len(room)]
+        first = start[of]
+        total = np.take(padded, term[first], axis=0, mode="clip")
+        longer = np.searchsorted(-size[of], -np.arange(size[of[0]]))  # longer[k]: stretches of more than k words
+        for k in range(1, len(longer)):
+            n = longer[k]
+            total[:n] += np.take(padded, term[first[:n] + k], axis=0, out=room[:n], mode="clip")
+        sums[of] = total
+    out = sums[last]
+    if len(many := np.flatnonzero(parts > 1)):
+        own = sums[np.repeat(parts > 1, parts)]
+        out[many] = np.add.reduceat(own, np.cumsum(parts[many]) - parts[many], axis=0)
     return out
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -263,6 +264,42 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     assert leaks.leaked_items(dd.limit(0), ii).count() == 0 and leaks.leaked_items(dd, ii.limit(0)).count() == 0
 
 
+def test_sums_over_runs():
+    r = np.random.default_rng(3)
+    vectors = r.standard_normal((subjects.TERMS, 7))
+    s = subjects.STRETCH
+    for length in ([1], [s], [s + 1], [3 * s, 1, 2 * s + 5, s - 1, 5000], r.integers(1, 40, 1300), r.integers(1, 700, 600)):
+        length = np.array(length)
+        term = r.integers(0, subjects.TERMS, length.sum()).astype(np.uint16)
+        term[r.random(len(term)) < 0.2] = subjects.NO_TERM
+        want = [vectors[x[x != subjects.NO_TERM]].sum(axis=0) for x in np.split(term, np.cumsum(length)[:-1])]
+        assert np.allclose(subjects.run_sums(vectors, term, length), want)
+
+
+def test_sums_over_runs_take_few_seconds():
+    """No more than a few times as long as reading each word's vector and adding it somewhere."""
+    r = np.random.default_rng(4)
+    vectors = r.standard_normal((subjects.TERMS, subjects.RANK)).astype(np.float32)
+    length = r.integers(1, 45, 10_000)
+    term = r.integers(0, subjects.TERMS, length.sum()).astype(np.uint16)
+
+    def seconds(f):
+        taken = []
+        for _ in range(5):
+            began = time.thread_time()
+            f()
+            taken.append(time.thread_time() - began)
+        return min(taken)
+
+    def plain():
+        total = np.zeros((500, subjects.RANK), dtype=np.float32)
+        for lo in range(0, len(term) - 500, 500):
+            total += vectors[term[lo : lo + 500]]
+
+    ratio = seconds(lambda: subjects.run_sums(vectors, term, length)) / seconds(plain)
+    assert ratio < 5, ratio
+
+
 def test_subjects_of_held_out_documents(spark):
     r = random.Random(12)
     own = {a: [r.choice(VOCABULARY) for _ in range(12)] for a in ("x", "y", "z")}
